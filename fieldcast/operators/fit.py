@@ -1,0 +1,235 @@
+"""Posterior draws of structural Poisson series, one task per series and chain.
+
+Given scales and slope, the log rate is linear in the standard-normal
+innovations, so each chain alternates two updates that need no tuning:
+elliptical slice sampling (Murray, Adams & MacKay 2010) of all innovations at
+once and univariate slice sampling (Neal 2003) of the six scalars.
+
+Series, generations and chains are independent, so Spark spreads them; a group
+holds one row whose arrays have one element per day.
+"""
+
+from __future__ import annotations
+
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, functions as F
+
+# workers need no installed copy of this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+SCALAR_NAMES = ("intercept", "b_ar", "s_z", "s_s", "s_r", "s_t")
+SCALE_DF = 5.0
+
+
+def level_path(errors, intercept, slope, scale):
+    out = np.empty(len(errors))
+    one = two = 0.0
+    for t, e in enumerate((scale * errors).tolist()):
+        pull = 2.0 * one - two if t >= 2 else one
+        one, two = intercept + slope * pull + e, one
+        out[t] = one
+    return out
+
+
+def season_path(errors, scale, length):
+    """Weekly pattern in closed form: running sums per residue modulo 7."""
+    w = scale * errors
+    change = np.empty(length)
+    change[:6] = w[:6]
+    if length > 6:
+        change[6] = w[0] - w[:6].sum()
+        change[7:] = np.diff(w)[: length - 7]
+    for k in range(7):
+        change[k::7] = np.cumsum(change[k::7])
+    return change
+
+
+def states_of(theta, z, num):
+    length = len(num)
+    mu_err, b_err, r_raw, g_err = np.split(z, [length, 2 * length, 3 * length])
+    mu = level_path(mu_err, theta[0], theta[1], abs(theta[2]))
+    b = np.cumsum(abs(theta[5]) * b_err)
+    gamma = season_path(g_err, abs(theta[3]), length)
+    r = abs(theta[4]) * r_raw
+    return mu, b, gamma, r, mu + gamma + b * num + r
+
+
+def log_likelihood(log_rate, y, seen):
+    with np.errstate(over="ignore", invalid="ignore"):
+        value = np.sum((y * log_rate - np.exp(log_rate))[seen])
+    return value if np.isfinite(value) else -np.inf
+
+
+def log_prior(theta):
+    def t(x, df, scale=1.0):
+        return -(df + 1) / 2 * np.log1p((x / scale) ** 2 / df)
+
+    return t(theta[0], 3.0, 10.0) + t(theta[1], 3.0) + sum(t(s, SCALE_DF) for s in theta[2:])
+
+
+def ellipse_update(rng, theta, z, num, y, seen, current):
+    other = rng.standard_normal(len(z))
+    floor = current + np.log(rng.uniform())
+    angle = rng.uniform(0.0, 2.0 * np.pi)
+    low, high = angle - 2.0 * np.pi, angle
+    while True:
+        proposal = z * np.cos(angle) + other * np.sin(angle)
+        value = log_likelihood(states_of(theta, proposal, num)[4], y, seen)
+        if value > floor or high - low < 1e-10:
+            return (proposal, value) if value > floor else (z, current)
+        low, high = (angle, high) if angle < 0 else (low, angle)
+        angle = rng.uniform(low, high)
+
+
+def slice_update(rng, theta, i, z, num, y, seen, current, width):
+    def density(x):
+        trial = theta.copy()
+        trial[i] = x
+        return log_likelihood(states_of(trial, z, num)[4], y, seen) + log_prior(trial)
+
+    floor = current + log_prior(theta) + np.log(rng.uniform())
+    low = theta[i] - width * rng.uniform()
+    high = low + width
+    while density(low) > floor:
+        low -= width
+    while density(high) > floor:
+        high += width
+    while high - low > 1e-12:
+        x = rng.uniform(low, high)
+        if density(x) > floor:
+            theta = theta.copy()
+            theta[i] = x
+            return theta, log_likelihood(states_of(theta, z, num)[4], y, seen)
+        low, high = (x, high) if x < theta[i] else (low, x)
+    return theta, current
+
+
+def run_chain(y, num, seed, warmup, samples, thin):
+    """Yield (iteration, scalars, innovations) of the kept iterations."""
+    rng = np.random.default_rng(seed)
+    length = len(num)
+    seen = ~np.isnan(y)
+    y = np.where(seen, y, 0.0)
+    z = 0.01 * rng.standard_normal(4 * length - 6)
+    start = np.log(max(y[seen].mean(), 0.05)) if seen.any() else 0.0
+    theta = np.array([start / 2, 0.5, 0.05, 0.05, 0.05, 0.05])
+    widths = (0.5, 0.2, 0.2, 0.2, 0.2, 0.2)
+    current = log_likelihood(states_of(theta, z, num)[4], y, seen)
+    if not np.isfinite(current):
+        raise ValueError("initial state has no finite likelihood")
+    for it in range(warmup + samples):
+        for i, width in enumerate(widths):
+            theta, current = slice_update(rng, theta, i, z, num, y, seen, current, width)
+        for _ in range(3):
+            z, current = ellipse_update(rng, theta, z, num, y, seen, current)
+        if it >= warmup and (it - warmup) % thin == 0:
+            yield (it - warmup) // thin + 1, theta, z
+
+
+SCHEMA = (
+    "{keys}, chain int, iteration int, draw int, "
+    "intercept double, b_ar double, s_z double, s_s double, s_r double, s_t double, "
+    "mu array<double>, b_ope array<double>, gamma array<double>, r array<double>, "
+    "lambda array<double>, num array<double>"
+)
+
+
+def fit_series(
+    inputs: DataFrame,
+    keys: list[str],
+    chains: int = 6,
+    warmup: int = 1000,
+    samples: int = 1000,
+    thin: int = 4,
+    seed: int = 1234,
+) -> DataFrame:
+    """Compact draws: one row per (keys, draw) with scalars and state arrays.
+
+    ``inputs`` has one row per key with ``y`` (null cells are unobserved) and
+    the scaled base ``num``.  Keys must be text.
+    """
+    schema = SCHEMA.format(keys=", ".join(f"`{k}` string" for k in keys))
+    per_chain = samples // thin + (1 if samples % thin else 0)
+
+    def sample(key, group: pd.DataFrame) -> pd.DataFrame:
+        *names, chain = key
+        row = group.iloc[0]
+        y = np.array([np.nan if v is None else v for v in row["y"]], dtype=float)
+        num = np.asarray(row["num"], dtype=float)
+        if len(y) < 8:
+            raise ValueError(f"series {names} is shorter than eight points")
+        stream = [seed, int(chain), *"|".join(map(str, names)).encode()]
+        rows = []
+        for it, theta, z in run_chain(y, num, stream, warmup, samples, thin):
+            mu, b, gamma, r, log_rate = states_of(theta, z, num)
+            if not np.isfinite(log_rate).all():
+                raise ValueError(f"non-finite state in {names} chain {chain}")
+            scalars = [theta[0], theta[1], *np.abs(theta[2:])]
+            draw = (int(chain) - 1) * per_chain + it
+            rows.append([*names, chain, it, draw, *scalars, mu, b, gamma, r, log_rate, num])
+        columns = [*keys, "chain", "iteration", "draw", *SCALAR_NAMES,
+                   "mu", "b_ope", "gamma", "r", "lambda", "num"]
+        return pd.DataFrame(rows, columns=columns)
+
+    work = inputs.select(
+        *[F.col(k).cast("string").alias(k) for k in keys],
+        F.col("y").cast("array<double>").alias("y"),
+        F.col("num").cast("array<double>").alias("num"),
+        F.explode(F.sequence(F.lit(1), F.lit(chains))).alias("chain"),
+    )
+    # one group per task: an explicit count is not coalesced
+    parts = max(int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    return (
+        work.repartition(parts, *keys, "chain")
+        .groupBy(*keys, "chain")
+        .applyInPandas(sample, schema)
+    )
+
+
+def horizon_parameters(
+    fitted: DataFrame, series: str = "series", keep: list[str] | None = None
+) -> DataFrame:
+    """Last states and scalars of compact draws, as the simulation expects."""
+
+    def last(name: str, back: int = 1):
+        return F.element_at(F.col(name), -back)
+
+    return fitted.select(
+        "draw",
+        F.col(series).alias("series"),
+        *SCALAR_NAMES,
+        last("mu", 2).alias("mu_prev"),
+        last("mu").alias("mu_last"),
+        last("b_ope").alias("b_last"),
+        *[last("gamma", 7 - i).alias(f"g{i}") for i in range(1, 7)],
+        last("num").alias("num_last"),
+        *(keep or []),
+    )
+
+
+def long_draws(fitted: DataFrame, keys: list[str]) -> DataFrame:
+    """Compact draws as the long table; ``i1`` is null for scalars."""
+    scalars = [
+        F.struct(
+            F.lit(s).alias("variable"),
+            F.lit(None).cast("int").alias("i1"),
+            F.col(s).alias("value"),
+        )
+        for s in SCALAR_NAMES
+    ]
+    arrays = [
+        F.transform(
+            F.col(a),
+            lambda v, i, a=a: F.struct(
+                F.lit(a).alias("variable"), (i + 1).alias("i1"), v.alias("value")
+            ),
+        )
+        for a in ("mu", "b_ope", "gamma", "r", "lambda")
+    ]
+    return fitted.select(
+        *keys, "chain", "iteration", "draw", F.inline(F.concat(F.array(*scalars), *arrays))
+    )
