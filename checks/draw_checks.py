@@ -352,7 +352,7 @@ lev AS (
   FROM lev s JOIN inn i ON i.draw = s.draw AND i.t = s.t + 1),
 st AS (
   SELECT l.draw, i.chain, l.t, l.mu, l.b AS b_ope, g.gamma, l.b * i.num AS tvc,
-    {V.EFFECT} * i.r_raw AS r, l.mu + g.gamma + l.b * i.num + {V.EFFECT} * i.r_raw AS lambda,
+    {V.EFFECT} * i.r_raw AS r, l.mu + g.gamma + l.b * i.num + {V.EFFECT} * i.r_raw AS lam,
     l.mu - lag(l.mu) OVER (PARTITION BY l.draw ORDER BY l.t) AS delta
   FROM lev l JOIN inn i ON i.draw = l.draw AND i.t = l.t
   JOIN gam g ON g.draw = l.draw AND g.t = l.t)"""
@@ -360,10 +360,12 @@ st AS (
 
 SMOOTH = Q.with_(INNOVATIONS, states_sql(False), recursive=True)
 AR1 = Q.with_(INNOVATIONS, states_sql(True), recursive=True)
-STATE6 = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in S.STATE)
+STATE6 = ", ".join(
+    f"round({'lam' if c == 'lambda' else c}, 6) + 0.0 AS \"{c}\"" for c in S.STATE
+)
 
 COMPONENT_SQL = {
-    "lambda_exp": "exp(lambda)",
+    "lambda_exp": "exp(lam)",
     "mu_gamma_exp": "exp(mu + gamma)",
     "mu_r_exp": "exp(mu + r)",
     "mu_tvc_exp": "exp(mu + tvc)",
@@ -494,14 +496,14 @@ FROM (SELECT series, CAST(max(mif_cum) AS DOUBLE) AS m, count(*) AS d FROM panel
     "forecast_lambda": PATHS + """
 SELECT draw, series, step, round(mu, 4) + 0.0 AS mu, round(b, 4) + 0.0 AS b_ope,
   round(g6, 4) + 0.0 AS gamma, round(num, 4) + 0.0 AS num, round(r, 4) + 0.0 AS r,
-  round(lambda, 4) + 0.0 AS lambda FROM path WHERE step > 0""",
+  round(lam, 4) + 0.0 AS \"lambda\" FROM path WHERE step > 0""",
     "transfer_forecast": Q.with_(
         Q.PARAMS, PAIRED, Q.noise("tp", V.HORIZON), Q.horizon("tp", V.HORIZON, "0.1"), recursive=True
-    ) + "SELECT draw, series, step, round(lambda, 4) + 0.0 AS lambda FROM path WHERE step > 0",
+    ) + "SELECT draw, series, step, round(lam, 4) + 0.0 AS \"lambda\" FROM path WHERE step > 0",
     "posterior_predict": Q.with_(
         Q.PARAMS, Q.noise("dp", V.HORIZON), Q.horizon("dp", V.HORIZON, "0.1"),
         f"""lam AS (
-  SELECT draw, series, step, least(lambda, 4.0) AS ll, exp(least(lambda, 4.0)) AS rate,
+  SELECT draw, series, step, least(lam, 4.0) AS ll, exp(least(lam, 4.0)) AS rate,
     {Q.lane(f"'{V.SEED}|' || draw || '|' || series || '|' || step || '|y'")} AS u
   FROM path WHERE step > 0)""",
         """cdf AS (
@@ -513,7 +515,7 @@ SELECT draw, series, step, round(mu, 4) + 0.0 AS mu, round(b, 4) + 0.0 AS b_ope,
 SELECT draw, series, step, count(*) FILTER (WHERE cum < u) AS y_pred FROM cdf GROUP BY 1, 2, 3""",
     "interval_table": PATHS + f"""
 SELECT series, CAST({LAST} + step AS DATE) AS date, {INTERVAL4}
-FROM (SELECT series, step, exp(lambda) AS value FROM path WHERE step > 0) GROUP BY series, step""",
+FROM (SELECT series, step, exp(lam) AS value FROM path WHERE step > 0) GROUP BY series, step""",
     "monthly_interval": DR + f"""
 SELECT 'chain ' || chain AS series, CAST(DATE '2021-01-01' + to_months(i1 - 1) AS DATE) AS date, {INTERVAL4}
 FROM dr GROUP BY chain, i1""",
@@ -525,7 +527,7 @@ SELECT 'S' || series AS series,
   series || '.S' || series || ' (b_ar = ' || printf('%.3f', round_even(avg(b_ar), 3)) || ')' AS label
 FROM dp GROUP BY dp.series""",
     "loglik": Q.with_(INNOVATIONS, states_sql(False), recursive=True) + """
-SELECT s.draw, round(sum(y * lambda - exp(lambda) - lgamma(y + 1)), 6) + 0.0 AS loglik
+SELECT s.draw, round(sum(y * lam - exp(lam) - lgamma(y + 1)), 6) + 0.0 AS loglik
 FROM st s JOIN (SELECT draw, t, CAST(floor(abs(mu_err) * 200) AS INTEGER) AS y FROM inn) c
   ON c.draw = s.draw AND c.t = s.t GROUP BY 1""",
     "log_prior": Q.with_(Q.PARAMS) + "SELECT draw, round(sum(" + " + ".join(

@@ -92,11 +92,11 @@ def horizon(params: str, steps: int, gain: str) -> str:
     return f"""path AS (
   SELECT draw, series, 0 AS step, mu_last AS mu, mu_prev AS m2, b_last AS b,
          g1, g2, g3, g4, g5, g6, num_last AS num, CAST(0 AS DOUBLE) AS r,
-         CAST(0 AS DOUBLE) AS lambda, CAST(0 AS DOUBLE) AS delta
+         CAST(0 AS DOUBLE) AS lam, CAST(0 AS DOUBLE) AS delta
   FROM {params}
   UNION ALL
   SELECT draw, series, step, mu, m2, b, g1, g2, g3, g4, g5, g6, num, r,
-         mu + g6 + b * num + r AS lambda, mu - m2 AS delta
+         mu + g6 + b * num + r AS lam, mu - m2 AS delta
   FROM (
     SELECT p.draw, p.series, p.step + 1 AS step,
            q.intercept + q.b_ar * (2.0 * p.mu - p.m2) + q.s_z * z.zmu AS mu,

@@ -46,21 +46,31 @@ def poisson_from_uniform(rate: Column, u: Column, z: Column | None = None) -> Co
     The fold runs far enough into the tail that the missing mass is below one
     lane step.  Rates above 500 use the rounded normal limit, which needs ``z``.
     """
-    last = F.ceil(rate + 10.0 * F.sqrt(rate) + 20.0).cast("int")
+    # the rate and the uniform ride in the accumulator: inside the fold they
+    # would be evaluated again at every step
     start = F.struct(
-        F.exp(-rate).alias("p"), F.exp(-rate).alias("cum"), F.lit(0).alias("count")
+        F.exp(-rate).alias("p"),
+        F.exp(-rate).alias("cum"),
+        F.lit(0).alias("count"),
+        rate.alias("rate"),
+        u.alias("u"),
     )
+    last = F.when(
+        rate <= 500.0, F.ceil(rate + 10.0 * F.sqrt(rate) + 20.0).cast("int")
+    ).otherwise(F.lit(1))
 
     def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * rate / k
+        p = acc["p"] * acc["rate"] / k
         return F.struct(
             p.alias("p"),
             (acc["cum"] + p).alias("cum"),
-            (acc["count"] + (acc["cum"] < u).cast("int")).alias("count"),
+            (acc["count"] + (acc["cum"] < acc["u"]).cast("int")).alias("count"),
+            acc["rate"].alias("rate"),
+            acc["u"].alias("u"),
         )
 
     small = F.aggregate(
-        F.sequence(F.lit(1), F.when(rate <= 500.0, last).otherwise(F.lit(1))),
+        F.sequence(F.lit(1), last),
         start,
         step,
         lambda acc: acc["count"].cast("bigint"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldcast.functions.noise import digest, normal_from_digest, poisson_from_uniform, uniform
-from fieldcast.functions.recursions import scan
+from fieldcast.functions.recursions import let, scan
 
 SCALES = ("s_z", "s_s", "s_r", "s_t")
 STATES = (
@@ -89,7 +89,7 @@ def horizon(params: DataFrame, steps: int, gain: Column, seed: int = 1234) -> Da
         *[F.col(c).cast("double").alias(name) for c, name in zip(start, carried)]
     )
 
-    def step(s: Column, z: Column):
+    def emit(s: Column, z: Column) -> Column:
         mu = (
             F.col("intercept")
             + F.col("b_ar") * (2.0 * s["m1"] - s["m2"])
@@ -97,31 +97,38 @@ def horizon(params: DataFrame, steps: int, gain: Column, seed: int = 1234) -> Da
         )
         b = s["b"] + F.col("s_t") * z["b"]
         total = s["g1"] + s["g2"] + s["g3"] + s["g4"] + s["g5"] + s["g6"]
-        gamma = -total + F.col("s_s") * z["g"]
-        num = s["num"] + gain
-        nxt = F.struct(
-            mu.alias("m1"),
+        return let(
+            F.struct(
+                mu.alias("mu"),
+                b.alias("b"),
+                (-total + F.col("s_s") * z["g"]).alias("gamma"),
+                (s["num"] + gain).alias("num"),
+                (F.col("s_r") * z["r"]).alias("r"),
+            ),
+            lambda n: F.struct(
+                z["step"].alias("step"),
+                n["mu"].alias("mu"),
+                n["b"].alias("b_ope"),
+                n["gamma"].alias("gamma"),
+                n["num"].alias("num"),
+                (n["b"] * n["num"]).alias("tvc"),
+                n["r"].alias("r"),
+                (n["mu"] + n["gamma"] + n["b"] * n["num"] + n["r"]).alias("lambda"),
+                (n["mu"] - s["m1"]).alias("delta"),
+            ),
+        )
+
+    def advance(s: Column, out: Column) -> Column:
+        return F.struct(
+            out["mu"].alias("m1"),
             s["m1"].alias("m2"),
-            b.alias("b"),
+            out["b_ope"].alias("b"),
             *[s[f"g{i + 1}"].alias(f"g{i}") for i in range(1, 6)],
-            gamma.alias("g6"),
-            num.alias("num"),
-        )
-        r = F.col("s_r") * z["r"]
-        out = F.struct(
-            z["step"].alias("step"),
-            mu.alias("mu"),
-            b.alias("b_ope"),
-            gamma.alias("gamma"),
-            num.alias("num"),
-            (b * num).alias("tvc"),
-            r.alias("r"),
-            (mu + gamma + b * num + r).alias("lambda"),
-            (mu - s["m1"]).alias("delta"),
+            out["gamma"].alias("g6"),
+            out["num"].alias("num"),
         )
-        return nxt, out
 
-    return params.withColumn("path", scan(noise, initial, step, STEP_TYPE))
+    return params.withColumn("path", scan(noise, initial, emit, advance, STEP_TYPE))
 
 
 def explode_path(simulated: DataFrame, keys: tuple[str, ...] = ("draw", "series")) -> DataFrame:

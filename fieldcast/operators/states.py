@@ -16,7 +16,8 @@ STATE = ("mu", "b_ope", "gamma", "tvc", "r", "lambda")
 
 
 def reconstruct(params: DataFrame, variant: str = "smooth") -> DataFrame:
-    """Adds the state arrays ``mu, b_ope, gamma, r, tvc, lambda``.
+    """Adds ``states``: an array over time of ``mu, b_ope, gamma, tvc, r,
+    lambda, delta``.  ``delta`` is the level change, null at the first point.
 
     ``smooth``  second-order level, all innovations scaled;
     ``ar1``     first-order level, the initial seasonal values and the first
@@ -24,49 +25,41 @@ def reconstruct(params: DataFrame, variant: str = "smooth") -> DataFrame:
     """
     smooth = variant == "smooth"
     level = rec.level_second_order if smooth else rec.level_first_order
-    with_states = (
-        params.withColumn(
-            "mu", level(F.col("mu_err"), F.col("intercept"), F.col("b_ar"), F.col("s_z"))
-        )
-        .withColumn("b_ope", rec.random_walk(F.col("b_ope_err"), F.col("s_t"), smooth))
-        .withColumn("gamma", rec.seasonal_week(F.col("gamma_err"), F.col("s_s"), smooth))
-        .withColumn("r", F.transform("r_raw", lambda e: F.col("s_r") * e))
-    )
-    zipped = F.arrays_zip("mu", "b_ope", "gamma", "r", "num")
-    # one pass over time for the products and sums
-    return (
-        with_states.withColumn("__z", zipped)
-        .withColumn("tvc", F.transform("__z", lambda z: z["b_ope"] * z["num"]))
-        .withColumn(
-            "lambda",
-            F.transform(
-                "__z",
-                lambda z: z["mu"] + z["gamma"] + z["b_ope"] * z["num"] + z["r"],
-            ),
-        )
-        .drop("__z")
+    mu = level(F.col("mu_err"), F.col("intercept"), F.col("b_ar"), F.col("s_z"))
+    b_ope = rec.random_walk(F.col("b_ope_err"), F.col("s_t"), smooth)
+    gamma = rec.seasonal_week(F.col("gamma_err"), F.col("s_s"), smooth)
+    r = F.transform("r_raw", lambda e: F.col("s_r") * e)
+
+    def assemble(z: Column) -> Column:
+        def at(s: Column, i: Column) -> Column:
+            tvc = s["b_ope"] * s["num"]
+            return F.struct(
+                s["mu"].alias("mu"),
+                s["b_ope"].alias("b_ope"),
+                s["gamma"].alias("gamma"),
+                tvc.alias("tvc"),
+                s["r"].alias("r"),
+                (s["mu"] + s["gamma"] + tvc + s["r"]).alias("lambda"),
+                F.when(i >= 1, s["mu"] - F.get(z, i - 1)["mu"]).alias("delta"),
+            )
+
+        return F.transform(z, at)
+
+    parts = F.arrays_zip(
+        mu.alias("mu"), b_ope.alias("b_ope"), gamma.alias("gamma"), r.alias("r"),
+        F.col("num").alias("num"),
+    ).cast(
+        "array<struct<mu:double,b_ope:double,gamma:double,r:double,num:double>>"
     )
+    return params.withColumn("states", rec.let(parts, assemble))
 
 
 def explode_states(states: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, t, mu, b_ope, gamma, tvc, r, lambda, delta), one row per time.
-
-    ``delta`` is the level change; it is null at t = 1.
-    """
-    zipped = F.arrays_zip(*STATE)
-    change = F.transform(
-        "mu",
-        lambda m, i: F.when(i >= 1, m - F.get(F.col("mu"), i - 1)),
-    )
-    return (
-        states.select(*keys, zipped.alias("__z"), change.alias("__d"))
-        .select(*keys, "__d", F.posexplode("__z").alias("__i", "__s"))
-        .select(
-            *keys,
-            (F.col("__i") + 1).alias("t"),
-            *[F.col("__s")[s].alias(s) for s in STATE],
-            F.get(F.col("__d"), F.col("__i")).alias("delta"),
-        )
+    """(keys, t, mu, b_ope, gamma, tvc, r, lambda, delta), one row per time."""
+    return states.select(*keys, F.posexplode("states").alias("__i", "__s")).select(
+        *keys,
+        (F.col("__i") + 1).alias("t"),
+        *[F.col("__s")[s].alias(s) for s in (*STATE, "delta")],
     )
 
 
