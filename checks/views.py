@@ -124,7 +124,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long draws of one vector variable, ``i1`` from 1."""
     return vectors(spark, sf_dir).select(
-        "chain", "iteration", "draw", F.posexplode("e").alias("i1", "value")
+        "chain", "iteration", "draw", F.posexplode_outer("e").alias("i1", "value")
     ).withColumn("i1", F.col("i1") + 1)
 
 
@@ -132,7 +132,7 @@ def forecast_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen values of a vector per (draw, series)."""
     slots = vectors(spark, sf_dir).select(
         "draw",
-        F.posexplode(F.array(*[F.slice("e", 1 + 16 * n, 16) for n in range(4)])).alias("n", "p"),
+        F.posexplode_outer(F.array(*[F.slice("e", 1 + 16 * n, 16) for n in range(4)])).alias("n", "p"),
     )
 
     def p(i: int):

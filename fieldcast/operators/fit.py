@@ -231,5 +231,5 @@ def long_draws(fitted: DataFrame, keys: list[str]) -> DataFrame:
         for a in ("mu", "b_ope", "gamma", "r", "lambda")
     ]
     return fitted.select(
-        *keys, "chain", "iteration", "draw", F.inline(F.concat(F.array(*scalars), *arrays))
+        *keys, "chain", "iteration", "draw", F.inline_outer(F.concat(F.array(*scalars), *arrays))
     )

@@ -69,6 +69,7 @@ def _bin_starts(binned: DataFrame, keys: list[str]) -> DataFrame:
         binned.groupBy(*keys, *BIN)
         .agg(F.sum("__n").alias("__bn"), F.max("__total").alias("__size"))
         .withColumn("__before", F.sum("__bn").over(order) - F.col("__bn"))
+        .select(*keys, *BIN, "__bn", "__before", "__size")
     )
 
 
@@ -78,8 +79,12 @@ def _inside_bins(binned: DataFrame, starts: DataFrame, keys: list[str]) -> DataF
         .orderBy("__v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # the group size comes from the binned side: both uses of it then need the
+    # same columns, and Spark computes the shared part once
     joined = join_null_safe(
-        binned.drop("__total"), starts.drop("__bn"), [*keys, *BIN]
+        binned.withColumnRenamed("__total", "__size"),
+        starts.select(*keys, *BIN, "__before"),
+        [*keys, *BIN],
     )
     return joined.withColumn(
         "__start", F.col("__before") + F.sum("__n").over(order) - F.col("__n")

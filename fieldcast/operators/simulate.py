@@ -132,7 +132,12 @@ def horizon(params: DataFrame, steps: int, gain: Column, seed: int = 1234) -> Da
 
 
 def explode_path(simulated: DataFrame, keys: tuple[str, ...] = ("draw", "series")) -> DataFrame:
-    return simulated.select(*keys, F.inline("path"))
+    """One row per step.
+
+    The outer form matters: the inner one makes the optimizer add a filter on
+    the path, which would run the whole simulation a second time.
+    """
+    return simulated.select(*keys, F.inline_outer("path"))
 
 
 def predictive_counts(rows: DataFrame, log_rate: Column, seed: int, *ids: Column) -> DataFrame:

@@ -55,8 +55,12 @@ def reconstruct(params: DataFrame, variant: str = "smooth") -> DataFrame:
 
 
 def explode_states(states: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, t, mu, b_ope, gamma, tvc, r, lambda, delta), one row per time."""
-    return states.select(*keys, F.posexplode("states").alias("__i", "__s")).select(
+    """(keys, t, mu, b_ope, gamma, tvc, r, lambda, delta), one row per time.
+
+    The outer form keeps the optimizer from adding a filter on ``states``,
+    which would reconstruct them twice.
+    """
+    return states.select(*keys, F.posexplode_outer("states").alias("__i", "__s")).select(
         *keys,
         (F.col("__i") + 1).alias("t"),
         *[F.col("__s")[s].alias(s) for s in (*STATE, "delta")],

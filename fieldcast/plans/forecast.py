@@ -93,7 +93,7 @@ def transferred_forecast(
     ).select("draw", "series", "start", (F.col("t") + F.col("step")).alias("i2"), "lambda",
              F.lit(True).alias("is_future"))
     observed = draws_b.join(inputs_b.select("series", "start"), "series").select(
-        "draw", "series", "start", F.posexplode("lambda").alias("i2", "lambda")
+        "draw", "series", "start", F.posexplode_outer("lambda").alias("i2", "lambda")
     ).select("draw", "series", "start", (F.col("i2") + 1).alias("i2"), "lambda",
              F.lit(False).alias("is_future"))
     counts = predictive_counts(

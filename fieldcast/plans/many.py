@@ -51,6 +51,6 @@ def fit_many(
             F.struct(F.lit("r_probs").alias("item"), (i + 1).alias("t"), z["effect"].alias("value")),
         ),
     )
-    long = paths.select(key, F.inline(F.flatten(items)))
+    long = paths.select(key, F.inline_outer(F.flatten(items)))
     cuts = bounded_quantiles(long, [key, "item", "t"], "value", INTERVAL)
     return dated(cuts, start, "t", "month").select(key, "item", "date", "lwr", "fit", "upr")
