@@ -1,9 +1,12 @@
 """Posterior draws of structural Poisson series, one task per series and chain.
 
-Given scales and slope, the log rate is linear in the standard-normal
-innovations, so each chain alternates two updates that need no tuning:
-elliptical slice sampling (Murray, Adams & MacKay 2010) of all innovations at
-once and univariate slice sampling (Neal 2003) of the six scalars.
+Given the slope, the log rate is a sum of five response paths (intercept,
+level, season, effect, base), each times one scalar, and every path is linear
+in the standard-normal innovations.  Two updates that need no tuning follow:
+univariate slice sampling (Neal 2003) of the six scalars, and elliptical slice
+sampling (Murray, Adams & MacKay 2010) of all innovations at once.  Linearity
+lets both try proposals as plain vector sums; only a new slope or a new
+direction runs the recursions again.
 
 Series, generations and chains are independent, so Spark spreads them; a group
 holds one row whose arrays have one element per day.
@@ -25,109 +28,130 @@ SCALAR_NAMES = ("intercept", "b_ar", "s_z", "s_s", "s_r", "s_t")
 SCALE_DF = 5.0
 
 
-def level_path(errors, intercept, slope, scale):
-    out = np.empty(len(errors))
+def level_response(inputs, slope):
+    """Response of ``m_t = b (2 m_{t-1} - m_{t-2}) + input_t``."""
+    out = []
     one = two = 0.0
-    for t, e in enumerate((scale * errors).tolist()):
-        pull = 2.0 * one - two if t >= 2 else one
-        one, two = intercept + slope * pull + e, one
-        out[t] = one
-    return out
+    for t, e in enumerate(inputs.tolist()):
+        one, two = slope * (2.0 * one - two if t >= 2 else one) + e, one
+        out.append(one)
+    return np.array(out)
 
 
-def season_path(errors, scale, length):
+def season_response(errors, length):
     """Weekly pattern in closed form: running sums per residue modulo 7."""
-    w = scale * errors
     change = np.empty(length)
-    change[:6] = w[:6]
-    if length > 6:
-        change[6] = w[0] - w[:6].sum()
-        change[7:] = np.diff(w)[: length - 7]
+    change[:6] = errors[:6]
+    change[6] = errors[0] - errors[:6].sum()
+    change[7:] = np.diff(errors)[: length - 7]
     for k in range(7):
         change[k::7] = np.cumsum(change[k::7])
     return change
 
 
-def states_of(theta, z, num):
+def responses(z, slope, num):
+    """Unit-scale paths of level, season, effect and base for innovations z."""
     length = len(num)
     mu_err, b_err, r_raw, g_err = np.split(z, [length, 2 * length, 3 * length])
-    mu = level_path(mu_err, theta[0], theta[1], abs(theta[2]))
-    b = np.cumsum(abs(theta[5]) * b_err)
-    gamma = season_path(g_err, abs(theta[3]), length)
-    r = abs(theta[4]) * r_raw
-    return mu, b, gamma, r, mu + gamma + b * num + r
+    return np.stack([
+        level_response(mu_err, slope),
+        season_response(g_err, length),
+        r_raw,
+        np.cumsum(b_err) * num,
+    ])
 
 
 def log_likelihood(log_rate, y, seen):
     with np.errstate(over="ignore", invalid="ignore"):
-        value = np.sum((y * log_rate - np.exp(log_rate))[seen])
+        value = (y * log_rate - np.exp(log_rate))[seen].sum()
     return value if np.isfinite(value) else -np.inf
 
 
-def log_prior(theta):
-    def t(x, df, scale=1.0):
-        return -(df + 1) / 2 * np.log1p((x / scale) ** 2 / df)
-
-    return t(theta[0], 3.0, 10.0) + t(theta[1], 3.0) + sum(t(s, SCALE_DF) for s in theta[2:])
+def t_density(x, df, scale=1.0):
+    return -(df + 1) / 2 * np.log1p((x / scale) ** 2 / df)
 
 
-def ellipse_update(rng, theta, z, num, y, seen, current):
-    other = rng.standard_normal(len(z))
+def slice_update(rng, x, current, density, width):
+    """New point of a univariate density and its value."""
     floor = current + np.log(rng.uniform())
-    angle = rng.uniform(0.0, 2.0 * np.pi)
-    low, high = angle - 2.0 * np.pi, angle
-    while True:
-        proposal = z * np.cos(angle) + other * np.sin(angle)
-        value = log_likelihood(states_of(theta, proposal, num)[4], y, seen)
-        if value > floor or high - low < 1e-10:
-            return (proposal, value) if value > floor else (z, current)
-        low, high = (angle, high) if angle < 0 else (low, angle)
-        angle = rng.uniform(low, high)
-
-
-def slice_update(rng, theta, i, z, num, y, seen, current, width):
-    def density(x):
-        trial = theta.copy()
-        trial[i] = x
-        return log_likelihood(states_of(trial, z, num)[4], y, seen) + log_prior(trial)
-
-    floor = current + log_prior(theta) + np.log(rng.uniform())
-    low = theta[i] - width * rng.uniform()
+    low = x - width * rng.uniform()
     high = low + width
     while density(low) > floor:
         low -= width
     while density(high) > floor:
         high += width
     while high - low > 1e-12:
-        x = rng.uniform(low, high)
-        if density(x) > floor:
-            theta = theta.copy()
-            theta[i] = x
-            return theta, log_likelihood(states_of(theta, z, num)[4], y, seen)
-        low, high = (x, high) if x < theta[i] else (low, x)
-    return theta, current
+        trial = rng.uniform(low, high)
+        if density(trial) > floor:
+            return trial
+        low, high = (trial, high) if trial < x else (low, trial)
+    return x
 
 
-def run_chain(y, num, seed, warmup, samples, thin):
+def run_chain(y, num, seed, warmup, samples, thin, innovation_moves=5):
     """Yield (iteration, scalars, innovations) of the kept iterations."""
     rng = np.random.default_rng(seed)
     length = len(num)
     seen = ~np.isnan(y)
     y = np.where(seen, y, 0.0)
-    z = 0.01 * rng.standard_normal(4 * length - 6)
-    start = np.log(max(y[seen].mean(), 0.05)) if seen.any() else 0.0
-    theta = np.array([start / 2, 0.5, 0.05, 0.05, 0.05, 0.05])
+    ones = np.ones(length)
+    level = np.log(max(y[seen].mean(), 0.05)) if seen.any() else 0.0
+    theta = np.array([level / 2, 0.5, 0.05, 0.05, 0.05, 0.05])
     widths = (0.5, 0.2, 0.2, 0.2, 0.2, 0.2)
-    current = log_likelihood(states_of(theta, z, num)[4], y, seen)
-    if not np.isfinite(current):
+    z = 0.01 * rng.standard_normal(4 * length - 6)
+    constant, paths = level_response(ones, theta[1]), responses(z, theta[1], num)
+    log_rate = theta[0] * constant + theta[2:] @ paths
+    if not np.isfinite(log_likelihood(log_rate, y, seen)):
         raise ValueError("initial state has no finite likelihood")
     for it in range(warmup + samples):
-        for i, width in enumerate(widths):
-            theta, current = slice_update(rng, theta, i, z, num, y, seen, current, width)
-        for _ in range(3):
-            z, current = ellipse_update(rng, theta, z, num, y, seen, current)
+        for i in (0, 2, 3, 4, 5):
+            path = constant if i == 0 else paths[i - 2]
+            rest = log_rate - theta[i] * path
+            prior = (3.0, 10.0) if i == 0 else (SCALE_DF, 1.0)
+
+            def density(x):
+                return log_likelihood(rest + x * path, y, seen) + t_density(x, *prior)
+
+            theta[i] = slice_update(rng, theta[i], density(theta[i]), density, widths[i])
+            log_rate = rest + theta[i] * path
+        rest = log_rate - theta[0] * constant - theta[2] * paths[0]
+        drive = theta[0] + theta[2] * z[:length]
+
+        def slope_density(b):
+            with np.errstate(over="ignore", invalid="ignore"):
+                value = log_likelihood(rest + level_response(drive, b), y, seen)
+            return value + t_density(b, 3.0)
+
+        theta[1] = slice_update(rng, theta[1], slope_density(theta[1]), slope_density, widths[1])
+        constant, paths[0] = level_response(ones, theta[1]), level_response(z[:length], theta[1])
+        fixed = theta[0] * constant
+        for _ in range(innovation_moves):
+            other = rng.standard_normal(len(z))
+            turn = responses(other, theta[1], num)
+            here, there = theta[2:] @ paths, theta[2:] @ turn
+            floor = log_likelihood(fixed + here, y, seen) + np.log(rng.uniform())
+            angle = rng.uniform(0.0, 2.0 * np.pi)
+            low, high = angle - 2.0 * np.pi, angle
+            while high - low > 1e-10:
+                c, s = np.cos(angle), np.sin(angle)
+                if log_likelihood(fixed + c * here + s * there, y, seen) > floor:
+                    z, paths = c * z + s * other, c * paths + s * turn
+                    break
+                low, high = (angle, high) if angle < 0 else (low, angle)
+                angle = rng.uniform(low, high)
+        log_rate = fixed + theta[2:] @ paths
         if it >= warmup and (it - warmup) % thin == 0:
-            yield (it - warmup) // thin + 1, theta, z
+            yield (it - warmup) // thin + 1, theta.copy(), z
+
+
+def states_of(theta, z, num):
+    """Level, base coefficient, season, effect and log rate."""
+    length = len(num)
+    mu = level_response(theta[0] + theta[2] * z[:length], theta[1])
+    _, season, effect, _ = responses(z, theta[1], num)
+    b = theta[5] * np.cumsum(z[length:2 * length])
+    gamma, r = theta[3] * season, theta[4] * effect
+    return mu, b, gamma, r, mu + gamma + b * num + r
 
 
 SCHEMA = (
@@ -168,6 +192,7 @@ def fit_series(
             mu, b, gamma, r, log_rate = states_of(theta, z, num)
             if not np.isfinite(log_rate).all():
                 raise ValueError(f"non-finite state in {names} chain {chain}")
+            # the sign of a scale and of its innovations cancel: report positive scales
             scalars = [theta[0], theta[1], *np.abs(theta[2:])]
             draw = (int(chain) - 1) * per_chain + it
             rows.append([*names, chain, it, draw, *scalars, mu, b, gamma, r, log_rate, num])

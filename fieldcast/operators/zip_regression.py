@@ -1,23 +1,29 @@
-"""Zero-inflated Poisson regression by expectation-maximisation (Lambert 1992).
-
-Each iteration is a single pass over the design: the responsibilities are a
-column expression of the current coefficients, and the score and information
-of both parts are plain sums, combined map side.  What reaches the driver is a
-fixed number of sums per replicate, independent of the number of rows.  All
-bootstrap replicates share the pass; a row's replicate weight is a Poisson(1)
-count drawn from a hash of its id, so it is the same after any recomputation.
+"""Zero-inflated Poisson regression by direct maximum likelihood.
+
+Each iteration is a single pass over the cached design.  Likelihood, score and
+observed information are sums over rows: every Arrow batch is reduced by a few
+matrix products in its task, and Spark adds the partial sums.  What reaches
+the driver is a fixed number of sums per replicate, independent of the number
+of rows; a damped Newton step follows.  All bootstrap replicates share the
+pass; a row's weight in a replicate is a Poisson(1) count drawn from a hash of
+its id, so it is the same after any recomputation.
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldcast.functions.noise import poisson_from_uniform, uniform
 from fieldcast.operators.density import log_factorial
 
+# workers need no installed copy of this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 INTERCEPT = "intercept"
 
 
@@ -45,77 +51,102 @@ def column_scales(df: DataFrame, predictors: list[str]) -> dict[str, float]:
 
 def design(df: DataFrame, response: str, predictors: list[str], scales: dict[str, float],
            row_id: str) -> DataFrame:
-    """(id, y, x0..xk) with an intercept column and max-scaled predictors."""
+    """(id, y, ln y!, x0..xk) with an intercept column and max-scaled predictors.
+
+    Rows without a response or predictor are left out.
+    """
     columns = [F.lit(1.0).alias("x0")] + [
         (F.col(p).cast("double") / scales[p]).alias(f"x{i + 1}")
         for i, p in enumerate(predictors)
     ]
-    return df.select(
-        F.col(row_id).alias("id"), F.col(response).cast("double").alias("y"), *columns
+    complete = df.dropna(subset=[response, *predictors])
+    return complete.select(
+        F.col(row_id).alias("id"),
+        F.col(response).cast("double").alias("y"),
+        log_factorial(F.col(response).cast("int")).alias("log_factorial"),
+        *columns,
     )
 
 
-def replicated(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Rows per replicate with their bootstrap weight; replicate 0 has weight 1."""
-    weight = F.when(F.col("rep") == 0, F.lit(1.0)).otherwise(
-        poisson_from_uniform(F.lit(1.0), uniform(seed, F.col("id"), F.col("rep"))).cast(
-            "double"
-        )
-    )
-    return (
-        rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-        .withColumn("w", weight)
-        .where(F.col("w") > 0)
-    )
+def bootstrap_weights(seeds: np.ndarray, rep: int) -> np.ndarray:
+    """Poisson(1) weight of each row in a replicate, a hash of the row's seed."""
+    if rep == 0:
+        return np.ones(len(seeds))
+    with np.errstate(over="ignore"):
+        h = seeds.astype(np.uint64) + np.uint64(rep) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h ^= h >> np.uint64(31)
+    u = (h >> np.uint64(11)).astype(float) / 2.0**53
+    mass = np.exp(-1.0) / np.cumprod(np.maximum(np.arange(18), 1))
+    return np.searchsorted(np.cumsum(mass), u).astype(float)
+
 
+def batch_sums(y, log_factorials, x, w, coefs) -> np.ndarray:
+    """Likelihood, score and information of one batch under one replicate."""
+    with np.errstate(over="ignore", divide="ignore"):
+        p = 1.0 / (1.0 + np.exp(-(x @ coefs[0])))
+        log_rate = x @ coefs[1]
+        rate = np.exp(log_rate)
+        miss = np.exp(-rate)
+        zero = 1.0 - p + p * miss
+        pq = p * (1.0 - p)
+        z1, z2 = -pq * (1.0 - miss) / zero, -p * rate * miss / zero
+        seen = y > 0
+        value = np.where(seen, np.log(p) + y * log_rate - rate - log_factorials, np.log(zero))
+    s1, s2 = np.where(seen, 1.0 - p, z1), np.where(seen, y - rate, z2)
+    h11 = np.where(seen, -pq, z1 * (1.0 - 2.0 * p) - z1 * z1)
+    h12 = np.where(seen, 0.0, -pq * rate * miss / zero - z1 * z2)
+    h22 = np.where(seen, -rate, z2 * (1.0 - rate) - z2 * z2)
+    info = [(x * (w * h)[:, None]).T @ x for h in (h11, h12, h22)]
+    parts = [[w @ value], (w * s1) @ x, (w * s2) @ x, *[m.ravel() for m in info]]
+    return np.concatenate(parts)
 
-def _pass(data: DataFrame, coefs: dict[int, np.ndarray], k: int) -> dict[int, dict]:
-    def linear(part: int) -> Column:
-        # coefficients of every replicate as one constant array, picked by rep
-        total = F.lit(0.0)
-        for j in range(k):
-            values = F.array(*[F.lit(float(coefs[r][part][j])) for r in sorted(coefs)])
-            total = total + F.get(values, F.col("rep")) * F.col(f"x{j}")
-        return total
-
-    p = 1.0 / (1.0 + F.exp(-F.col("eta")))
-    rate = F.exp("log_rate")
-    zero_mass = (1.0 - F.col("p")) + F.col("p") * F.exp(-F.col("rate"))
-    z = F.when(F.col("y") > 0, 1.0).otherwise(
-        F.col("p") * F.exp(-F.col("rate")) / F.col("zero_mass")
+
+def _pass(rows: DataFrame, coefs: dict[int, np.ndarray], k: int) -> dict[int, np.ndarray]:
+    """Sums of every replicate: Arrow batches are reduced where they lie, the
+    partial sums are added by Spark."""
+    names = [f"x{j}" for j in range(k)]
+
+    def reduce(batches):
+        totals = {r: 0.0 for r in coefs}
+        for pdf in batches:
+            x = pdf[names].to_numpy(float)
+            y, lf = pdf["y"].to_numpy(float), pdf["log_factorial"].to_numpy(float)
+            seeds = pdf["seed"].to_numpy()
+            for r in coefs:
+                w = bootstrap_weights(seeds, r)
+                totals[r] = totals[r] + batch_sums(y, lf, x, w, coefs[r])
+        found = [(r, t.tolist()) for r, t in totals.items() if not np.isscalar(t)]
+        yield pd.DataFrame(found, columns=["rep", "sums"])
+
+    partial = rows.select("y", "log_factorial", "seed", *names).mapInPandas(
+        reduce, "rep int, sums array<double>"
     )
-    density = F.when(F.col("y") > 0,
-                     F.log("p") + F.col("y") * F.col("log_rate") - F.col("rate")
-                     - log_factorial(F.col("y").cast("int"))).otherwise(F.log("zero_mass"))
-    scored = (
-        data.withColumns({"eta": linear(0), "log_rate": linear(1)})
-        .withColumns({"p": p, "rate": rate})
-        .withColumn("zero_mass", zero_mass)
-        .withColumns({"z": z, "ll": density})
+    total = (
+        partial.select("rep", F.posexplode("sums").alias("i", "v"))
+        .groupBy("rep", "i")
+        .agg(F.sum("v").alias("v"))
+        .collect()
     )
-    w, x = F.col("w"), [F.col(f"x{j}") for j in range(k)]
-    sums = [F.sum(w * F.col("ll")).alias("ll")]
-    for j in range(k):
-        sums.append(F.sum(w * (F.col("z") - F.col("p")) * x[j]).alias(f"s1_{j}"))
-        sums.append(
-            F.sum(w * F.col("z") * (F.col("y") - F.col("rate")) * x[j]).alias(f"s2_{j}")
-        )
-        for i in range(j + 1):
-            sums.append(
-                F.sum(w * F.col("p") * (1.0 - F.col("p")) * x[j] * x[i]).alias(f"h1_{j}_{i}")
-            )
-            sums.append(F.sum(w * F.col("z") * F.col("rate") * x[j] * x[i]).alias(f"h2_{j}_{i}"))
-    return {r["rep"]: r.asDict() for r in scored.groupBy("rep").agg(*sums).collect()}
+    out = {r: np.zeros(1 + 2 * k + 3 * k * k) for r in coefs}
+    for row in total:
+        out[row["rep"]][row["i"]] = row["v"]
+    return out
 
 
-def _newton(sums: dict, part: int, k: int) -> np.ndarray:
-    score = np.array([sums[f"s{part}_{j}"] for j in range(k)])
-    info = np.zeros((k, k))
-    for j in range(k):
-        for i in range(j + 1):
-            info[j, i] = info[i, j] = sums[f"h{part}_{j}_{i}"]
-    # the pseudo-inverse leaves a zero-variance predictor at zero
-    return np.linalg.pinv(info, hermitian=True) @ score
+def newton_step(sums: np.ndarray, k: int) -> np.ndarray:
+    """Ascent step: curvature in absolute value, flat directions left alone."""
+    score = sums[1 : 1 + 2 * k]
+    h11, h12, h22 = sums[1 + 2 * k :].reshape(3, k, k)
+    info = -np.block([[h11, h12], [h12.T, h22]])
+    values, vectors = np.linalg.eigh(info)
+    size = np.abs(values)
+    usable = size > 1e-10 * size.max()
+    inverse = np.where(usable, 1.0 / np.where(usable, size, 1.0), 0.0)
+    step = vectors @ (inverse * (vectors.T @ score))
+    longest = np.abs(step).max()
+    return (step * min(1.0, 3.0 / longest) if longest > 0 else step).reshape(2, k)
 
 
 def fit(
@@ -128,15 +159,15 @@ def fit(
     tol: float = 1e-8,
     seed: int = 123,
 ) -> ZipModel:
-    """Fit by EM with one Newton step per part and pass.
-
-    A step that lowers a replicate's likelihood is halved, so the likelihood
-    never decreases.
-    """
+    """Fit every replicate; a step that lowers a likelihood is halved, so the
+    likelihood never decreases."""
     scales = column_scales(df, predictors)
-    rows = design(df, response, predictors, scales, row_id).persist()
+    # compact rows, spread before replicates multiply the work
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = design(df, response, predictors, scales, row_id).withColumn(
+        "seed", F.xxhash64(F.lit(seed), "id")
+    ).repartition(parts, "id").persist()
     k = len(predictors) + 1
-    data = replicated(rows, replicates, seed)
     try:
         start = rows.agg(F.avg(F.when(F.col("y") > 0, F.col("y")))).first()[0] or 1.0
         first = np.zeros((2, k))
@@ -147,11 +178,11 @@ def fit(
         done: set[int] = set()
         history: list[float] = []
         for _ in range(max_iter):
-            sums = _pass(data, coefs, k)
+            sums = _pass(rows, coefs, k)
             for r in coefs:
-                if r in done or r not in sums:
+                if r in done:
                     continue
-                value = sums[r]["ll"]
+                value = sums[r][0]
                 if not value >= best[r][0]:
                     step[r] = step[r] / 2
                     coefs[r] = best[r][1] + step[r]
@@ -166,7 +197,7 @@ def fit(
                 if gain < tol * (abs(value) + 1.0):
                     done.add(r)
                     continue
-                step[r] = np.stack([_newton(sums[r], 1, k), _newton(sums[r], 2, k)])
+                step[r] = newton_step(sums[r], k)
                 coefs[r] = best[r][1] + step[r]
             if len(done) == len(coefs):
                 break
