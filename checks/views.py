@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldcast.operators import panel as P, states as S
+from fieldcast.sources.constants import constant_table
 
 FAMILIES = ["feeder_1", "feeder_2", "finisher_1", "finisher_2"]
 GROUPS = {"feeder": FAMILIES[:2], "finisher": FAMILIES[2:]}
@@ -70,8 +71,8 @@ def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        ROUTES, "attachment string, location string, family string, ord int"
+    return constant_table(
+        spark, ROUTES, "attachment string, location string, family string, ord int"
     )
 
 

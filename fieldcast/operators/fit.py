@@ -19,7 +19,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # workers need no installed copy of this module
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -179,7 +179,7 @@ def fit_series(
     schema = SCHEMA.format(keys=", ".join(f"`{k}` string" for k in keys))
     per_chain = samples // thin + (1 if samples % thin else 0)
 
-    def sample(key, group: pd.DataFrame) -> pd.DataFrame:
+    def sample(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         *names, chain = key
         row = group.iloc[0]
         y = np.array([np.nan if v is None else v for v in row["y"]], dtype=float)
@@ -246,15 +246,16 @@ def long_draws(fitted: DataFrame, keys: list[str]) -> DataFrame:
         )
         for s in SCALAR_NAMES
     ]
-    arrays = [
-        F.transform(
-            F.col(a),
-            lambda v, i, a=a: F.struct(
-                F.lit(a).alias("variable"), (i + 1).alias("i1"), v.alias("value")
+
+    def indexed(name: str) -> Column:
+        return F.transform(
+            name,
+            lambda v, i: F.struct(
+                F.lit(name).alias("variable"), (i + 1).alias("i1"), v.alias("value")
             ),
         )
-        for a in ("mu", "b_ope", "gamma", "r", "lambda")
-    ]
+
+    arrays = [indexed(a) for a in ("mu", "b_ope", "gamma", "r", "lambda")]
     return fitted.select(
         *keys, "chain", "iteration", "draw", F.inline_outer(F.concat(F.array(*scalars), *arrays))
     )

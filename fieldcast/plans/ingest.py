@@ -68,7 +68,7 @@ def clean_events(
     """
     extra = extra or {}
     names = S.EVENT_NAMES | extra
-    wanted = [c for c in names if c != ATTACHMENT_NAME]
+    wanted = [F.col(f"`{c}`") for c in names if c != ATTACHMENT_NAME]
     rows = keep_emergencies(_parsed(_typed_events(events)), "EM", mode).select(*wanted)
     if drop_incomplete:
         rows = rows.dropna(subset=list(S.REQUIRED_EVENT_COLUMNS))

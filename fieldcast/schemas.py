@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from fieldcast.sources.constants import constant_table
+
 
 def _schema(strings=(), ints=(), doubles=(), dates=(), booleans=()) -> T.StructType:
     schema = T.StructType()
@@ -142,10 +144,10 @@ def routing(spark: SparkSession, generation: str, old_locations: bool = False) -
         feeders = SUCCESSOR_FEEDERS
         finishers = SUCCESSOR_FINISHERS_OLD if old_locations else SUCCESSOR_FINISHERS
     rows = _rules(feeders, FEEDER_LOCATIONS) + _rules(finishers, places)
-    return spark.createDataFrame(rows, ROUTING)
+    return constant_table(spark, rows, ROUTING)
 
 
 def series_map(spark: SparkSession) -> DataFrame:
     """Which predecessor series a successor series borrows from (by order)."""
     pairs = list(zip(SUCCESSOR_SERIES, PREDECESSOR_SERIES))
-    return spark.createDataFrame(pairs, "series string, donor string")
+    return constant_table(spark, pairs, "series string, donor string")
