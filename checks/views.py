@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldcast.operators import panel as P, states as S
+from fieldcast.operators.simulate import spread
 from fieldcast.sources.constants import constant_table
 
 FAMILIES = ["feeder_1", "feeder_2", "finisher_1", "finisher_2"]
@@ -164,7 +165,7 @@ N_MAX = 8.0
 def state_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Innovations of one series per draw, read from its vector in four ways."""
     e = F.col("e")
-    return vectors(spark, sf_dir).select(
+    return spread(vectors(spark, sf_dir), ["draw"]).select(
         "draw",
         "chain",
         F.lit(INTERCEPT).alias("intercept"),

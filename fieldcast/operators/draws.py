@@ -59,8 +59,9 @@ def split_chains(df: DataFrame) -> DataFrame:
     position = F.col("iteration") - F.col("__first")
     length = F.col("__last") - F.col("__first") + 1
     size = F.floor(length / 2)
+    # one row per chain of a run
     return (
-        join_null_safe(df, bounds, ["chain"])
+        join_null_safe(df, F.broadcast(bounds), ["chain"])
         .withColumn(
             "half",
             F.when(position < size, F.lit(1)).when(position >= length - size, F.lit(2)),
@@ -141,7 +142,8 @@ def rescale(df: DataFrame, scales: DataFrame, term: str = "term") -> DataFrame:
 
     Matched by name; terms without a scale keep their value.
     """
-    joined = join_null_safe(df, scales.select(term, "scale_max"), [term], "left")
+    # one row per term of a regression
+    joined = join_null_safe(df, F.broadcast(scales.select(term, "scale_max")), [term], "left")
     return joined.withColumn(
         "value", F.col("value") / F.coalesce(F.col("scale_max"), F.lit(1.0))
     ).drop("scale_max")

@@ -1,116 +1,114 @@
 """Exact quantiles and ranks of groups of any size.
 
 ``percentile`` and ``row_number() over (partition by group order by value)``
-both gather a whole group in one task.  Here no task holds more than a thin
-slice of a group, even when a single group owns most of the rows:
-
-1. (group, value) pairs are counted, with map-side combining, so repeated
-   values collapse before the shuffle;
-2. every value falls into a bin that is monotone in the value.  A bin is the
-   pair (equal-width position between the group's extremes, logarithmic
-   position of the value): the first separates narrow spreads, the second
-   heavy tails.  Bin counts per group are small and give each bin's first rank;
-3. only inside a bin are values ordered.
-
-Quantiles additionally drop every bin that holds no wanted rank before the
-ordering step.  Ranks and quantiles are exact, not approximations.
+both gather a whole group in one task, which fails when one group owns a large
+share of the rows.  Here (group, value) pairs are counted first, with map-side
+combining, so repeated values collapse before the shuffle.  Then groups part
+ways by their number of distinct values:
+
+* up to ``GROUP_LIMIT``: ``percentile`` with frequencies, whose state is
+  bounded by the limit;
+* beyond: every value falls into a bin that is monotone in the value.  A bin
+  is the pair (equal-width position between the group's extremes, logarithmic
+  position of the value): the first separates narrow spreads, the second heavy
+  tails.  Bin counts per group are few and give each bin's first rank; only
+  inside a bin are values ordered, and quantiles drop every bin without a
+  wanted rank before that.
+
+When no group is that large the second path has an empty input, and adaptive
+execution skips it.  Both paths are exact.
+
+The group key is carried as one struct: its equality treats null like any
+other value, so null keys form a group and joins stay plain equi joins.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldcast.operators.keys import join_null_safe
-
+GROUP_LIMIT = 100_000
 WIDTH_BINS = 1024
 LOG_BINS_PER_OCTAVE = 32
 LOG_SHIFT = 1100
+KEY = "__k"
 BIN = ["__ubin", "__lbin"]
 
 
 def _value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     v = F.col(value).cast("double")
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(1))
     return (
         df.where(v.isNotNull())
-        .select(*keys, (v + F.lit(0.0)).alias("__v"))
-        .groupBy(*keys, "__v")
+        .select(key.alias(KEY), (v + F.lit(0.0)).alias("__v"))
+        .groupBy(KEY, "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
 
 
-def _binned(counts: DataFrame, keys: list[str]) -> DataFrame:
-    v = F.col("__v")
-    extremes = counts.groupBy(*keys).agg(
+def _group_stats(counts: DataFrame) -> DataFrame:
+    return counts.groupBy(KEY).agg(
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
-        F.sum("__n").alias("__total"),
+        F.sum("__n").alias("__size"),
+        F.count(F.lit(1)).alias("__distinct"),
     )
+
+
+def _large(stats: DataFrame, limit: int) -> DataFrame:
+    """Groups that need bins.
+
+    The size test is implied; it keeps the frequency column in every use of
+    the counts, so that Spark computes their exchange once.
+    """
+    return stats.where((F.col("__distinct") > limit) & (F.col("__size") > limit))
+
+
+def _binned(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    v = F.col("__v")
     width = F.col("__max") - F.col("__min")
     position = F.floor((v - F.col("__min")) / width * WIDTH_BINS)
     magnitude = F.floor(LOG_BINS_PER_OCTAVE * (F.log2(F.abs(v)) + LOG_SHIFT))
-    return (
-        join_null_safe(counts, extremes, keys)
-        .withColumn("__ubin", F.when(width > 0, position).otherwise(F.lit(0)).cast("int"))
-        .withColumn(
-            "__lbin",
-            F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * magnitude).cast("int"),
-        )
-        .drop("__min", "__max")
+    joined = counts.join(stats.drop("__distinct"), KEY)
+    return joined.select(
+        KEY,
+        "__v",
+        "__n",
+        "__size",
+        F.when(width > 0, position).otherwise(F.lit(0)).cast("int").alias("__ubin"),
+        F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * magnitude).cast("int").alias("__lbin"),
     )
 
 
-def _bin_starts(binned: DataFrame, keys: list[str]) -> DataFrame:
-    order = (
-        Window.partitionBy(*keys)
-        .orderBy(*BIN)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        binned.groupBy(*keys, *BIN)
-        .agg(F.sum("__n").alias("__bn"), F.max("__total").alias("__size"))
-        .withColumn("__before", F.sum("__bn").over(order) - F.col("__bn"))
-        .select(*keys, *BIN, "__bn", "__before", "__size")
+def _running(sums: str, partition: list[str], order: list[str]) -> Column:
+    window = Window.partitionBy(*partition).orderBy(*order)
+    return F.sum(sums).over(
+        window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
 
 
-def _inside_bins(binned: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
-    order = (
-        Window.partitionBy(*keys, *BIN)
-        .orderBy("__v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # the group size comes from the binned side: both uses of it then need the
-    # same columns, and Spark computes the shared part once
-    joined = join_null_safe(
-        binned.withColumnRenamed("__total", "__size"),
-        starts.select(*keys, *BIN, "__before"),
-        [*keys, *BIN],
-    )
-    return joined.withColumn(
-        "__start", F.col("__before") + F.sum("__n").over(order) - F.col("__n")
+def _bin_starts(binned: DataFrame) -> DataFrame:
+    bins = binned.groupBy(KEY, *BIN).agg(
+        F.sum("__n").alias("__bn"), F.max("__size").alias("__total")
     )
+    return bins.withColumn("__before", _running("__bn", [KEY], BIN) - F.col("__bn"))
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
-) -> DataFrame:
-    """Linear-interpolation quantiles per group.
+def _inside_bins(binned: DataFrame, starts: DataFrame) -> DataFrame:
+    joined = binned.join(starts.select(KEY, *BIN, "__before"), [KEY, *BIN])
+    first = F.col("__before") + _running("__n", [KEY, *BIN], ["__v"]) - F.col("__n")
+    return joined.withColumn("__start", first)
 
-    ``probs`` maps output column to probability.  Null values are ignored;
-    a null key is a group of its own.
-    """
-    group = keys or ["__all"]
-    if not keys:
-        df = df.withColumn("__all", F.lit(1))
-    binned = _binned(_value_counts(df, group, value), group)
-    starts = _bin_starts(binned, group)
-
-    def ranks(p: float) -> tuple[Column, Column, Column]:
-        position = F.lit(p) * (F.col("__size") - 1)
-        low, high = F.floor(position), F.ceil(position)
-        return low, high, position - low
-
-    wanted = F.array(*[r for p in probs.values() for r in ranks(p)[:2]])
+
+def _ranks(p: float, size: str) -> tuple[Column, Column, Column]:
+    position = F.lit(p) * (F.col(size) - 1)
+    low = F.floor(position)
+    return low, F.ceil(position), position - low
+
+
+def _binned_quantiles(counts: DataFrame, stats: DataFrame, probs: list[float]) -> DataFrame:
+    binned = _binned(counts, stats)
+    starts = _bin_starts(binned)
+    wanted = F.array(*[r for p in probs for r in _ranks(p, "__total")[:2]])
     kept = starts.where(
         F.exists(
             wanted,
@@ -118,34 +116,68 @@ def exact_quantiles(
             & (r < F.col("__before") + F.col("__bn")),
         )
     )
-    inside = _inside_bins(binned, kept, group)
+    inside = _inside_bins(binned, kept)
 
     def at(rank: Column) -> Column:
         hit = (rank >= F.col("__start")) & (rank < F.col("__start") + F.col("__n"))
         return F.max(F.when(hit, F.col("__v")))
 
-    picks = [F.max("__size").alias("__size")]
-    for i, p in enumerate(probs.values()):
-        low, high, _ = ranks(p)
+    picks = [F.max("__size").alias("__total")]
+    for i, p in enumerate(probs):
+        low, high, _ = _ranks(p, "__size")
         picks += [at(low).alias(f"__lo{i}"), at(high).alias(f"__hi{i}")]
-    picked = inside.groupBy(*group).agg(*picks)
-    outputs = []
-    for i, (name, p) in enumerate(probs.items()):
-        share = ranks(p)[2]
-        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        outputs.append((low + (high - low) * share).alias(name))
-    return picked.select(*keys, *outputs)
+    values = [
+        F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * _ranks(p, "__total")[2]
+        for i, p in enumerate(probs)
+    ]
+    return inside.groupBy(KEY).agg(*picks).select(KEY, F.array(*values).alias("__q"))
+
+
+def exact_quantiles(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    probs: dict[str, float],
+    group_limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Linear-interpolation quantiles per group.
+
+    ``probs`` maps output column to probability.  Null values are ignored; a
+    null key is a group of its own; no keys means one group of everything.
+    """
+    points = list(probs.values())
+    counts = _value_counts(df, keys, value)
+    large = _large(_group_stats(counts), group_limit)
+    cuts = F.percentile("__v", F.array(*[F.lit(p) for p in points]), F.col("__n"))
+    small = counts.join(large, KEY, "left_anti").groupBy(KEY).agg(cuts.alias("__q"))
+    both = small.unionByName(_binned_quantiles(counts, large, points))
+    return both.select(
+        *[F.col(KEY)[k].alias(k) for k in keys],
+        *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)],
+    )
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def average_ranks(
+    df: DataFrame, keys: list[str], value: str, group_limit: int = GROUP_LIMIT
+) -> DataFrame:
     """(keys, value) -> 1-based average rank within the group, and group size.
 
     One row per distinct value; join back on (keys, value).
     """
-    binned = _binned(_value_counts(df, keys, value), keys)
-    inside = _inside_bins(binned, _bin_starts(binned, keys), keys)
-    return inside.select(
-        *keys,
+    counts = _value_counts(df, keys, value)
+    large = _large(_group_stats(counts), group_limit)
+    small = counts.join(large, KEY, "left_anti").withColumns(
+        {
+            "__start": _running("__n", [KEY], ["__v"]) - F.col("__n"),
+            "__size": F.sum("__n").over(Window.partitionBy(KEY)),
+        }
+    )
+    binned = _binned(counts, large)
+    inside = _inside_bins(binned, _bin_starts(binned))
+    wanted = [KEY, "__v", "__n", "__start", "__size"]
+    both = small.select(*wanted).unionByName(inside.select(*wanted))
+    return both.select(
+        *[F.col(KEY)[k].alias(k) for k in keys],
         F.col("__v").alias(value),
         (F.col("__start") + (F.col("__n") + 1) / 2).alias("rank"),
         F.col("__size").alias("group_size"),
@@ -156,7 +188,7 @@ def bounded_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """Same result for groups whose size is bounded by construction
-    (days of a window, components of a vector)."""
+    (days of a window, draws of a run with a declared length)."""
     wanted = F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs.values()]))
     out = df.groupBy(*keys).agg(wanted.alias("__q"))
     return out.select(

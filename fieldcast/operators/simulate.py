@@ -33,7 +33,9 @@ STEP_TYPE = (
 )
 
 
-def spread(params: DataFrame, partitions: int | None = None) -> DataFrame:
+def spread(
+    params: DataFrame, keys: list[str] | None = None, partitions: int | None = None
+) -> DataFrame:
     """Distribute compact parameter rows before they expand into steps.
 
     Parameter rows are small and the simulation is the expensive part, so the
@@ -41,7 +43,7 @@ def spread(params: DataFrame, partitions: int | None = None) -> DataFrame:
     coalescing from folding the work into one task.
     """
     n = partitions or int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return params.repartition(n, "draw", "series")
+    return params.repartition(n, *(keys or ["draw", "series"]))
 
 
 def transfer(states: DataFrame, scales: DataFrame, series_map: DataFrame | None = None) -> DataFrame:
