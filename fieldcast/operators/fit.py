@@ -25,42 +25,76 @@ from pyspark.sql import Column, DataFrame, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCALAR_NAMES = ("intercept", "b_ar", "s_z", "s_s", "s_r", "s_t")
-SCALE_DF = 5.0
 
 
-def level_response(inputs, slope):
-    """Response of ``m_t = b (2 m_{t-1} - m_{t-2}) + input_t``."""
+def level_response(inputs, slope, order=2):
+    """Response of ``m_t = b (2 m_{t-1} - m_{t-2}) + input_t``, or of
+    ``m_t = b m_{t-1} + input_t`` for the first order."""
     out = []
     one = two = 0.0
     for t, e in enumerate(inputs.tolist()):
-        one, two = slope * (2.0 * one - two if t >= 2 else one) + e, one
+        pull = 2.0 * one - two if order == 2 and t >= 2 else one
+        one, two = slope * pull + e, one
         out.append(one)
     return np.array(out)
 
 
-def season_response(errors, length):
-    """Weekly pattern in closed form: running sums per residue modulo 7."""
+def season_response(head, errors, length):
+    """Weekly pattern from its first six values and the later innovations, in
+    closed form: running sums per residue modulo 7."""
     change = np.empty(length)
-    change[:6] = errors[:6]
-    change[6] = errors[0] - errors[:6].sum()
+    change[:6] = head
+    change[6] = errors[0] - head.sum()
     change[7:] = np.diff(errors)[: length - 7]
     for k in range(7):
         change[k::7] = np.cumsum(change[k::7])
     return change
 
 
-def responses(z, slope, num):
-    """Unit-scale paths of level, season, effect and base for innovations z."""
+def responses(z, slope, num, variant):
+    """Paths of the log rate that the innovations z produce.
+
+    The first row carries no scale; the others are the unit-scale paths of
+    level, season, effect and base.  In the first-order variant the first
+    level, season and base innovations are not scaled.
+    """
     length = len(num)
     mu_err, b_err, r_raw, g_err = np.split(z, [length, 2 * length, 3 * length])
+    if variant == "smooth":
+        return np.stack([
+            np.zeros(length),
+            level_response(mu_err, slope),
+            season_response(g_err[:6], g_err, length),
+            r_raw,
+            np.cumsum(b_err) * num,
+        ])
+    first = np.zeros(length)
+    first[0] = 1.0
+    later = 1.0 - first
+    none = np.zeros(6)
+    fixed = (
+        level_response(slope * mu_err * first, slope, 1)
+        + season_response(g_err[:6], 0.0 * g_err, length)
+        + b_err[0] * num
+    )
     return np.stack([
-        level_response(mu_err, slope),
-        season_response(g_err, length),
+        fixed,
+        level_response(mu_err * later, slope, 1),
+        season_response(none, g_err, length),
         r_raw,
-        np.cumsum(b_err) * num,
+        np.cumsum(b_err * later) * num,
     ])
 
 
+def level_path(theta, slope, errors, variant):
+    """Level for given scalars; the first-order variant starts at ``c + b e``."""
+    if variant == "smooth":
+        return level_response(theta[0] + theta[2] * errors, slope)
+    drive = theta[0] + theta[2] * errors
+    drive[0] = theta[0] + slope * errors[0]
+    return level_response(drive, slope, 1)
+
+
 def log_likelihood(log_rate, y, seen):
     with np.errstate(over="ignore", invalid="ignore"):
         value = (y * log_rate - np.exp(log_rate))[seen].sum()
@@ -88,7 +122,7 @@ def slice_update(rng, x, current, density, width):
     return x
 
 
-def run_chain(y, num, seed, warmup, samples, thin, innovation_moves=5):
+def run_chain(y, num, seed, warmup, samples, thin, variant="smooth", innovation_moves=5):
     """Yield (iteration, scalars, innovations) of the kept iterations."""
     rng = np.random.default_rng(seed)
     length = len(num)
@@ -99,36 +133,42 @@ def run_chain(y, num, seed, warmup, samples, thin, innovation_moves=5):
     theta = np.array([level / 2, 0.5, 0.05, 0.05, 0.05, 0.05])
     widths = (0.5, 0.2, 0.2, 0.2, 0.2, 0.2)
     z = 0.01 * rng.standard_normal(4 * length - 6)
-    constant, paths = level_response(ones, theta[1]), responses(z, theta[1], num)
-    log_rate = theta[0] * constant + theta[2:] @ paths
+    order, scale_df = (2, 5.0) if variant == "smooth" else (1, 3.0)
+
+    def weights():
+        return np.concatenate([[1.0], theta[2:]])
+
+    constant = level_response(ones, theta[1], order)
+    paths = responses(z, theta[1], num, variant)
+    log_rate = theta[0] * constant + weights() @ paths
     if not np.isfinite(log_likelihood(log_rate, y, seen)):
         raise ValueError("initial state has no finite likelihood")
     for it in range(warmup + samples):
         for i in (0, 2, 3, 4, 5):
-            path = constant if i == 0 else paths[i - 2]
+            path = constant if i == 0 else paths[i - 1]
             rest = log_rate - theta[i] * path
-            prior = (3.0, 10.0) if i == 0 else (SCALE_DF, 1.0)
+            prior = (3.0, 10.0) if i == 0 else (scale_df, 1.0)
 
             def density(x):
                 return log_likelihood(rest + x * path, y, seen) + t_density(x, *prior)
 
             theta[i] = slice_update(rng, theta[i], density(theta[i]), density, widths[i])
             log_rate = rest + theta[i] * path
-        rest = log_rate - theta[0] * constant - theta[2] * paths[0]
-        drive = theta[0] + theta[2] * z[:length]
+        rest = log_rate - level_path(theta, theta[1], z[:length], variant)
 
         def slope_density(b):
             with np.errstate(over="ignore", invalid="ignore"):
-                value = log_likelihood(rest + level_response(drive, b), y, seen)
-            return value + t_density(b, 3.0)
+                level = level_path(theta, b, z[:length], variant)
+                return log_likelihood(rest + level, y, seen) + t_density(b, 3.0)
 
         theta[1] = slice_update(rng, theta[1], slope_density(theta[1]), slope_density, widths[1])
-        constant, paths[0] = level_response(ones, theta[1]), level_response(z[:length], theta[1])
+        constant = level_response(ones, theta[1], order)
+        paths = responses(z, theta[1], num, variant)
         fixed = theta[0] * constant
         for _ in range(innovation_moves):
             other = rng.standard_normal(len(z))
-            turn = responses(other, theta[1], num)
-            here, there = theta[2:] @ paths, theta[2:] @ turn
+            turn = responses(other, theta[1], num, variant)
+            here, there = weights() @ paths, weights() @ turn
             floor = log_likelihood(fixed + here, y, seen) + np.log(rng.uniform())
             angle = rng.uniform(0.0, 2.0 * np.pi)
             low, high = angle - 2.0 * np.pi, angle
@@ -139,18 +179,22 @@ def run_chain(y, num, seed, warmup, samples, thin, innovation_moves=5):
                     break
                 low, high = (angle, high) if angle < 0 else (low, angle)
                 angle = rng.uniform(low, high)
-        log_rate = fixed + theta[2:] @ paths
+        log_rate = fixed + weights() @ paths
         if it >= warmup and (it - warmup) % thin == 0:
             yield (it - warmup) // thin + 1, theta.copy(), z
 
 
-def states_of(theta, z, num):
+def states_of(theta, z, num, variant="smooth"):
     """Level, base coefficient, season, effect and log rate."""
     length = len(num)
-    mu = level_response(theta[0] + theta[2] * z[:length], theta[1])
-    _, season, effect, _ = responses(z, theta[1], num)
-    b = theta[5] * np.cumsum(z[length:2 * length])
-    gamma, r = theta[3] * season, theta[4] * effect
+    mu_err, b_err, r_raw, g_err = np.split(z, [length, 2 * length, 3 * length])
+    scaled = variant == "smooth"
+    mu = level_path(theta, theta[1], mu_err, variant)
+    walk = theta[5] * b_err
+    walk[0] = walk[0] if scaled else b_err[0]
+    head = g_err[:6] * (theta[3] if scaled else 1.0)
+    gamma = season_response(head, theta[3] * g_err, length)
+    b, r = np.cumsum(walk), theta[4] * r_raw
     return mu, b, gamma, r, mu + gamma + b * num + r
 
 
@@ -170,9 +214,13 @@ def fit_series(
     samples: int = 1000,
     thin: int = 4,
     seed: int = 1234,
+    variant: str = "smooth",
 ) -> DataFrame:
     """Compact draws: one row per (keys, draw) with scalars and state arrays.
 
+    ``variant`` is ``smooth`` (second-order level, t5 priors of the scales) or
+    ``ar1`` (first-order level, t3 priors, initial values unscaled).
+
     ``inputs`` has one row per key with ``y`` (null cells are unobserved) and
     the scaled base ``num``.  Keys must be text.
     """
@@ -184,12 +232,12 @@ def fit_series(
         row = group.iloc[0]
         y = np.array([np.nan if v is None else v for v in row["y"]], dtype=float)
         num = np.asarray(row["num"], dtype=float)
-        if len(y) < 8:
-            raise ValueError(f"series {names} is shorter than eight points")
+        if len(y) < 13:
+            raise ValueError(f"series {names} is shorter than thirteen points")
         stream = [seed, int(chain), *"|".join(map(str, names)).encode()]
         rows = []
-        for it, theta, z in run_chain(y, num, stream, warmup, samples, thin):
-            mu, b, gamma, r, log_rate = states_of(theta, z, num)
+        for it, theta, z in run_chain(y, num, stream, warmup, samples, thin, variant):
+            mu, b, gamma, r, log_rate = states_of(theta, z, num, variant)
             if not np.isfinite(log_rate).all():
                 raise ValueError(f"non-finite state in {names} chain {chain}")
             # the sign of a scale and of its innovations cancel: report positive scales

@@ -61,9 +61,14 @@ def transfer(states: DataFrame, scales: DataFrame, series_map: DataFrame | None
     return own.join(donors, ["draw", "donor"]).drop("donor")
 
 
-def horizon(params: DataFrame, steps: int, gain: Column, seed: int = 1234) -> DataFrame:
+def horizon(
+    params: DataFrame, steps: int, gain: Column, seed: int = 1234, variant: str = "smooth"
+) -> DataFrame:
     """Adds ``path``: the simulated steps 1..``steps`` as an array of structs.
 
+    The level continues by its second-order recursion (``smooth``) or its
+    first-order one (``ar1``).
+
     ``params`` has ``draw, series``, the state columns and the four scales;
     base counts and ``gain`` must be in the same unit.
     """
@@ -92,11 +97,8 @@ def horizon(params: DataFrame, steps: int, gain: Column, seed: int = 1234) -> Da
     )
 
     def emit(s: Column, z: Column) -> Column:
-        mu = (
-            F.col("intercept")
-            + F.col("b_ar") * (2.0 * s["m1"] - s["m2"])
-            + F.col("s_z") * z["mu"]
-        )
+        pull = 2.0 * s["m1"] - s["m2"] if variant == "smooth" else s["m1"]
+        mu = F.col("intercept") + F.col("b_ar") * pull + F.col("s_z") * z["mu"]
         b = s["b"] + F.col("s_t") * z["b"]
         total = s["g1"] + s["g2"] + s["g3"] + s["g4"] + s["g5"] + s["g6"]
         return let(

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldcast import schemas as S
-from fieldcast.operators import fit as fitting, monitor, zip_regression as Z
+from fieldcast.operators import fit as fitting, monitor, simulate, states, zip_regression as Z
 from fieldcast.plans import forecast as plan, ingest, many, regression
 from fieldcast.sources.constants import constant_table
 from fieldcast.streaming import monitor as stream
@@ -152,16 +152,46 @@ def test_fit_recovers_the_rate_and_ignores_gaps(spark):
     assert fitting.long_draws(once, ["key"]).count() == 20 * (6 + 5 * 80)
 
 
-def test_closed_forms_of_the_sampler(spark):
+def test_sampler_paths_equal_the_column_recursions(spark):
+    """Kernel states = reconstructed states = sum of the scaled paths."""
     rng = np.random.default_rng(5)
-    for n in (8, 20, 50):
-        e = rng.standard_normal(n - 6)
-        g = list(e[:6]) if n - 6 >= 6 else None
-        if g is None:
-            continue
-        for t in range(n - 6):
-            g.append(-sum(g[-6:]) + e[t])
-        assert np.allclose(fitting.season_response(e, n), g)
+    n = 40
+    z, num = rng.standard_normal(4 * n - 6), np.linspace(0.1, 1, n)
+    theta = np.array([0.2, 0.4, 0.5, 0.3, 0.2, 0.1])
+    names = ["mu_err", "b_ope_err", "r_raw", "gamma_err"]
+    parts = [p.tolist() for p in np.split(z, [n, 2 * n, 3 * n])]
+    row = (*theta[:3].tolist(), *theta[3:].tolist(), *parts, num.tolist())
+    params = spark.createDataFrame(
+        [row],
+        ", ".join(f"{c} double" for c in ("intercept", "b_ar", "s_z", "s_s", "s_r", "s_t"))
+        + ", " + ", ".join(f"{c} array<double>" for c in (*names, "num")),
+    )
+    for variant, order in (("smooth", 2), ("ar1", 1)):
+        got = states.reconstruct(params, variant).first()["states"]
+        mu, b, gamma, r, rate = fitting.states_of(theta, z, num, variant)
+        assert np.allclose([s["mu"] for s in got], mu)
+        assert np.allclose([s["b_ope"] for s in got], b)
+        assert np.allclose([s["gamma"] for s in got], gamma)
+        assert np.allclose([s["lambda"] for s in got], rate)
+        constant = fitting.level_response(np.ones(n), theta[1], order)
+        paths = fitting.responses(z, theta[1], num, variant)
+        total = theta[0] * constant + np.concatenate([[1.0], theta[2:]]) @ paths
+        assert np.allclose(total, rate)
+
+
+def test_first_order_fit_and_horizon(spark):
+    rng = np.random.default_rng(1)
+    y = rng.poisson(3.0, 40).tolist()
+    df = spark.createDataFrame([("s", y, [0.5] * 40)], "key string, y array<int>, num array<double>")
+    fitted = fitting.fit_series(df, ["key"], 2, 40, 40, 1, variant="ar1")
+    rate = fitted.select(F.explode("lambda").alias("v")).agg(F.avg(F.exp("v"))).first()[0]
+    assert abs(rate - np.mean(y)) < 1.0
+    params = fitting.horizon_parameters(fitted, "key")
+    quiet = params.withColumns({c: F.lit(0.0) for c in ("s_z", "s_s", "s_r", "s_t")})
+    path = simulate.explode_path(simulate.horizon(quiet, 2, F.lit(0.0), variant="ar1"))
+    joined = path.where("step = 1").join(params, ["draw", "series"])
+    worst = joined.select(F.max(F.abs(F.col("mu") - (F.col("intercept") + F.col("b_ar") * F.col("mu_last"))))).first()[0]
+    assert worst < 1e-12
 
 
 def test_many_series(spark):
