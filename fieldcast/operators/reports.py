@@ -93,9 +93,12 @@ def component_report(
     start: Column,
     predicted: bool = False,
     observed: DataFrame | None = None,
+    end: Column | None = None,
 ) -> DataFrame:
     """All component intervals in one long table (keys, component, date, ...).
 
+    With ``end``, the last observed day, rows are marked observed or future.
+
     ``keys`` identify the series; ``t`` is the 1-based day.  Components that
     do not exist yet (the drift before its first day) give no row.
     """
@@ -111,6 +114,8 @@ def component_report(
     table = dated(cuts, start, "t").drop("t")
     if observed is not None:
         table = table.join(observed, [*keys, "date"], "left")
+    if end is not None:
+        table = table.withColumn("is_future", F.col("date") > end)
     return table
 
 

@@ -144,6 +144,44 @@ def explode_path(simulated: DataFrame, keys: tuple[str, ...] = ("draw", "series"
     return simulated.select(*keys, F.inline_outer("path"))
 
 
+ROW = ("mu", "b_ope", "gamma", "tvc", "r", "lambda", "delta")
+
+
+def timeline(
+    fitted: DataFrame, keys: list[str], steps: int, gain: Column, seed: int = 1234,
+    variant: str = "smooth",
+) -> DataFrame:
+    """Observed states followed by the simulated horizon, one row per time.
+
+    ``fitted`` has compact draws with ``series`` and the columns of the last
+    states (``mu_last`` and so on); both spans leave the same row, so nothing
+    is joined or shuffled.
+    """
+    simulated = horizon(fitted, steps, gain, seed, variant)
+
+    def observed(z: Column) -> Column:
+        return F.transform(
+            z,
+            lambda s, i: F.struct(
+                (i + 1).alias("t"),
+                s["mu"].alias("mu"),
+                s["b_ope"].alias("b_ope"),
+                s["gamma"].alias("gamma"),
+                (s["b_ope"] * s["num"]).alias("tvc"),
+                s["r"].alias("r"),
+                s["lambda"].alias("lambda"),
+                F.when(i >= 1, s["mu"] - F.get(z, i - 1)["mu"]).alias("delta"),
+            ),
+        )
+
+    past = let(F.arrays_zip("mu", "b_ope", "gamma", "r", "lambda", "num"), observed)
+    future = F.transform(
+        "path",
+        lambda s: F.struct((F.size("mu") + s["step"]).alias("t"), *[s[c].alias(c) for c in ROW]),
+    )
+    return simulated.select(*keys, F.inline_outer(F.concat(past, future)))
+
+
 def predictive_counts(rows: DataFrame, log_rate: Column, seed: int, *ids: Column) -> DataFrame:
     """Poisson counts given the log rate of each row."""
     z = normal_from_digest(digest(seed, *ids, F.lit("z")))

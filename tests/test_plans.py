@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldcast import schemas as S
 from fieldcast.operators import fit as fitting, monitor, simulate, states, zip_regression as Z
-from fieldcast.plans import forecast as plan, ingest, many, regression
+from fieldcast.plans import category, forecast as plan, ingest, many, regression
 from fieldcast.sources.constants import constant_table
 from fieldcast.streaming import monitor as stream
 
@@ -194,6 +194,44 @@ def test_first_order_fit_and_horizon(spark):
     assert worst < 1e-12
 
 
+def test_category_report(spark, tmp_path):
+    first = dt.date(2023, 1, 1)
+    rows = [
+        (None if i % 5 else "COOK-C", "jam" if i % 3 else "noise", first + dt.timedelta(days=i % 40))
+        for i in range(400)
+    ]
+    events = spark.createDataFrame(rows, "Peripheral_name string, Phenomenon string, Maintenance_date date")
+    machines = spark.createDataFrame(
+        [(str(i // 2), first + dt.timedelta(days=(i // 2) % 30)) for i in range(120)],
+        "`機種機番` string, `納品年月日` date",
+    )
+    bounds = [F.lit(d).cast("date") for d in ("2023-01-01", "2023-02-09")]
+    panel = category.category_panel(events, machines, 1, *bounds)
+    got = panel.agg(F.max("mif_cum"), F.sum("em"), F.count(F.lit(1)), F.max("series")).first()
+    want = sum(1 for a, p, _ in rows if a is None and p == "jam")
+    assert tuple(got) == (60, want, 40, "jam")
+    report = category.category_report(
+        panel, str(tmp_path), "2023-01-01", "2023-02-09", 2.0, 3, chains=2, warmup=10, samples=10, thin=1
+    ).collect()
+    assert len(report) == 13 * 43 + (43 - 31)
+    assert {r.component for r in report if r.date == dt.date(2023, 1, 5)} == set(states.COMPONENTS) - {
+        "delta_exp"} | {"y_pred"}
+    future = [r for r in report if r.is_future]
+    assert len(future) == 14 * 3 and all(r.em is None for r in future)
+    whole = category.category_panel(events, machines, 0, *bounds)
+    assert whole.agg(F.sum("em")).first()[0] == sum(1 for a, _, _ in rows if a is None)
+
+
+def test_failure_code_share(spark):
+    df = spark.createDataFrame(
+        [("ADF部", "COOK-C", 3, "J1")] * 12 + [("ADF部", "COOK-C", 3, "J2"), ("x", "COOK-C", 3, "J1")],
+        "Treatment_location string, Peripheral_name string, Working_month int, SC_name string",
+    )
+    got = category.failure_code_share(df, ["ADF部"], "COOK-C").collect()
+    assert {(r.Working_month, r.code, r.n_code, r.n_period) for r in got} == {
+        (3, "J1", 12, 13), (3, "other", 1, 13)}
+
+
 def test_many_series(spark):
     df = spark.createDataFrame([("a", [3, None, 4] * 8), ("b", [1] * 24)], "k string, y array<int>")
     out = many.fit_many(df, "k", F.lit("2021-01-01").cast("date"), chains=2, warmup=10, samples=10, thin=1)
