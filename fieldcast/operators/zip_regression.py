@@ -156,17 +156,15 @@ def fit(
     row_id: str,
     replicates: int = 0,
     max_iter: int = 50,
-    tol: float = 1e-8,
+    tol: float = 1e-7,
     seed: int = 123,
 ) -> ZipModel:
     """Fit every replicate; a step that lowers a likelihood is halved, so the
     likelihood never decreases."""
     scales = column_scales(df, predictors)
-    # compact rows, spread before replicates multiply the work
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = design(df, response, predictors, scales, row_id).withColumn(
         "seed", F.xxhash64(F.lit(seed), "id")
-    ).repartition(parts, "id").persist()
+    ).persist()
     k = len(predictors) + 1
     try:
         start = rows.agg(F.avg(F.when(F.col("y") > 0, F.col("y")))).first()[0] or 1.0
