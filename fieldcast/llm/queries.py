@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldcast.llm.common import table
+from fieldcast.llm.lexicon import encode_digests
 from fieldcast.llm.token_counts import token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,7 +17,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
 }
 SQL: dict[str, str] = {}
