@@ -11,11 +11,11 @@ import json
 import re
 from collections.abc import Callable
 
-LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ſ"
+LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
 NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACE = "\x09-\x0d\x20\x85\xa0"
-#: anything outside these ranges is left to the library
-UNUSUAL = re.compile("[^\x00-įı-ſ‐-‧‰-⁞€]")
+#: anything outside these ranges is left to the library, and so are the separators that only Python takes for spaces
+UNUSUAL = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20ac]")
 ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
 BYTE_LEVEL = re.compile(
     rf" ?[{LETTER}]+| ?[{NUMBER}]+|{ENDINGS}| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldcast.llm.common import table
 from fieldcast.llm.lexicon import encode_digests
+from fieldcast.llm.packing import pack
 from fieldcast.llm.token_counts import token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,8 +22,13 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), tokens=2048)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 SQL: dict[str, str] = {}
