@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -191,7 +192,7 @@ def _mapped(
     frequent = frequent_words(rows, tokenizer, words)
     vocabulary = Vocabulary(tokenizer)
     content = lexicon_bytes([w.encode() for w in frequent], {w.encode(): vocabulary.merge(w) for w in frequent})
-    name = f"lexicon-{hashlib.sha256(content).hexdigest()[:24]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"  # a name is registered once in a session
     path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="fieldcast-")), name)
     with open(path, "wb") as file:
         file.write(content)
