@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldcast.llm.common import table
 from fieldcast.llm.lexicon import encode_digests
 from fieldcast.llm.packing import pack
+from fieldcast.llm.quality import COLUMNS, quality
 from fieldcast.llm.token_counts import token_counts
+from fieldcast.llm.toxicity import toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +24,16 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *COLUMNS, "base_failed", "kept", "quality")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), tokens=2048)
 
@@ -29,6 +41,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 SQL: dict[str, str] = {}
