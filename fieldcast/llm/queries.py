@@ -9,8 +9,10 @@ from fieldcast.llm.common import table
 from fieldcast.llm.lexicon import encode_digests
 from fieldcast.llm.packing import pack
 from fieldcast.llm.quality import COLUMNS, quality
+from fieldcast.llm.sharding import balanced_shards
 from fieldcast.llm.token_counts import token_counts
 from fieldcast.llm.toxicity import toxicity
+from fieldcast.llm.vantage import nearest
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -20,6 +22,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -40,6 +50,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_balanced_shards": op4_balanced_shards,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
