@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldcast.llm.common import table
+from fieldcast.llm.html_text import main_text
 from fieldcast.llm.lexicon import encode_digests
+from fieldcast.llm.license_scan import scan
 from fieldcast.llm.packing import pack
 from fieldcast.llm.quality import COLUMNS, quality
 from fieldcast.llm.sharding import balanced_shards
@@ -30,6 +32,14 @@ def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -52,6 +62,8 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_balanced_shards": op4_balanced_shards,
+    "op5_html_main_text": op5_html_main_text,
+    "op6_license_scan": op6_license_scan,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
