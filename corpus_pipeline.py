@@ -1,4 +1,60 @@
-"""Pipeline over `documents`; stages follow."""
+"""Pipeline over `documents`: toxic and poor documents go, one of each group of near copies stays, the rest is packed.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame, which is
+written as Parquet to the shared folder and read again for the next one. All but the last return the columns of
+`documents`. Rows with nulls, empty and very long texts, repeated rows, empty tables and extra columns are handled as
+the operators say in their docstrings.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from fieldcast.llm.common import table, written
+from fieldcast.llm.ngram_join import keep_one
+from fieldcast.llm.packing import pack
+from fieldcast.llm.quality import quality
+from fieldcast.llm.toxicity import toxicity
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that compression distance doesn't call toxic."""
+    return toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the calibrated model."""
+    return quality(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group linked at 0.8 of the five-word shingles."""
+    return keep_one(docs, words=5, percent=80)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), tokens=2048)
+
+
+STAGES = [
+    ("toxicity", not_toxic),
+    ("quality rules", good_quality),
+    ("n-gram Jaccard join", one_of_near_copies),
+    ("best-fit packing", packed),
+]
+
+#: the classifiers and the packing have no SQL form; tests hold the stages against brute force
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage-{i}")
+    return docs
+
+
+QUERIES = {"pipeline": run}
+SQL: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}

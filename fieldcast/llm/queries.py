@@ -9,6 +9,7 @@ from fieldcast.llm.common import table
 from fieldcast.llm.html_text import main_text
 from fieldcast.llm.lexicon import encode_digests
 from fieldcast.llm.license_scan import scan
+from fieldcast.llm.ngram_join import ngram_join
 from fieldcast.llm.packing import pack
 from fieldcast.llm.quality import COLUMNS, quality
 from fieldcast.llm.sharding import balanced_shards
@@ -24,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -60,6 +65,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_balanced_shards": op4_balanced_shards,
     "op5_html_main_text": op5_html_main_text,
