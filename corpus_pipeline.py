@@ -8,8 +8,11 @@ the operators say in their docstrings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldcast.llm.common import table, written
 from fieldcast.llm.ngram_join import keep_one
@@ -18,14 +21,24 @@ from fieldcast.llm.quality import quality
 from fieldcast.llm.toxicity import toxicity
 
 
+def kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], condition: str) -> DataFrame:
+    """Rows of docs that meet the condition on the columns that `judge` adds; other columns may have the same names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    narrow = docs.select("doc_id", "text", F.struct(F.lit(True).alias("present"), *others).alias("others"))
+    chosen = judge(narrow).where(condition)
+    return chosen.select([F.col("others")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
+
+
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that compression distance doesn't call toxic."""
-    return toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return kept(docs, lambda rows: toxicity(rows, labels), "predicted = 0")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the calibrated model."""
-    return quality(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return kept(docs, lambda rows: quality(rows, labels), "kept")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

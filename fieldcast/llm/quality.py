@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldcast.llm.common import arrow_map
 from fieldcast.llm.words import BLANK, Texts, runs, shingle_hash, texts_of
@@ -51,7 +52,8 @@ def labelled_sample(
     # as many rows as `samples` says at most, whatever the table's size
     ids = F.broadcast(picked[0].unionByName(picked[1]))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(ids, "doc_id").select("doc_id", "text", "y")
+    # an id that is repeated brings its smallest text only
+    return texts.join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def features(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -119,9 +121,9 @@ def fit(rows: list[tuple[str, int]], rounds: int = 150) -> Model:
             size = np.bincount(doc, minlength=b - a)
             key, count = np.unique(doc * (KINDS << BITS) + feature, return_counts=True)
             d = key // (KINDS << BITS)
-            of.append(d + base)
-            index.append(key % (KINDS << BITS))
-            value.append(count / size[d])
+            of.append((d + base).astype(np.int32))
+            index.append((key % (KINDS << BITS)).astype(np.int32))
+            value.append((count / size[d]).astype(np.float32))
         base = b
     of, index, value = map(np.concatenate, (of, index, value))
     held = np.arange(len(y)) % 5 == 4
@@ -186,13 +188,18 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (n < 50) | (100 * counts["n_repeat_words"] > 50 * n)
 
 
+MADE = ", base_failed boolean, quality double, kept boolean"
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def quality(
     documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """Every column of documents with the base counts, base_failed, the calibrated `quality` and kept."""
+    """Every column of documents with the base counts, base_failed, the calibrated `quality` and kept.
+
+    Columns of documents with the names of the results are replaced.
+    """
+    documents = documents.drop(*COLUMNS, "base_failed", "quality", "kept")
     spark = documents.sparkSession
     rows = labelled_sample(documents, labels, "quality", (sample, sample)).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     model = fit([(r.text, r.y) for r in rows.collect()])
@@ -210,9 +217,5 @@ def quality(
                 kept = pa.array(~failed & (p >= threshold))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *made, kept], names=names)
 
-    if clash := set(names[len(documents.columns) :]) & set(documents.columns):
-        documents = documents.drop(*clash)
-        return quality(documents, labels, sample=sample, threshold=threshold)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    made = ", ".join(f"{c} long" for c in COLUMNS)
-    return arrow_map(documents, score, f"{schema}, {made}, base_failed boolean, quality double, kept boolean")
+    made = StructType.fromDDL(", ".join(f"{c} long" for c in COLUMNS) + MADE)
+    return arrow_map(documents, score, StructType([*documents.schema.fields, *made.fields]))

@@ -29,7 +29,7 @@ CHUNK = 50_000
 SALT = 16
 #: steps of a quota: movers of one step are admitted together
 STEPS = 256
-ROUNDS = 4
+ROUNDS = 6
 
 
 def ranked(df: DataFrame, key: str, first: Column, n_rows: int) -> DataFrame:
@@ -51,14 +51,19 @@ def case(pairs: list[tuple[Column, object]], otherwise: object) -> Column:
 
 def move(rows: DataFrame, shards: int, capacity: int) -> tuple[DataFrame, int]:
     """One round: rows with new labels, and the number of rows that moved."""
-    held = rows.groupBy("group", "label").agg(F.count("*").alias("n"))
+    linked = {r.label: r.n for r in rows.where("linked").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    free = [max(0, capacity - linked.get(s, 0)) for s in range(shards)]
+    held = rows.where("linked").groupBy("group", "label").agg(F.count("*").alias("n"))
+    # a group's pile in a full shard stays there; the others gather in the largest pile that can grow
+    open_pile = F.when(case([(F.col("label") == s, free[s] > 0) for s in range(shards)], False), F.col("n"))
+    pile = F.struct(open_pile.alias("n"), (-F.col("label")).alias("minus"))
     best = held.groupBy("group").agg(
-        F.sum("n").alias("size"), F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("best")
-    )
+        F.sum("n").alias("size"), F.max(F.when(open_pile.isNotNull(), pile)).alias("best")
+    ).where("best is not null")
     wishes = (
-        held.join(best.where("size > 1"), "group")
+        held.join(best, "group")
         .select("group", "label", "n", "size", (-F.col("best.minus")).alias("target"), F.col("best.n").alias("there"))
-        .where("label != target")
+        .where("there > n or (there = n and target < label)")
         .withColumn("gain", F.col("there") - F.col("n") + 1)
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         .select("group", "label", "salt", "target", "gain", "size")
@@ -70,8 +75,7 @@ def move(rows: DataFrame, shards: int, capacity: int) -> tuple[DataFrame, int]:
     by = F.when(F.col("size") * STEPS > capacity, F.col("row")).otherwise(F.col("group"))
     asked = asked.withColumn("step", -F.floor(F.log2("gain")) * STEPS + F.pmod(F.xxhash64(by), F.lit(STEPS)))
     asked = written(asked.drop("salt", "gain", "size"), "shard-wishes")
-    linked = {r.label: r.n for r in asked.where("linked").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    room = case([(F.col("target") == s, max(0, capacity - linked.get(s, 0))) for s in range(shards)], 0)
+    room = case([(F.col("target") == s, free[s]) for s in range(shards)], 0)
     # shards x 64 classes of gain x STEPS rows at most
     demand = asked.where("target is not null").groupBy("target", "step").agg(F.count("*").alias("n"))
     so_far = F.sum("n").over(Window.partitionBy("target").orderBy("step"))
