@@ -12,6 +12,10 @@ from fieldcast.operators import density, draws as D, reports as R, simulate, sta
 from fieldcast.operators.ranking import average_ranks
 
 
+def rate_of(draw):
+    return F.round(0.1 + 4999.9 * F.pmod(F.col(draw) * 37, F.lit(101)) / 100.0, 3)
+
+
 def r4(name, alias=None):
     column = F.col(name) if isinstance(name, str) else name
     return (F.round(column, 4) + F.lit(0.0)).alias(alias or name)
@@ -47,7 +51,7 @@ def draw_ranks(spark, sf):
 
 
 def rhat_split(spark, sf):
-    split = D.split_chains(V.draws(spark, sf))
+    split = D.split_chains(V.draws(spark, sf), ["i1"])
     return D.rhat_split(split, ["i1"]).select("i1", r6("rhat"))
 
 
@@ -163,14 +167,24 @@ def transfer_forecast(spark, sf):
     return paths.select("draw", "series", "step", r4("lambda"))
 
 
+# e to this is 5,000: some simulated rates reach 100,000,000, and the SQL adds up one term for each unit of a rate
+LARGEST_LOG_RATE = 8.517
+
+
 def posterior_predict(spark, sf):
-    rows = _paths(spark, sf).withColumn("log_rate", F.least("lambda", F.lit(4.0)))
+    rows = _paths(spark, sf).withColumn("log_rate", F.least("lambda", F.lit(LARGEST_LOG_RATE)))
     counts = simulate.predictive_counts(
         rows, F.col("log_rate"), V.SEED, F.col("draw"), F.col("series"), F.col("step")
     )
     return counts.select("draw", "series", "step", "y_pred")
 
 
+def poisson_rates(spark, sf):
+    """Counts of rates from 0.1 to 5,000, one per draw."""
+    rows = V.vectors(spark, sf).select("draw", rate_of("draw").alias("rate"))
+    return rows.select("draw", N.poisson(F.col("rate"), V.SEED, F.col("draw")).alias("y"))
+
+
 def interval_table(spark, sf):
     rows = _paths(spark, sf).select("series", "step", F.exp("lambda").alias("rate"))
     start = F.date_add(V.last_day(spark, sf).scalar(), 1)
@@ -267,7 +281,7 @@ QUERIES = {
         draws_long, draw_quantiles, draw_means, draw_summary, draw_ranks, rhat_split, rhat_rank,
         rhat_hist, sample_draws, normal_noise, state_rw, state_seasonal, rolling6, state_level1,
         state_level2, drift, state_lambda, state_lambda_ar1, components, base_projection,
-        forecast_lambda, transfer_forecast, posterior_predict, interval_table, monthly_interval,
+        forecast_lambda, transfer_forecast, posterior_predict, poisson_rates, interval_table, monthly_interval,
         component_report, series_label, loglik, log_prior, coef_rescale, coef_long, coef_summary,
         coef_order, entity_q_lambda,
     )
@@ -295,6 +309,21 @@ def rhat_cte(name: str, source: str, keys: str, value: str) -> str:
         FROM {source} WHERE half IS NOT NULL GROUP BY {keys}, chain, half) GROUP BY {keys})"""
 
 
+def poisson_ctes(ids: str, keys: str) -> tuple[str, str]:
+    """Distribution functions of equal parts of the rates in ``r``, none above 400, each with its uniform."""
+    return (
+        f"""lam AS (
+  SELECT {keys}, j, rate / m AS rate, ln(rate / m) AS ll,
+    {Q.lane(f"'{V.SEED}|' || {ids} || '|y' || CASE WHEN j > 0 THEN '|' || j ELSE '' END")} AS u
+  FROM (SELECT *, unnest(range(0, m)) AS j
+        FROM (SELECT *, greatest(1, CAST(ceil(rate / 400.0) AS BIGINT)) AS m FROM r)))""",
+        f"""cdf AS (
+  SELECT {keys}, j, u, sum(exp(k * ll - rate - lgamma(k + 1)))
+    OVER (PARTITION BY {keys}, j ORDER BY k ROWS UNBOUNDED PRECEDING) AS cum
+  FROM (SELECT *, unnest(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 20) AS BIGINT))) AS k FROM lam))""",
+    )
+
+
 def horner(x: str, coefficients) -> str:
     text = repr(coefficients[0])
     for c in coefficients[1:]:
@@ -502,17 +531,17 @@ SELECT draw, series, step, round(mu, 4) + 0.0 AS mu, round(b, 4) + 0.0 AS b_ope,
     ) + "SELECT draw, series, step, round(lam, 4) + 0.0 AS \"lambda\" FROM path WHERE step > 0",
     "posterior_predict": Q.with_(
         Q.PARAMS, Q.noise("dp", V.HORIZON), Q.horizon("dp", V.HORIZON, "0.1"),
-        f"""lam AS (
-  SELECT draw, series, step, least(lam, 4.0) AS ll, exp(least(lam, 4.0)) AS rate,
-    {Q.lane(f"'{V.SEED}|' || draw || '|' || series || '|' || step || '|y'")} AS u
-  FROM path WHERE step > 0)""",
-        """cdf AS (
-  SELECT draw, series, step, u, sum(exp(k * ll - rate - lgamma(k + 1)))
-    OVER (PARTITION BY draw, series, step ORDER BY k ROWS UNBOUNDED PRECEDING) AS cum
-  FROM (SELECT *, unnest(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 20) AS BIGINT))) AS k FROM lam))""",
+        f"r AS (SELECT draw, series, step, exp(least(lam, {LARGEST_LOG_RATE})) AS rate FROM path WHERE step > 0)",
+        *poisson_ctes("draw || '|' || series || '|' || step", "draw, series, step"),
         recursive=True,
     ) + """
 SELECT draw, series, step, count(*) FILTER (WHERE cum < u) AS y_pred FROM cdf GROUP BY 1, 2, 3""",
+    "poisson_rates": Q.with_(
+        """r AS (SELECT CAST(vec_id AS INTEGER) AS draw,
+  round(0.1 + 4999.9 * (vec_id * 37 % 101) / 100.0, 3) AS rate FROM embeddings)""",
+        *poisson_ctes("draw", "draw"),
+    ) + """
+SELECT draw, count(*) FILTER (WHERE cum < u) AS y FROM cdf GROUP BY 1""",
     "interval_table": PATHS + f"""
 SELECT series, CAST({LAST} + step AS DATE) AS date, {INTERVAL4}
 FROM (SELECT series, step, exp(lam) AS value FROM path WHERE step > 0) GROUP BY series, step""",

@@ -127,22 +127,23 @@ def series_arrays(spark, sf):
     )
 
 
-MONTHS = 84
-
-
 def monthly_cells(spark, sf):
-    """Monthly counts per code from 1995 on; months without an event are null."""
+    """Monthly counts per code from the first to the last month with an event; months without one are null."""
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    lines = V.table(spark, sf, "lineitem")
+    bounds = lines.agg(F.min(month).alias("first"), (F.max(month) - F.min(month) + 1).alias("length")).first()
+    first, length = bounds["first"] or 0, F.lit(bounds["length"] or 0)
     monthly = V.events(spark, sf).groupBy(
         F.col("sc_name").alias("machine_no"),
-        ((F.year("event_date") - 1995) * 12 + F.month("event_date")).alias("m"),
-    ).agg(F.count(F.lit(1)).cast("int").alias("n"))
+        (F.year("event_date") * 12 + F.month("event_date")).alias("m"),
+    ).agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("m", F.col("m") - first + 1)
     cells = monthly.groupBy("machine_no").agg(
         F.map_from_entries(F.collect_list(F.struct("m", "n"))).alias("__cells")
     )
     return cells.select(
         "machine_no",
         F.transform(
-            F.sequence(F.lit(1), F.lit(MONTHS)), lambda i: F.try_element_at("__cells", i)
+            F.sequence(F.lit(1), length), lambda i: F.try_element_at("__cells", i)
         ).alias("y"),
     )
 
@@ -283,9 +284,9 @@ FROM panel WINDOW w AS (PARTITION BY series)""",
 SELECT machine_no, count(*) AS len_obs, CAST(sum(count(*)) OVER () AS BIGINT) AS total_obs,
   string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS obs_no
 FROM (SELECT DISTINCT sc_name AS machine_no,
-        (year(event_date) - 1995) * 12 + month(event_date) AS m FROM ev)
+        year(event_date) * 12 + month(event_date)
+          - (SELECT min(year(event_date) * 12 + month(event_date)) FROM ev) + 1 AS m FROM ev)
 WHERE CAST(regexp_extract(machine_no, '(\\d+)$', 1) AS INTEGER) BETWEEN 2 AND 40
-  AND m BETWEEN 1 AND {MONTHS}
 GROUP BY 1""",
     "measured_future": Q.with_(FUTURE_DATES) + f"""
 SELECT dates.date, CASE WHEN dates.date <= {LAST} THEN coalesce(n, 0) ELSE n END AS n,

@@ -81,6 +81,37 @@ def poisson_from_uniform(rate: Column, u: Column, z: Column | None = None) -> Co
     return F.when(rate <= 500.0, small).otherwise(large)
 
 
+def poisson(rate: Column, seed: int, *ids: Column) -> Column:
+    """Exact Poisson count of any rate: the sum of independent counts of equal
+    parts of the rate, none above ``PART``, each with a uniform of its own.
+
+    Null, NaN and infinite rates give null.  A rate beyond ``LARGEST`` is an
+    error, because its parts would not fit an array.
+    """
+    finite = F.when(~F.isnan(rate) & (rate < float("inf")), rate)
+    checked = F.when(finite <= LARGEST, finite).when(
+        finite > LARGEST, F.raise_error(F.lit("the rate is too large to draw a count"))
+    )
+    parts = F.greatest(F.lit(1), F.ceil(checked / PART)).cast("int")
+
+    def count(acc: Column, k: Column) -> Column:
+        own = F.when(k == 0, F.lit(None)).otherwise(k)  # the first part keeps the plain digest
+        u = lane(digest(seed, *ids, F.lit("y"), own), 0)
+        return F.struct(
+            (acc["count"] + poisson_from_uniform(acc["part"], u)).alias("count"),
+            acc["part"].alias("part"),
+        )
+
+    start = F.struct(F.lit(0).cast("bigint").alias("count"), (checked / parts).alias("part"))
+    return F.aggregate(
+        F.sequence(F.lit(0), parts - 1), start, count, lambda acc: acc["count"]
+    )
+
+
+PART = 400.0
+LARGEST = 1e9
+
+
 # Published rational approximation of the normal quantile
 # (P. J. Acklam), relative error below 1.15e-9.
 CENTRAL_NUM = (

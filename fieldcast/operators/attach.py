@@ -38,19 +38,27 @@ def name_attachments(
 def attach_to_events(
     events: DataFrame,
     attachments: DataFrame,
-    key: str,
+    key: str | list[str],
     columns: list[str],
     null_safe: bool = False,
 ) -> DataFrame:
     """Every event with every attachment of its machine.
 
-    Events without an attachment stay, with nulls.  Both sides are reduced to
+    Events without an attachment stay, with nulls.  Events whose key has a
+    null match nothing (unless ``null_safe``) and stay out of the shuffle of
+    the join, where they would all meet in one partition.  Both sides are reduced to
     distinct rows first, so a machine contributes (its distinct events) x (its
     distinct attachments), which is the result itself; no larger intermediate
     arises.
     """
-    right = attachments.select(key, *columns).distinct()
-    return left_join(events.distinct(), right, [key], null_safe)
+    keys = [key] if isinstance(key, str) else key
+    right = attachments.select(*keys, *columns).distinct()
+    rows = events.distinct()
+    if null_safe:
+        return left_join(rows, right, keys, null_safe)
+    incomplete = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    joined = left_join(rows.where(~incomplete), right, keys)
+    return joined.unionByName(rows.where(incomplete), allowMissingColumns=True)
 
 
 def apply_standard_configuration(

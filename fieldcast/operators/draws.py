@@ -47,21 +47,22 @@ def summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     )
 
 
-def split_chains(df: DataFrame) -> DataFrame:
+def split_chains(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Adds ``half``: each chain cut in two at its middle iteration.
 
     With an odd number of iterations the middle one is left out, so both
-    halves have the same length.
+    halves have the same length.  ``keys`` name what has chains of its own
+    length, such as runs; without them all rows share the chains.
     """
-    bounds = df.groupBy("chain").agg(
+    chain = [*(keys or []), "chain"]
+    bounds = df.groupBy(*chain).agg(
         F.min("iteration").alias("__first"), F.max("iteration").alias("__last")
     )
     position = F.col("iteration") - F.col("__first")
     length = F.col("__last") - F.col("__first") + 1
     size = F.floor(length / 2)
-    # one row per chain of a run
     return (
-        join_null_safe(df, F.broadcast(bounds), ["chain"])
+        join_null_safe(df, bounds, chain)
         .withColumn(
             "half",
             F.when(position < size, F.lit(1)).when(position >= length - size, F.lit(2)),
@@ -89,7 +90,7 @@ def rhat_split(split: DataFrame, keys: list[str], value: str = "value") -> DataF
 def rhat_rank(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Rank-normalised split R-hat: the larger of the bulk and folded values."""
 
-    split = split_chains(df)
+    split = split_chains(df, keys)
     middle = exact_quantiles(split, keys, value, {"__median": 0.5})
     both = join_null_safe(split, middle, keys).select(
         *keys,
@@ -142,8 +143,7 @@ def rescale(df: DataFrame, scales: DataFrame, term: str = "term") -> DataFrame:
 
     Matched by name; terms without a scale keep their value.
     """
-    # one row per term of a regression
-    joined = join_null_safe(df, F.broadcast(scales.select(term, "scale_max")), [term], "left")
+    joined = join_null_safe(df, scales.select(term, "scale_max"), [term], "left")
     return joined.withColumn(
         "value", F.col("value") / F.coalesce(F.col("scale_max"), F.lit(1.0))
     ).drop("scale_max")

@@ -11,15 +11,15 @@ from fieldcast.functions.text import contains_token, strip_prefix
 def route(events: DataFrame, routing: DataFrame, attachment: str, location: str) -> DataFrame:
     """Keep events whose (attachment, location) has a family.
 
-    The routing table is a constant of the program (tens of rows), hence the
-    broadcast.
+    The routing table comes from the caller; Spark broadcasts it when it is
+    small.
     """
     rules = routing.select(
         F.col("attachment").alias(attachment),
         F.col("location").alias(location),
         "family",
     )
-    return events.join(F.broadcast(rules), [attachment, location])
+    return events.join(rules, [attachment, location])
 
 
 def routed_daily(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldcast.functions.noise import digest, normal_from_digest, poisson_from_uniform, uniform
+from fieldcast.functions.noise import digest, normal_from_digest, poisson
 from fieldcast.functions.recursions import let, scan
 
 SCALES = ("s_z", "s_s", "s_r", "s_t")
@@ -184,13 +184,7 @@ def timeline(
 
 def predictive_counts(rows: DataFrame, log_rate: Column, seed: int, *ids: Column) -> DataFrame:
     """Poisson counts given the log rate of each row."""
-    z = normal_from_digest(digest(seed, *ids, F.lit("z")))
-    return (
-        rows.withColumn("__rate", F.exp(log_rate))
-        .withColumn("__u", uniform(seed, *ids, F.lit("y")))
-        .withColumn("y_pred", poisson_from_uniform(F.col("__rate"), F.col("__u"), z))
-        .drop("__rate", "__u")
-    )
+    return rows.withColumn("y_pred", poisson(F.exp(log_rate), seed, *ids))
 
 
 def project_base(last: DataFrame, gains: Column, steps: int) -> DataFrame:

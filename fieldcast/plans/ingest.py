@@ -38,9 +38,9 @@ class Sources:
     standard: DataFrame
 
 
-def _typed_events(events: DataFrame) -> DataFrame:
+def _typed_events(events: DataFrame, null_text: str | None = None) -> DataFrame:
     columns = {c: to_boolean(F.col(c)) for c in S.RAW_FLAG_COLUMNS if c in events.columns}
-    columns[S.MACHINE_KEY] = composite_key(F.col("機種略号"), F.col("機番"))
+    columns[S.MACHINE_KEY] = composite_key(F.col("機種略号"), F.col("機番"), null_text=null_text)
     return events.withColumns(columns)
 
 
@@ -59,20 +59,30 @@ def clean_events(
     manufacture_start: str = "2022-12-01",
     extra: dict[str, str] | None = None,
     drop_incomplete: bool = True,
+    by: tuple[str, ...] = (),
+    null_text: str | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join attachments to events, select, parse, rename and age.
 
-    ``attachments`` is (machine key, attachment name).  The emergency filter
-    and the column selection come before the join, so only needed rows and
-    columns are shuffled.
+    ``attachments`` is (machine key, attachment name) and, like the events,
+    has the columns ``by``, which are join keys too.  Rows without a required
+    raw value are dropped; a raw value that can't be parsed becomes null and
+    its row stays (``unparsed`` counts them).  The emergency filter and the
+    column selection come before the join, so only needed rows and columns are
+    shuffled.
     """
     extra = extra or {}
     names = S.EVENT_NAMES | extra
     wanted = [F.col(f"`{c}`") for c in names if c != ATTACHMENT_NAME]
-    rows = keep_emergencies(_parsed(_typed_events(events)), "EM", mode).select(*wanted)
+    keyed = _typed_events(events, null_text)
     if drop_incomplete:
-        rows = rows.dropna(subset=list(S.REQUIRED_EVENT_COLUMNS))
-    joined = attach_to_events(rows, attachments, S.MACHINE_KEY, [ATTACHMENT_NAME])
+        raw = [c for c in S.REQUIRED_EVENT_COLUMNS if c in events.columns]
+        keyed = _typed_events(events.dropna(subset=raw), null_text).dropna(
+            subset=[c for c in S.REQUIRED_EVENT_COLUMNS if c not in raw]
+        )
+    rows = keep_emergencies(_parsed(keyed), "EM", mode).select(*wanted)
+    joined = attach_to_events(rows, attachments, [*by, S.MACHINE_KEY], [ATTACHMENT_NAME], null_safe)
     renamed = joined.withColumnsRenamed(names)
     return renamed.withColumns(
         {
@@ -85,6 +95,17 @@ def clean_events(
     ).select(*names.values(), "Elapsed_mf_months", "Working_months", "Maintenance_month")
 
 
+def unparsed(events: DataFrame) -> DataFrame:
+    """One row: how many values of each parsed column are present but malformed."""
+    parsed = _parsed(events.withColumns({f"__raw_{c}": F.col(c) for c in (*MONTH_COLUMNS, *DAY_COLUMNS)}))
+    return parsed.agg(
+        *[
+            F.count_if(F.col(f"__raw_{c}").isNotNull() & F.col(c).isNull()).alias(c)
+            for c in (*MONTH_COLUMNS, *DAY_COLUMNS)
+        ]
+    )
+
+
 def clean_machines(
     machines: DataFrame, named: DataFrame, master: DataFrame, standard: DataFrame
 ) -> DataFrame:
@@ -114,9 +135,13 @@ def clean_machines(
 
 def build_events(
     sources: Sources, mode: str = "Call", manufacture_start: str = "2022-12-01",
-    drop_incomplete: bool = True,
+    drop_incomplete: bool = True, null_text: str | None = None, null_safe: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(events, machines) from the five extracts."""
+    """(events, machines) from the five extracts.
+
+    ``null_text`` stands for a missing part of a machine key, and with
+    ``null_safe`` null keys match each other.
+    """
     named = name_attachments(
         sources.attachments.select("機種略号", "機番", DEVICE_CODE),
         sources.master.select(MASTER_CODE, F.col(MASTER_NAME).alias(ATTACHMENT_NAME)).distinct(),
@@ -124,9 +149,12 @@ def build_events(
         MASTER_CODE,
         ["機種略号", "機番"],
         S.MACHINE_KEY,
+        null_text,
+        null_safe,
     )
     events = clean_events(
-        sources.events, named, mode, manufacture_start, drop_incomplete=drop_incomplete
+        sources.events, named, mode, manufacture_start, drop_incomplete=drop_incomplete,
+        null_text=null_text, null_safe=null_safe,
     )
     return events, clean_machines(sources.machines, named, sources.master, sources.standard)
 
@@ -140,14 +168,9 @@ def build_events_by_period(
     All three frames carry the period of their file; attachments already have
     the machine key and name.  Nulls are kept.
     """
-    tagged = attachments.withColumn(
-        S.MACHINE_KEY, F.concat_ws("|", period, S.MACHINE_KEY)
-    )
-    keyed = events.withColumn("機種略号", F.concat_ws("|", period, "機種略号"))
     extra = S.PERIOD_EXTRA_NAMES | {period: period}
-    cleaned = clean_events(keyed, tagged, "EM", manufacture_start, extra, drop_incomplete=False)
-    bare = {
-        c: F.substring_index(F.col(c), "|", -1) for c in ("Model_abbreviation", "Machine_numbers")
-    }
+    cleaned = clean_events(
+        events, attachments, "EM", manufacture_start, extra, drop_incomplete=False, by=(period,)
+    )
     dates = {c: parse_compact_date(F.col(c)) for c in S.MACHINE_DATE_COLUMNS if c in machines.columns}
-    return cleaned.withColumns(bare), machines.withColumns(dates)
+    return cleaned, machines.withColumns(dates)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import time
+import os
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,7 +24,8 @@ def read_forecast(spark: SparkSession, path: str, run_id: str) -> DataFrame:
 @contextmanager
 def recorded_run(spark: SparkSession, path: str, run_id: str, title: str):
     """Append one row with the run times of the enclosed block."""
-    wall, cpu = time.time(), time.process_time()
+    before = os.times()
     yield
-    row = (run_id, title, time.process_time() - cpu, 0.0, time.time() - wall)
+    after = os.times()
+    row = (run_id, title, after.user - before.user, after.system - before.system, after.elapsed - before.elapsed)
     spark.createDataFrame([row], RUNS).write.mode("append").parquet(path)

@@ -102,6 +102,19 @@ def test_poisson_inverts_the_distribution(spark):
     assert big == 930
 
 
+def test_poisson_of_any_rate_is_exact(spark):
+    """Moments of large rates, and nulls where there is no rate."""
+    draws = spark.range(4000).select(
+        *[N.poisson(F.lit(r), 7, F.col("id")).alias(f"y{i}") for i, r in enumerate((399.0, 600.0, 5000.0))],
+        N.poisson(F.lit(float("inf")), 7, F.col("id")).alias("inf"),
+        N.poisson(F.lit(float("nan")), 7, F.col("id")).alias("nan"),
+    ).toPandas()
+    for column, rate in zip(("y0", "y1", "y2"), (399.0, 600.0, 5000.0)):
+        assert abs(draws[column].mean() - rate) < 5 * math.sqrt(rate / 4000)
+        assert 0.85 < draws[column].var() / rate < 1.15
+    assert draws["inf"].isna().all() and draws["nan"].isna().all()
+
+
 def test_recursions_across_blocks(spark):
     rng = np.random.default_rng(3)
     for length in (8, 31, 32, 33, 100):

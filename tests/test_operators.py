@@ -40,6 +40,25 @@ def test_quantiles_equal_numpy_even_with_a_hot_group(spark):
         assert whole == np.median(np.concatenate([v for _, v in parts]))
 
 
+def test_quantiles_of_special_and_crowded_values(spark):
+    """Infinities and NaN by the order of doubles; a crowd beside one outlier; equal results beside other groups."""
+    inf, nan = float("inf"), float("nan")
+    crowd = [1e6 + i / 7919 for i in range(3000)] + [1e12, -1e12]
+    rows = [("i", v) for v in (1.0, 2.0, 3.0, inf)] + [("n", v) for v in (nan, 1.0, -inf)]
+    rows += [("c", v) for v in crowd] + [("z", v) for v in (0.0, -0.0, 5e-324, -5e-324)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    cuts = {"low": 0.0, "mid": 0.5, "q": 0.25, "high": 1.0}
+    got = {r.k: r for r in ranking.exact_quantiles(df, ["k"], "v", cuts).collect()}
+    assert (got["i"].low, got["i"].mid, got["i"].high) == (1.0, 2.5, inf)
+    assert got["n"].low == -inf and got["n"].mid == 1.0 and np.isnan(got["n"].high)
+    assert [got["c"][c] for c in cuts] == [np.quantile(crowd, p) for p in cuts.values()]
+    assert (got["z"].low, got["z"].mid, got["z"].high) == (-5e-324, 0.0, 5e-324)
+    ranks = {(r.k, r.v): r["rank"] for r in ranking.average_ranks(df, ["k"], "v").collect() if r.v == r.v}
+    assert ranks["i", inf] == 4 and ranks["z", 0.0] == 2.5
+    want = pd.Series(crowd).rank()
+    assert all(ranks["c", v] == w for v, w in zip(crowd, want))
+
+
 def test_average_ranks_with_ties(spark):
     values = [3.0, 1.0, 3.0, -2.0, 3.0, 0.0]
     df = spark.createDataFrame([("a", v) for v in values], "k string, v double")

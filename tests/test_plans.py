@@ -60,8 +60,11 @@ def test_ingest(spark):
     events, machines = ingest.build_events(sources(spark, raw))
     rows = {(r.Machine_numbers, r.Peripheral_name): r for r in events.collect()}
     assert set(rows) == {
-        ("AB1001", "COOK-D"), ("AB1002", "VOLGA-H(中綴じ有)"), ("AB1002", None), ("AB1005", None),
+        ("AB1001", "COOK-D"), ("AB1002", "VOLGA-H(中綴じ有)"), ("AB1002", None), ("AB1004", None), ("AB1005", None),
     }
+    # a malformed date isn't a missing one: the row stays and is counted
+    assert rows["AB1004", None].Maintenance_date is None
+    assert ingest.unparsed(text_frame(spark, raw)).first()["保守実施日"] == 1
     first = rows["AB1001", "COOK-D"]
     assert first.Maintenance_date == dt.date(2023, 3, 2)
     assert first.Maintenance_month == dt.date(2023, 3, 1)
@@ -70,7 +73,7 @@ def test_ingest(spark):
     assert rows["AB1005", None].Working_months == -1
     assert set(S.CLEAN_EVENTS.fieldNames()) == set(events.columns)
     only_em, _ = ingest.build_events(sources(spark, raw), mode="EM")
-    assert only_em.where("EM <> 1").count() == 0 and only_em.count() == 2
+    assert only_em.where("EM <> 1").count() == 0 and only_em.count() == 3
     named = {(r["機種略機番"], r["周辺機名"]) for r in machines.collect()}
     assert named == {("AB1001", "CATHERINE"), ("AB1002", "VOLGA-H(中綴じ有)"), ("AB1002", None)}
     assert machines.first()["納品年月日"] == dt.date(2023, 1, 31)
@@ -89,6 +92,24 @@ def test_ingest_by_period(spark):
     assert parsed.first()["納品年月日"] == dt.date(2023, 1, 31)
 
 
+def test_period_keys_are_not_invented(spark):
+    events = text_frame(spark, [
+        EVENT | {"period": "2304", "機種略号": None, "機番": "123"},
+        EVENT | {"period": "2304", "機種略号": "A|B"},
+        EVENT | {"period": "2304", "保守実施日": "20239999"},
+    ])
+    attachments = text_frame(spark, [
+        {"period": "2304", "機種略機番": "A|B1001", "周辺機名": "COOK-D"},
+        {"period": "2305", "機種略機番": "AB1001", "周辺機名": "COOK-D"},
+    ])
+    cleaned, _ = ingest.build_events_by_period(events, attachments, text_frame(spark, [{"period": "2304"}]))
+    got = {(r.Model_abbreviation, r.Machine_numbers, r.Peripheral_name, r.Maintenance_date is None)
+           for r in cleaned.collect()}
+    assert got == {
+        (None, None, None, False), ("A|B", "A|B1001", "COOK-D", False), ("AB", "AB1001", None, True),
+    }
+
+
 def synthetic_events(spark, attachments, locations, first, days, per_day):
     rows = [
         (a, loc, first + dt.timedelta(days=d))
