@@ -1,3 +1,4 @@
+import time
 import zipfile
 
 import pytest
@@ -76,6 +77,18 @@ def test_draw_files(spark, tmp_path, split):
     draws.unpersist()
 
 
+def test_wide_draw_files_plan_quickly(spark, tmp_path):
+    """A hundred thousand columns are a plan like any other."""
+    names = ["lp__", *[f"mu.{i}" for i in range(1, 100_001)]]
+    rows = [",".join(["0", *[str(i + t) for i in range(1, 100_001)]]) for t in (1, 2)]
+    (tmp_path / "wide-1.csv").write_text("\n".join([",".join(names), *rows]) + "\n")
+    draws = draw_files.read_draw_files(spark, str(tmp_path))
+    begin = time.time()
+    plan = draws._jdf.queryExecution().executedPlan().toString()
+    assert time.time() - begin < 5 and len(plan) < 50_000
+    assert draws.count() == 200_000 and draws.where("value <> i1 + iteration").isEmpty()
+
+
 def test_products(spark, tmp_path):
     df = spark.createDataFrame(
         [("x", "2023-03-01", 1.0, 2.0, 3.0, True)],
