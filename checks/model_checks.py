@@ -1,35 +1,24 @@
-"""Distributed model fits (no SQL equivalent)."""
+"""Model reports over given draws, and the regression (no SQL equivalent)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from checks import views as V
-from checks.panel_checks import monthly_cells
-from fieldcast.operators import panel as P
-from fieldcast.operators.fit import SCALAR_NAMES, fit_series as fit
-from fieldcast.plans.many import fit_many as many
+from checks.panel_checks import r6
+from fieldcast.plans.many import many_report as report
 from fieldcast.plans.regression import zip_report
 
-SPLIT_DAY = "1999-01-01"
 
-
-def model_inputs(spark, sf):
-    """Both generations of every family: events before and from the split day."""
-    generation = F.when(F.col("date") < F.lit(SPLIT_DAY).cast("date"), "A").otherwise("B")
-    rows = V.panel(spark, sf).withColumn("key", F.concat_ws("|", generation, "series"))
-    return P.series_arrays(P.scale_by_max(rows, "mif_cum", "key"), "key")
-
-
-def fit_series(spark, sf):
-    fitted = fit(model_inputs(spark, sf), ["key"], chains=2, warmup=15, samples=15, thin=1)
-    return fitted.select("key", "chain", "iteration", "draw", *SCALAR_NAMES)
-
-
-def fit_many(spark, sf):
-    cells = monthly_cells(spark, sf)
-    start = F.lit("1995-01-01").cast("date")
-    return many(cells, "machine_no", start, chains=2, warmup=20, samples=20, thin=1)
+def many_report(spark, sf):
+    """Monthly intervals of rates and effects; a vector holds one draw of 32 months of each."""
+    draws = V.vectors(spark, sf).select(
+        F.concat(F.lit("machine "), F.col("chain").cast("string")).alias("machine_no"),
+        F.slice("e", 1, 32).alias("lambda"),
+        F.slice("e", 33, 32).alias("r"),
+    )
+    table = report(draws, "machine_no", F.lit("2021-01-01").cast("date"))
+    return table.select("machine_no", "item", "date", r6("lwr"), r6("fit"), r6("upr"))
 
 
 def zip_regression(spark, sf):
@@ -50,4 +39,19 @@ def zip_regression(spark, sf):
     return report["summary"]
 
 
-QUERIES = {f.__name__: f for f in (fit_series, fit_many, zip_regression)}
+QUERIES = {f.__name__: f for f in (many_report, zip_regression)}
+
+CUTS = ", ".join(
+    f"round(quantile_cont(value, {p}), 6) + 0.0 AS {n}"
+    for n, p in (("lwr", 0.025), ("fit", 0.5), ("upr", 0.975))
+)
+SQL = {
+    "many_report": f"""
+WITH d AS (
+  SELECT 'machine ' || (vec_id % 4 + 1) AS machine_no, CAST(embedding AS DOUBLE[]) AS e, unnest(range(1, 33)) AS t
+  FROM embeddings),
+v AS (SELECT machine_no, 'y_probs' AS item, t, exp(e[t]) AS value FROM d
+      UNION ALL SELECT machine_no, 'r_probs', t, e[t + 32] FROM d)
+SELECT machine_no, item, CAST(DATE '2021-01-01' + to_months(CAST(t - 1 AS INTEGER)) AS DATE) AS date, {CUTS}
+FROM v GROUP BY machine_no, item, t""",
+}

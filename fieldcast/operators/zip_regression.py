@@ -36,6 +36,8 @@ class ZipModel:
     scales: dict[str, float]
     coefficients: dict[int, np.ndarray]
     log_likelihood: list[float] = field(default_factory=list)
+    iterations: dict[int, int] = field(default_factory=dict)
+    converged: dict[int, bool] = field(default_factory=dict)
 
 
 def column_scales(df: DataFrame, predictors: list[str]) -> dict[str, float]:
@@ -160,7 +162,11 @@ def fit(
     seed: int = 123,
 ) -> ZipModel:
     """Fit every replicate; a step that lowers a likelihood is halved, so the
-    likelihood never decreases."""
+    likelihood never decreases.
+
+    The model says for each replicate whether it converged, and after how many
+    iterations.  It is an error if the full sample did not.
+    """
     scales = column_scales(df, predictors)
     rows = design(df, response, predictors, scales, row_id).withColumn(
         "seed", F.xxhash64(F.lit(seed), "id")
@@ -175,8 +181,11 @@ def fit(
         step = {r: np.zeros((2, k)) for r in coefs}
         done: set[int] = set()
         history: list[float] = []
+        iterations = dict.fromkeys(coefs, 0)
         for _ in range(max_iter):
             sums = _pass(rows, coefs, k)
+            for r in coefs:
+                iterations[r] += r not in done
             for r in coefs:
                 if r in done:
                     continue
@@ -201,11 +210,15 @@ def fit(
                 break
     finally:
         rows.unpersist()
+    if 0 not in done:
+        raise ArithmeticError(f"the full sample did not converge in {max_iter} iterations")
     return ZipModel(
         [INTERCEPT, *predictors],
         {INTERCEPT: 1.0, **scales},
         {r: c for r, (_, c) in best.items()},
         history,
+        iterations,
+        {r: r in done for r in coefs},
     )
 
 

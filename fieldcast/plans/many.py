@@ -41,9 +41,19 @@ def fit_many(
     simulated = horizon(rows, horizon_steps, F.lit(0.0), seed)
     paths = simulated.select(
         F.col("series").alias(key),
-        F.concat("lambda", F.col("path.lambda")).alias("log_rate"),
-        F.concat("r", F.col("path.r")).alias("effect"),
+        F.concat("lambda", F.col("path.lambda")).alias("lambda"),
+        F.concat("r", F.col("path.r")).alias("r"),
     )
+    return many_report(paths, key, start)
+
+
+def many_report(draws: DataFrame, key: str, start: Column) -> DataFrame:
+    """(key, item, date, lwr, fit, upr) from given draws: one row per draw with
+    the arrays ``lambda`` (log rates) and ``r`` (effects), one value per month.
+
+    The draws may come from any sampler (``sources.draw_files``).
+    """
+    paths = draws.select(key, F.col("lambda").alias("log_rate"), F.col("r").alias("effect"))
     items = F.transform(
         F.arrays_zip("log_rate", "effect"),
         lambda z, i: F.array(

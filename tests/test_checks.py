@@ -21,7 +21,7 @@ def con(sf):
 
 def test_every_statement_belongs_to_a_query():
     assert set(SQL) <= set(E.queries())
-    assert OWN - set(SQL) == {"fit_series", "fit_many", "zip_regression"}
+    assert OWN - set(SQL) == {"zip_regression"}
 
 
 @pytest.mark.parametrize("name", sorted(OWN & set(SQL)))
