@@ -120,17 +120,41 @@ def part_keys(of: np.ndarray, element: np.ndarray, node: np.ndarray, size: np.nd
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def local_roots(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct nodes, and the smallest node of each one's component by shared keys; rows are in the order of the key."""
+    names, position = np.unique(node, return_inverse=True)
+    label = np.arange(len(names))
+    by_key = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    of_key = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+    order = np.argsort(position, kind="stable")
+    by_node = np.flatnonzero(np.append(True, position[order][1:] != position[order][:-1]))
+    while len(names):
+        least = np.minimum.reduceat(label[position], by_key)[of_key]
+        new = label[np.minimum.reduceat(least[order], by_node)]
+        if (new == label).all():
+            break
+        label = new
+    return names, names[label]
+
+
 def combined(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each key, and two rows with a key of their own for each pair (smallest node of a key, another)."""
+    """The keys with one node for each component of these rows, and the components as stars.
+
+    An edge of a star is two rows with a key of their own. So a key that very many nodes of one family share brings one
+    row for each batch to the shuffle, and a node one edge.
+    """
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
-    start = np.ones(len(key), bool)
-    start[1:] = key[1:] != key[:-1]
-    least = node[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
-    other = least != node
-    pairs = np.unique(np.column_stack([least[other], node[other]]), axis=0)
-    own = mix(mix(pairs[:, 0]) + pairs[:, 1])
-    return np.concatenate([key[start], own, own]), np.concatenate([node[start], pairs[:, 0], pairs[:, 1]])
+    first = np.append(True, key[1:] != key[:-1])[: len(key)]
+    shared = ~first
+    shared[:-1] |= ~first[1:]
+    names, root = local_roots(key[shared], node[shared])
+    star = names != root
+    own = mix(mix(root[star]) + names[star])
+    node = node.copy()
+    node[shared] = root[np.searchsorted(names, node[shared])]
+    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
+    return np.concatenate([key[new], own, own]), np.concatenate([node[new], root[star], names[star]])
 
 
 def signed(x: np.ndarray) -> pa.Array:
