@@ -41,6 +41,8 @@ from fieldcast.llm.words import BLANK, mix, shingle_hash, texts_of
 TASK_SHINGLES = 1_500_000
 #: leaders that all blocks of a large shard get
 LEADERS = 32
+#: parts of a cut beyond what is needed, so that few sets have as many empty ones
+SPARE = 3
 #: rows up to which a table of shards is broadcast (32 bytes each)
 FEW = 500_000
 
@@ -94,8 +96,8 @@ def part_keys(of: np.ndarray, element: np.ndarray, node: np.ndarray, size: np.nd
         b = band - below
         use = (size > 0) & (b >= 0)
         differ = (first[np.clip(b, 0, None) + 1] - 1) * (100 - percent) // percent
-        parts = differ + 1 + differ // 8
-        use &= parts > 1  # else only equal sets link, and they are one node
+        parts = differ + 1 + SPARE + differ // 8
+        use &= differ > 0  # else only equal sets link, and they are one node
         mine = use[of]
         o, e = of[mine], element[mine]
         if not len(o):
@@ -253,18 +255,23 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
-def classes(documents: DataFrame, words: int, percent: int, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(id, n_shingles, node) of every row, and (node, component) of the nodes that link with others."""
-    rows = documents.select(F.col(id_column).alias("id"), F.col("text"))
+def describe(rows: DataFrame, words: int) -> DataFrame:
+    """(id, n_shingles, node) of every row (id, text)."""
     kind = rows.schema["id"].dataType.simpleString()
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, of, element in sets_of(batch.column(1), words):
                 node, size = nodes_of(of, element, b - a)
                 columns = [batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), signed(node)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "node"])
 
+    return written(arrow_map(rows, sizes, f"id {kind}, n_shingles long, node long"), "sets")
+
+
+def shards_of(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) by the routing parts; nothing else of the routing outlives this call."""
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, owners = [], []
@@ -293,23 +300,17 @@ def classes(documents: DataFrame, words: int, percent: int, id_column: str = "do
             pairs = np.unique(np.column_stack([least[other], node[other]]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    described = written(arrow_map(rows, describe, f"id {kind}, n_shingles long, node long"), "sets")
     parts = arrow_map(rows.select("text"), route, "key long, node long")
-    edges = arrow_map(parts.repartition("key").sortWithinPartitions("key", "node"), meet, "a long, b long")
-    shard_of = components(edges)
+    return components(arrow_map(parts.repartition("key").sortWithinPartitions("key", "node"), meet, "a long, b long"))
 
-    # the shards' sizes decide how they are dealt to tasks; one row of each node brings its set
-    one = described.where("node != 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"))
-    shard = shard_of.join(one, "node").select("node", "id", "n", F.col("component").alias("shard"))
-    shard = written(shard, "shards")
-    per_shard = shard.groupBy("shard").agg(F.sum("n").alias("weight"))
-    all_weight = per_shard.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    tasks = max(1, -(-int(all_weight) // TASK_SHINGLES))
-    blocks = F.ceil(F.col("weight") / TASK_SHINGLES)
-    block = F.when(blocks > 1, F.pmod(F.xxhash64("node"), blocks)).otherwise(F.lit(-1))
-    dealt = shard.join(per_shard, "shard").withColumn("blocks", blocks).withColumn("block", block)
-    task = F.when(F.col("block") >= 0, F.xxhash64("shard", "block")).otherwise(F.pmod(F.xxhash64("shard"), F.lit(tasks)))
-    dealt = written(dealt.withColumn("task", task).drop("weight"), "dealt")
+
+def searched(rows: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): forest of the links that the tasks find.
+
+    `wanted` has a row (task, node, one, known, asked) for each set of each task; `one` is an id whose text has the set.
+    The sets are made again from the texts and go to their tasks only, they are never stored.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,11 +321,6 @@ def classes(documents: DataFrame, words: int, percent: int, id_column: str = "do
                 columns = [batch.column(0).slice(a, b - a), signed(node), pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "elements"])
 
-    brought = arrow_map(rows, bring, f"id {kind}, node long, elements binary")
-    wanted = small(dealt.select("node", F.col("id").alias("one"), "shard", "blocks", "block", "task"))
-    sets = brought.join(wanted, "node").where(F.col("id").eqNullSafe(F.col("one")))
-    sets = written(sets.select("node", "elements", "shard", "blocks", "block", "task"), "shard-sets")
-
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["asked", "node"], ascending=[False, True]).drop_duplicates("node")
         nodes = frame["node"].to_numpy()
@@ -332,37 +328,52 @@ def classes(documents: DataFrame, words: int, percent: int, id_column: str = "do
         a, b = links_inside(nodes, elements, percent, frame["known"].to_numpy(), frame["asked"].to_numpy())
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    columns = ["task", "node", "elements", F.col("node").alias("known"), F.lit(True).alias("asked")]
-    inside = sets.select(*columns)
-    large = sets.where("block >= 0")
-    lead = shard_leaders(large)
-    everywhere = lead.join(block_list(dealt), "shard").select(
-        F.xxhash64("shard", "to_block").alias("task"), *columns[1:]
-    )
-    found = inside.unionByName(everywhere).groupBy("task").applyInPandas(search, "a long, b long")
-    found = written(found, "links")
+    brought = arrow_map(rows, bring, f"id {kind}, node long, elements binary")
+    sets = brought.join(small(wanted), "node").where(F.col("id").eqNullSafe(F.col("one")))
+    tasks = sets.select("task", "node", "elements", "known", "asked").groupBy("task")
+    return written(tasks.applyInPandas(search, "a long, b long"), "links")
 
-    # sets of large shards outside the largest component so far meet all blocks of their shard
+
+def classes(documents: DataFrame, words: int, percent: int, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, node) of every row, and (node, component) of the nodes that link with others."""
+    rows = documents.select(F.col(id_column).alias("id"), F.col("text"))
+    described = describe(rows, words)
+    shard_of = shards_of(rows, words, percent)
+
+    # the shards' sizes decide how they are dealt to tasks
+    one = described.where("node != 0").groupBy("node").agg(F.min("id").alias("one"), F.max("n_shingles").alias("n"))
+    shard = shard_of.join(one, "node").select("node", "one", "n", F.col("component").alias("shard"))
+    shard = written(shard, "shards")
+    per_shard = shard.groupBy("shard").agg(F.sum("n").alias("weight"))
+    all_weight = per_shard.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    tasks = max(1, -(-int(all_weight) // TASK_SHINGLES))
+    blocks = F.ceil(F.col("weight") / TASK_SHINGLES)
+    block = F.when(blocks > 1, F.pmod(F.xxhash64("node"), blocks)).otherwise(F.lit(-1))
+    task = F.when(F.col("block") >= 0, F.xxhash64("shard", "block")).otherwise(F.pmod(F.xxhash64("shard"), F.lit(tasks)))
+    dealt = shard.join(per_shard, "shard").withColumn("block", block).withColumn("task", task)
+    dealt = written(dealt.drop("weight"), "dealt")
+    large = dealt.where("block >= 0")
+    to_block = large.select("shard", F.xxhash64("shard", "block").alias("task")).distinct()
+
+    def wanted(sets: DataFrame, asked: bool, known: str = "node") -> DataFrame:
+        return sets.select("task", "node", "one", F.col(known).alias("known"), F.lit(asked).alias("asked"))
+
+    leaders = shard_leaders(large).drop("task").join(to_block, "shard")
+    found = searched(rows, wanted(dealt, True).unionByName(wanted(leaders, True)), words, percent)
     if large.isEmpty():
         return described, components(found)
-    so_far = components(found.join(large.select(F.col("node").alias("a")).distinct(), "a"))
-    state = large.join(so_far, "node", "left").withColumn("known", F.coalesce("component", "node"))
+
+    # sets of large shards outside the largest component so far meet all blocks of their shard
+    so_far = components(found.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
+    state = large.join(so_far, "node", "left").withColumn("so_far", F.coalesce("component", "node"))
     state = written(state.drop("component"), "shard-state")
-    count = state.groupBy("shard", "known").agg(F.count("*").alias("n"))
-    main = count.groupBy("shard").agg(F.max(F.struct("n", "known")).alias("m")).select("shard", F.col("m.known").alias("main"))
-    outside = state.join(main, "shard").where("known != main")
-    visiting = outside.join(block_list(dealt), "shard").select(
-        F.xxhash64("shard", "to_block").alias("task"), "node", "elements", "known", F.lit(True).alias("asked")
-    )
+    count = state.groupBy("shard", "so_far").agg(F.count("*").alias("n"))
+    main = count.groupBy("shard").agg(F.max(F.struct("n", "so_far")).alias("m"))
+    outside = state.join(main, "shard").where("so_far != m.so_far").drop("m")
+    visiting = outside.drop("task").join(to_block, "shard")
     hosts = state.join(outside.select("shard").distinct(), "shard", "left_semi")
-    hosts = hosts.select("task", "node", "elements", "known", F.lit(False).alias("asked"))
-    more = visiting.unionByName(hosts).groupBy("task").applyInPandas(search, "a long, b long")
-    return described, components(found.unionByName(written(more, "links")))
-
-
-def block_list(dealt: DataFrame) -> DataFrame:
-    """(shard, to_block) of the large shards."""
-    return dealt.where("block >= 0").select("shard", F.col("block").alias("to_block")).distinct()
+    again = wanted(visiting, True, "so_far").unionByName(wanted(hosts, False, "so_far"))
+    return described, components(found.unionByName(searched(rows, again, words, percent)))
 
 
 def shard_leaders(large: DataFrame) -> DataFrame:
