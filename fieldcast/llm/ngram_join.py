@@ -11,8 +11,10 @@ when 100 * |intersection| >= percent * |union|. All documents of one set are one
 3. Search. A task indexes the sets of its block in inverted lists. For each set, the lists are divided: the short ones
    are merged with counts, the long ones are probed by binary search for the sets that the short lists left possible,
    and those that reach the overlap are linked. Sets already known to be connected aren't probed again.
-4. Blocks of one shard also get the shard's leaders, a few of its sets. Then every set outside the shard's largest
-   component so far is searched against all its blocks; sets inside it are connected already. So no link is lost.
+4. Blocks of one shard also get the shard's leaders, a few of its sets. What may still link are sets outside the
+   shard's largest component so far, with each other or with sets inside it. They are compared with all blocks of the
+   shard by small sketches that bound the difference from below; what these leave together are smaller shards, and
+   step 3 searches them, again in blocks if they are large. So no link is lost.
 5. Components of the links, over Spark joins.
 
 Copies never meet as pairs, and near copies only as links of a forest. A part shared by very many sets is combined
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast.llm.common import arrow_map, written
@@ -43,6 +45,8 @@ TASK_SHINGLES = 1_500_000
 LEADERS = 32
 #: parts of a cut beyond what is needed, so that few sets have as many empty ones
 SPARE = 3
+#: cells of a sketch, a power of two
+CELLS = 256
 #: rows up to which a table of shards is broadcast (32 bytes each)
 FEW = 500_000
 
@@ -363,19 +367,89 @@ def classes(documents: DataFrame, words: int, percent: int, id_column: str = "do
     if large.isEmpty():
         return described, components(found)
 
-    # sets of large shards outside the largest component so far meet all blocks of their shard
+    # sets of large shards outside the largest component so far may link with any other; sketches say with which
     so_far = components(found.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
-    state = large.join(so_far, "node", "left").withColumn("so_far", F.coalesce("component", "node"))
+    state = large.join(so_far, "node", "left").withColumn("known", F.coalesce("component", "node"))
     state = written(state.drop("component"), "shard-state")
-    count = state.groupBy("shard", "so_far").agg(F.count("*").alias("n"))
-    main = count.groupBy("shard").agg(F.max(F.struct("n", "so_far")).alias("m"))
-    outside = state.join(main, "shard").where("so_far != m.so_far").drop("m")
-    visiting = outside.drop("task").join(to_block, "shard")
-    hosts = state.join(outside.select("shard").distinct(), "shard", "left_semi")
-    again = wanted(visiting, True, "so_far").unionByName(wanted(hosts, False, "so_far"))
+    near = components(sketched(rows, *outside_and_hosts(state, "shard", "task", to_block), words, percent))
+    state = written(state.drop("shard", "task", "block").join(near, "node").withColumnRenamed("component", "shard"), "near")
+
+    # what is left are smaller shards, dealt and searched like the first ones; each outsider meets all blocks of its own
+    per_near = state.groupBy("shard").agg(F.sum("n").alias("weight"))
+    tasks = max(1, -(-int(per_near.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]) // TASK_SHINGLES))
+    block = F.when(blocks > 1, F.pmod(F.xxhash64("node"), blocks)).otherwise(F.lit(-1))
+    state = state.join(per_near, "shard").withColumn("block", block).withColumn("task", near_task(tasks))
+    state = written(state.drop("weight"), "near-dealt")
+    split = state.where("block >= 0")
+    to_near = split.select("shard", "task").distinct()
+    visiting, hosts = outside_and_hosts(split, "shard", "task", to_near)
+    again = wanted(state.where("block < 0"), True, "known").unionByName(wanted(visiting, True, "known"))
+    again = again.unionByName(wanted(hosts, False, "known"))
     return described, components(found.unionByName(searched(rows, again, words, percent)))
 
 
+def near_task(tasks: int) -> Column:
+    whole = F.pmod(F.xxhash64("shard"), F.lit(tasks))
+    return F.when(F.col("block") >= 0, F.xxhash64("shard", "block")).otherwise(whole)
+
+
+def outside_and_hosts(state: DataFrame, shard: str, task: str, to_task: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets outside their shard's largest known component, once for each task of the shard; and its sets, where they are.
+
+    Every pair of sets that isn't connected yet has one of the first.
+    """
+    count = state.groupBy(shard, "known").agg(F.count("*").alias("n"))
+    main = count.groupBy(shard).agg(F.max(F.struct("n", "known")).alias("m"))
+    outside = state.join(main, shard).where("known != m.known").drop("m")
+    hosts = state.join(outside.select(shard).distinct(), shard, "left_semi")
+    return outside.drop(task).join(to_task, shard), hosts
+
+
+def sketched(rows: DataFrame, visiting: DataFrame, hosts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): forest of the pairs of a visiting set and a host that may link, by counts of their elements in CELLS cells.
+
+    Two sets differ in at least as many elements as their counts do, so a pair that differs in more counts than linked
+    sets differ in elements isn't linked. Only the counts go to the tasks.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    shift = np.uint64(64 - int(np.log2(CELLS)))
+
+    def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, of, element in sets_of(batch.column(1), words):
+                node, size = nodes_of(of, element, b - a)
+                cell = of * CELLS + (element >> shift).astype(np.int64)
+                counts = np.minimum(np.bincount(cell, minlength=(b - a) * CELLS), 32_767).astype(np.int16)
+                sketch = [x.tobytes() for x in counts.reshape(b - a, CELLS)]
+                columns = [batch.column(0).slice(a, b - a), signed(node), pa.array(sketch, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "sketch"])
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["n", "node", "visits"], kind="stable").reset_index(drop=True)
+        counts = np.stack([np.frombuffer(x, np.int16) for x in frame["sketch"]])
+        node, size, known = (frame[c].to_numpy() for c in ("node", "n", "known"))
+        host = np.flatnonzero(~frame["visits"].to_numpy())
+        forest = Forest(len(frame))
+        a, b = [], []
+        for i in np.flatnonzero(frame["visits"]):
+            low = np.searchsorted(size[host], -(-percent * size[i] // 100))
+            high = np.searchsorted(size[host], 100 * size[i] // percent, side="right")
+            some = host[low:high]
+            differ = np.abs(counts[some] - counts[i]).sum(axis=1, dtype=np.int64)
+            some = some[(100 + percent) * differ <= (100 - percent) * (size[some] + size[i])]
+            for j in forest.join(i, some[known[some] != known[i]]):
+                a.append(node[i])
+                b.append(node[j])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    wanted = visiting.withColumn("visits", F.lit(True)).unionByName(hosts.withColumn("visits", F.lit(False)), True)
+    wanted = wanted.select("task", "node", "one", "n", "known", "visits")
+    brought = arrow_map(rows, bring, f"id {kind}, node long, sketch binary")
+    sketches = brought.join(small(wanted), "node").where(F.col("id").eqNullSafe(F.col("one")))
+    tasks = sketches.select("task", "node", "sketch", "n", "known", "visits").groupBy("task")
+    return written(tasks.applyInPandas(compare, "a long, b long"), "near-pairs")
+
+
 def shard_leaders(large: DataFrame) -> DataFrame:
     """LEADERS sets of each large shard, about: those whose node's hash is the smallest in one of as many classes."""
     lead = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(LEADERS))
