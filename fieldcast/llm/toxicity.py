@@ -3,11 +3,14 @@
 Training, on a bounded sample of labelled rows (`sample` toxic and twice as many ordinary ones, whole texts):
 
 1. Half of the sample gives the dictionaries. Byte 6-grams are counted by the distinct pairs of neighbouring words
-   they stand between, so that copies of a document count once; words with a 6-gram that is many times as frequent in
-   toxic as in ordinary rows are the toxic text. The ordinary dictionary is trained on all words of ordinary rows.
+   they stand between, so that copies of a document count once; 6-grams that are many times as frequent in toxic as in
+   ordinary rows are marked. The toxic dictionary is trained on the runs of marked bytes in the words of toxic rows, the
+   ordinary one on the words of ordinary rows that have none. Matches are 6 bytes at least, so that endings which both
+   kinds of words share gain nothing.
 2. A window is one lower-cased word between a lead-in that both dictionaries hold, so that its block is never stored
    raw, and a fixed lead-out, so that matches in it are seen. Its gain is the share of its bytes by which the toxic dictionary, added to the ordinary one, shortens it.
-3. The other half calibrates: a logistic regression over the largest gains of a text and, with it, the threshold.
+3. The other half calibrates: a logistic regression over all windows of a text (the shares of its windows above each of
+   a few gains, the share of its distinct words with a gain, and the largest gain) and, with it, the threshold.
 
 Scoring is a narrow map over whole texts. Only the text is an input. Null and empty texts have no window and get the
 calibrated score of no gain. Repeated rows are scored alike; rows with null ids are scored and belong to no label;
@@ -21,7 +24,6 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +34,22 @@ from pyspark.sql.types import StructType
 
 from fieldcast.llm.common import arrow_map, crc32_of_id
 from fieldcast.llm.pretokens import Memo
-from fieldcast.llm.quality import calibrate, labelled_sample, sigmoid
+from fieldcast.llm.quality import labelled_sample, sigmoid
 
 #: toxic rows in the training sample, at most; there are twice as many ordinary ones
 SAMPLE = 1_000
 #: documents are held out of training where crc32(doc_id) modulo FOLDS is 0
 FOLDS = 5
 THRESHOLD = 0.5
-ORDINARY_BYTES, RESEMBLING_BYTES, TOXIC_BYTES = 8_192, 4_096, 8_192
+ORDINARY_BYTES, TOXIC_BYTES = 8_192, 8_192
 GRAM = 6
 #: contexts a 6-gram needs in toxic rows, and how many times its frequency in ordinary rows it must reach
 LEAST, TIMES = 5, 10
 #: bytes that occur in no UTF-8 text, before and after a window; no match begins in the last 8 bytes of a block
 LEAD_IN, LEAD_OUT = bytes(range(0xF5, 0x100)) * 3, bytes(range(0xF8, 0x100))
-LARGEST = 3
+#: gains above which windows are counted; shares are some hundredths, so they are scaled to weigh like the largest gain
+GAINS, SCALE = (0.0, 0.1, 0.2, 0.3), 30.0
+FEATURES = len(GAINS) + 2
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -62,6 +66,21 @@ def grams(word: str) -> set[bytes]:
     return {b[i : i + GRAM] for i in range(len(b) - GRAM + 1)}
 
 
+def marked_runs(word: str, marked: set[bytes]) -> list[bytes]:
+    """The longest runs of the window's bytes that marked 6-grams cover."""
+    b = window(word)
+    out: list[bytes] = []
+    start = end = -1
+    for i in range(len(b) - GRAM + 1):
+        if b[i : i + GRAM] in marked:
+            if i > end:
+                if end >= 0:
+                    out.append(b[start:end])
+                start = i
+            end = i + GRAM
+    return [*out, b[start:end]] if end >= 0 else out
+
+
 def _contexts(texts: list[list[str]]) -> tuple[Counter, int]:
     """Distinct neighbour pairs around each 6-gram, and around all words."""
     around: dict[str, set] = {}
@@ -100,7 +119,7 @@ def _dictionary(samples: Iterable[bytes], size: int) -> bytes:
 class Model:
     ordinary: bytes
     toxic: bytes
-    beta: np.ndarray = field(default_factory=lambda: np.array([0.0] * LARGEST + [-50.0]))
+    beta: np.ndarray = field(default_factory=lambda: np.array([0.0] * FEATURES + [-50.0]))
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -120,7 +139,7 @@ class Scorer:
             6,
             dict_size=len(content),
             source_size=64,
-            min_match=4,
+            min_match=GRAM,
             search_log=8,
             hash_log=17,
             chain_log=16,
@@ -141,27 +160,48 @@ class Scorer:
         return max(plain - toxic, 0) / len(w)
 
     def features(self, text: str) -> list[float]:
-        """The largest gains of the text's windows."""
-        top = nlargest(LARGEST, filter(None, map(self.gains.__getitem__, words(text))))
+        """Shares of the text's windows above each of GAINS, of its distinct words with a gain, and the largest gain."""
+        found = words(text)
+        if not found:
+            return [0.0] * FEATURES
+        gained = {}
+        above = [0] * len(GAINS)
+        count = Counter(found)
+        for word, n in count.items():
+            gain = self.gains[word]
+            if gain > 0:
+                gained[word] = gain
+                for i, least in enumerate(GAINS):
+                    above[i] += n * (gain > least)
         self.gains.trim()
-        return top + [0.0] * (LARGEST - len(top))
+        shares = [n / len(found) for n in above] + [len(gained) / len(count)]
+        return [SCALE * s for s in shares] + [max(gained.values(), default=0.0)]
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return sigmoid(features @ self.model.beta[:-1] + self.model.beta[-1])
 
 
-def _resembling(model: Model, texts: list[list[str]]) -> bytes:
-    """Ordinary words that the toxic dictionary shortens most, the more frequent of equals; the best stand last."""
-    scorer = model.scorer()
-    count = Counter(w for text in texts for w in text)
-    best = sorted(((scorer.gains[w], n, w) for w, n in count.items()), reverse=True)
-    out, room = [], RESEMBLING_BYTES
-    for gain, _, word in best:
-        room -= len(window(word))
-        if gain <= 0 or room < 0:
+def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
+    """Slopes and intercept of a lightly regularised logistic regression; Newton steps are halved until they ascend."""
+    design = np.column_stack([x, np.ones(len(y))])
+    penalty = np.array([1e-2] * x.shape[1] + [1e-6])
+
+    def fitness(beta: np.ndarray) -> float:
+        z = design @ beta
+        return (y * z - np.logaddexp(0, z)).sum() - 0.5 * (penalty * beta * beta).sum()
+
+    beta = np.zeros(design.shape[1])
+    now = fitness(beta)
+    for _ in range(steps):
+        p = sigmoid(design @ beta)
+        slope = design.T @ (y - p) - penalty * beta
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + np.diag(penalty), slope)
+        while (after := fitness(beta + step)) < now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if np.abs(step).max() < 1e-9:
             break
-        out.append(window(word))
-    return b"".join(reversed(out))
+        beta, now = beta + step, after
+    return beta
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -179,10 +219,10 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     marked = {
         g for g, n in toxic.items() if n >= LEAST and n * n_ordinary >= TIMES * (ordinary[g] + 1) * n_toxic
     }
-    found = [window(w) for text in cut[1] for w in text if not marked.isdisjoint(grams(w))]
-    plain = [b" " + " ".join(t[i : i + 8]).encode() + b" " for t in cut[0] for i in range(0, len(t), 8)]
+    found = [run for text in cut[1] for w in text for run in marked_runs(w, marked)]
+    bare = [[w for w in text if marked.isdisjoint(grams(w))] for text in cut[0]]
+    plain = [b" " + " ".join(t[i : i + 8]).encode() + b" " for t in bare for i in range(0, len(t), 8)]
     model = Model(_dictionary(plain, ORDINARY_BYTES), _dictionary(found, TOXIC_BYTES))
-    model.ordinary = _resembling(model, cut[0]) + model.ordinary
     scorer = model.scorer()
     rest = halves[1] if len({x for _, x in halves[1]}) == 2 else rows
     x = np.array([scorer.features(text) for text, _ in rest])
@@ -209,7 +249,7 @@ def toxicity(
         scorer = model.value.scorer()
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            x = np.array([scorer.features(t or "") for t in texts]).reshape(len(texts), LARGEST)
+            x = np.array([scorer.features(t or "") for t in texts]).reshape(len(texts), FEATURES)
             p = scorer.scores(x)
             made = [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "score", "predicted"])

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -65,6 +66,31 @@ def test_toxicity_on_held_out_rows(spark, tables):
     assert sum(toxic) >= 0.6 * len(toxic) > 50
 
 
+def test_toxicity_counts_every_window():
+    """As many look-alike words in a long clean text as toxic words in a short toxic one; and the calibration ends."""
+    model = toxicity.fit([])
+    model.toxic = b" stupid  moron  scum "
+    scorer = model.scorer()
+    few, many = X.prose(3, 60), X.prose(3, 3000)
+    toxic, clean = (scorer.features(f"{text} stupid moron scum") for text in (few, many))
+    assert toxic[-1] == clean[-1] > 0.3 and toxic[0] > 20 * clean[0] > 0
+    assert scorer.features("") == [0.0] * toxicity.FEATURES
+    x = np.column_stack([np.repeat([0.0, 1.0], 50), np.repeat([0.0, 30.0], 50), np.repeat([0.0, 1e-3], 50)])
+    y = np.repeat([0.0, 1.0], 50)
+    beta = toxicity.calibrate(x, y)
+    assert ((x @ beta[:-1] + beta[-1] > 0) == y).all()
+
+
+def test_toxic_held_out_rows_are_found(spark, tables):
+    """91 of the 97 toxic held-out rows hold a toxic word; ordinary words of the same syllables don't count."""
+    big = f"{'/'.join(tables[0].inputFiles()[0].removeprefix('file:').split('/')[:-2])}/sf0.1"
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
+    toxic = [r.predicted for r in rows if r.toxic]
+    clean = [r.predicted for r in rows if not r.toxic]
+    assert sum(toxic) >= 0.88 * len(toxic) > 50 and sum(clean) <= 0.015 * len(clean)
+
+
 def test_toxicity_edges(spark):
     df = X.clashing(X.documents(spark))
     rows = toxicity.toxicity(df, X.labels(spark)).collect()
