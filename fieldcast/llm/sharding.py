@@ -3,10 +3,14 @@
 Documents with equal text are linked. Every row starts in a shard of its own hash. In each round Spark counts the
 members of every group per shard (pre-aggregated), and rows outside their group's most frequent shard ask to move
 there. A shard admits movers in the order of their gain up to its quota: its capacity less the linked rows it already
-holds. Unlinked rows have no cut to mind and make room afterwards: the last step moves the surplus of each shard,
-unlinked rows first, so that the counts of all shards are at most one apart (law `rows`).
-
-A group larger than a shard is admitted in parts by a hash of its rows. Joins on groups are salted, ranks within a
+holds. Where most rows are linked no shard has such room and propagation ends early; the groups it leaves cut are then
+dealt anew: Spark counts groups by size, the driver packs these counts, largest first, into the room that whole groups
+leave, and if that cuts more than it must, into empty shards. Unlinked rows have no cut to mind and make room
+afterwards: the last step moves the surplus of each shard, unlinked rows first, so that the counts of all shards are at
+most one apart (law `rows`).
+
+Only a group larger than a shard, or than the room left everywhere, is cut: it fills the emptiest shards, so there are
+at most as many cut groups as shards. The distinct sizes that the driver sees grow with the root of the rows. Joins on groups are salted, ranks within a
 shard are made of chunk counts and ranks inside chunks of bounded size, and every round is written to the shared folder.
 
 Null text counts as empty: 1 byte of size, crc 0, one group with the empty texts. Every row, repeated ones and rows with
@@ -89,6 +93,102 @@ def move(rows: DataFrame, shards: int, capacity: int) -> tuple[DataFrame, int]:
     return out.drop("admitted"), out.where("admitted").count()
 
 
+def packed(sizes: dict[int, int], room: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple], int] | None:
+    """Groups, given as size -> count, in the room of each shard: (size, from rank, to rank, shard) of those kept whole,
+    (size, rank, [(rows, shard), ...]) of those cut, and the number of cuts; None where the rows exceed the room."""
+    room = [max(0, r) for r in room]
+    if sum(size * n for size, n in sizes.items()) > sum(room):
+        return None
+    whole, cut = [], []
+    for size in sorted(sizes, reverse=True):
+        rank = 0
+        while rank < sizes[size]:
+            n = min(sizes[size] - rank, sum(r // size for r in room))
+            if n:
+                # the highest level of room to which the shards can be filled by n groups
+                level, above = 0, max(room) + 1
+                while above - level > 1:
+                    middle = (level + above) // 2
+                    if sum(max(0, r - middle) // size for r in room) >= n:
+                        level = middle
+                    else:
+                        above = middle
+                for shard in sorted(range(len(room)), key=lambda s: (-room[s], s)):
+                    here = min(n, max(0, room[shard] - level) // size)
+                    if here:
+                        whole.append((size, rank, rank + here, shard))
+                        room[shard] -= here * size
+                        rank += here
+                        n -= here
+                continue
+            left, pieces = size, []
+            while left:
+                # the smallest room that takes the rest, else the largest
+                fits = [s for s in range(len(room)) if room[s] >= left]
+                shard = min(fits, key=lambda s: (room[s], s)) if fits else max(range(len(room)), key=lambda s: (room[s], -s))
+                pieces.append((min(left, room[shard]), shard))
+                room[shard] -= pieces[-1][0]
+                left -= pieces[-1][0]
+            cut.append((size, rank, pieces))
+            rank += 1
+    return whole, cut, sum(len(p) - 1 for _, _, p in cut)
+
+
+def settled(rows: DataFrame, due: list[int], n_rows: int) -> DataFrame:
+    """Rows with the groups that propagation left cut dealt anew."""
+    held = rows.where("linked").groupBy("group", "label").agg(F.count("*").alias("n"))
+    groups = held.groupBy("group").agg(
+        F.sum("n").alias("size"), F.count("*").alias("pieces"), F.max("label").alias("home")
+    )
+    groups = written(groups, "shard-groups")
+    known = groups.groupBy("size", (F.col("pieces") > 1).alias("cut")).agg(F.count("*").alias("n")).collect()
+    loose = {r["size"]: r.n for r in known if r.cut}
+    if not loose:
+        return rows
+    every: dict[int, int] = {}
+    for r in known:
+        every[r["size"]] = every.get(r["size"], 0) + r.n
+    taken = groups.where("pieces = 1").groupBy("home").agg(F.sum("size").alias("n"))
+    taken = {r.home: r.n for r in taken.collect()}
+    plan, pool = packed(loose, [d - taken.get(s, 0) for s, d in enumerate(due)]), groups.where("pieces > 1")
+    if any(n > due[s] for s, n in taken.items()):
+        plan = None
+    least = sum((-(-size // max(due)) - 1) * n for size, n in every.items())
+    if plan is None or plan[2] > least:
+        anew = packed(every, due)
+        if plan is None or anew[2] < plan[2]:
+            plan, pool = anew, groups
+    whole, cut, _ = plan
+    dealt = ranked(pool.select("group", "size", F.col("group").alias("row")), "size", F.lit(0), n_rows)
+    spark = rows.sparkSession
+    quotas = spark.createDataFrame(whole, "size long, begin long, stop long, target int")
+    inside = (F.col("rank") >= F.col("begin")) & (F.col("rank") < F.col("stop"))
+    dealt = written(dealt.select("group", "size", "rank"), "shard-ranks")
+    placed = dealt.join(F.broadcast(quotas.withColumnRenamed("size", "of")), (F.col("size") == F.col("of")) & inside)
+    salted = placed.select("group", "target", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    split = {}
+    for size, rank, pieces in cut:
+        split[dealt.where((F.col("size") == size) & (F.col("rank") == rank)).first().group] = pieces
+    some = F.col("group").isin(list(split)) if split else F.lit(False)
+    kept = (
+        rows.where(~some | ~F.col("linked"))
+        .withColumn("salt", F.pmod(F.col("row"), F.lit(SALT)).cast("int"))
+        .join(salted, ["group", "salt"], "left")
+        .withColumn("label", F.coalesce("target", "label"))
+        .select(rows.columns)
+    )
+    if split:
+        parts = []
+        for group, pieces in split.items():
+            stop = 0
+            for n, shard in pieces:
+                stop += n
+                parts.append(((F.col("group") == group) & (F.col("rank") < stop), shard))
+        cuts = ranked(rows.where(some & F.col("linked")), "group", F.lit(0), n_rows)
+        kept = kept.unionByName(cuts.withColumn("label", case(parts, 0)).select(rows.columns))
+    return written(kept, "shard-labels")
+
+
 def balanced_shards(
     documents: DataFrame, shards: int = 8, *, rounds: int = ROUNDS, id_column: str = "doc_id"
 ) -> DataFrame:
@@ -117,8 +217,9 @@ def balanced_shards(
         rows, moved = move(rows, shards, n // shards)
         if not moved:
             break
-    held = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     due = [n // shards + (s < n % shards) for s in range(shards)]
+    rows = settled(rows, due, n)
+    held = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     surplus = [max(0, held.get(s, 0) - due[s]) for s in range(shards)]
     given = [sum(surplus[:s]) for s in range(shards)]
     lacking, taken = [], 0

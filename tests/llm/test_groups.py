@@ -131,6 +131,39 @@ def test_shards(spark, monkeypatch):
     assert sharding.balanced_shards(X.documents(spark, [])).count() == 0
 
 
+def test_shards_of_copies(spark):
+    """Tables whose rows are all, or nearly all, copies: a group that fits is whole, a larger one in as few shards as can be."""
+    tables = [
+        [f"t{i // 20}" for i in range(640)],
+        [f"t{i // 3}" for i in range(600)] + ["hot"] * 200,
+        ["hot"] * 90 + [f"t{i // 3}" for i in range(60)] + [f"u{i}" for i in range(50)],
+    ]
+    for texts in tables:
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        rows = sharding.balanced_shards(df, 8).collect()
+        count = Counter(r.shard for r in rows)
+        assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+        assert len(count) == 8 and max(count.values()) - min(count.values()) <= 1
+        shards_of = defaultdict(set)
+        for r in rows:
+            shards_of[texts[r.doc_id]].add(r.shard)
+        cut = {t for t, s in shards_of.items() if len(s) > 1} - {"hot"}
+        # 200 triples beside a hot group of two shards leave rooms that three doesn't divide
+        assert len(cut) <= (8 if len(texts) == 800 else 0)
+        assert len(shards_of["hot"]) <= -(-texts.count("hot") // (len(texts) // 8))
+
+
+def test_packed_groups():
+    whole, cut, cuts = sharding.packed({20: 32}, [80] * 8)
+    assert sum(b - a for _, a, b, _ in whole) == 32 and not cut and not cuts
+    whole, cut, cuts = sharding.packed({7: 1, 2: 3}, [4, 4, 5])
+    assert cuts == 1 and cut == [(7, 0, [(5, 2), (2, 0)])] and sum(b - a for _, a, b, _ in whole) == 3
+    assert sharding.packed({3: 2}, [5]) is None
+    # steps and rows of the plan don't grow with the groups of a size
+    whole, cut, cuts = sharding.packed({2: 4 * 10**12, 1: 3}, [10**12 + 1] * 8)
+    assert len(whole) <= 16 and not cut and sum(b - a for s, a, b, _ in whole if s == 2) == 4 * 10**12
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string, label int")
 
