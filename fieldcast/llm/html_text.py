@@ -2,6 +2,8 @@
 
 1. Every page is cut into elements. Each container is scored by the characters of its text outside links and
    boilerplate, less what links and boilerplate in it have; its path is generalised to tags and classes without digits.
+   Elements named like boilerplate and forms are judged by content when the page is read: one that holds the page's
+   article or most of its text is kept, and what stands in it is judged in turn.
 2. Spark adds the scores, as shares of a page's best, over (host, path): the pages of a host vote. The winning path of
    a host is the one with the largest sum, ties to the longer, then the smaller path.
 3. Every page is read again and its text taken from the container on its host's winning path, if it has one with text;
@@ -43,7 +45,7 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article body center div main section td html blockquote dd li".split())
 DROPPED = frozenset(
-    "head nav footer aside form script style noscript template button select option textarea iframe svg object"
+    "head nav footer aside script style noscript template button select option textarea iframe svg object"
     " embed canvas menu dialog title xmp noembed noframes audio video map input label fieldset".split()
 )
 #: words in classes, ids and roles of what is no article
@@ -55,6 +57,12 @@ BOILERPLATE = frozenset(
     " sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar tracking"
     " widget widgets warning alert".split()
 )
+#: a name with one of these tells of a layout with or without such a part, not of the part itself
+ABOUT = frozenset("with has no without".split())
+#: words for no kind of content; 'sidebar-wrap' is a sidebar, 'content-sidebar-wrap' is mixed
+WRAPPING = frozenset("wrap wrapper layout container box inner outer area block section list".split())
+#: an element of a mixed name, or a form, is kept where its text is more than so many times the text outside
+MOST = 2
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 HOST = re.compile(r"^[a-z][-a-z0-9+.]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", re.IGNORECASE)
@@ -67,9 +75,10 @@ SALT = 16
 class Element:
     """An open or closed element: where it begins in the list of text parts, and where it ends."""
 
-    __slots__ = ("tag", "path", "dropped", "link", "begin", "end", "depth")
+    __slots__ = ("tag", "path", "dropped", "link", "begin", "end", "depth", "doubt")
 
-    def __init__(self, tag: str, path: str, dropped: bool, link: bool, begin: int, depth: int):
+    def __init__(self, tag: str, path: str, dropped: bool, link: bool, begin: int, depth: int, doubt: str = ""):
+        self.doubt = doubt
         self.tag, self.path, self.dropped, self.link, self.begin, self.depth = tag, path, dropped, link, begin, depth
         self.end = -1
 
@@ -79,14 +88,22 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def marks(rest: str) -> tuple[list[str], list[str], dict[str, str]]:
-    """Classes without digits, words in classes, id and role, and the attributes."""
+def doubt_of(names: list[list[str]]) -> str:
+    """'mixed' or 'single' where names, as lists of words, hold boilerplate words; else empty."""
+    found = [n for n in names if not BOILERPLATE.isdisjoint(n) and ABOUT.isdisjoint(n)]
+    if not found:
+        return ""
+    return "single" if any(BOILERPLATE.union(WRAPPING).issuperset(n) for n in found) else "mixed"
+
+
+def marks(rest: str) -> tuple[list[str], list[list[str]], dict[str, str]]:
+    """Classes without digits, the words of each class, id and role, and the attributes."""
     attributes: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(rest):
         attributes.setdefault(name.lower(), value.strip("\"'"))
     classes = character_references.unescape(attributes.get("class", "")).split()
     named = [*classes, attributes.get("id", ""), attributes.get("role", "")]
-    return [DIGITS.sub("", c) for c in classes], [p.lower() for n in named for p in PARTS.findall(n)], attributes
+    return [DIGITS.sub("", c) for c in classes], [[p.lower() for p in PARTS.findall(n)] for n in named], attributes
 
 
 class Page:
@@ -98,6 +115,7 @@ class Page:
     def __init__(self, source: str):
         self.parts: list[tuple[str, bool, bool] | None] = []
         self.containers: list[Element] = []
+        self.doubtful: list[Element] = []
         root = Element("", "", False, False, 0, 0)
         self.stack = [root]
         at = 0
@@ -112,6 +130,64 @@ class Page:
         while self.stack:
             self._close()
         self.root = root
+        if self.doubtful:
+            self._judge()
+
+    def _judge(self) -> None:
+        """Drops the doubtful elements that hold neither the page's article nor most of its text."""
+        plain = [0]
+        for part in self.parts:
+            plain.append(plain[-1] + (len(part[0].strip()) if part and not part[1] and not part[2] else 0))
+
+        def size(e: Element) -> int:
+            return plain[e.end] - plain[e.begin]
+
+        def within(e: Element, top: Element) -> bool:
+            return e.begin >= top.begin and e.end <= top.end and e.depth >= top.depth
+
+        def outermost(elements: list[Element]) -> list[Element]:
+            out: list[Element] = []
+            for e in elements:  # in the order of their beginnings
+                if not out or not within(e, out[-1]):
+                    out.append(e)
+            return out
+
+        articles = [e for e in self.containers if e.tag in ("article", "main") and not e.dropped and size(e)]
+        doubtful = self.doubtful
+        while True:
+            tops = outermost(doubtful)
+            kept = plain[-1] - sum(map(size, tops))
+            owner, at = [], sorted(articles, key=lambda e: (e.begin, e.depth))
+            i = 0
+            for e in at:
+                while i < len(tops) and tops[i].end <= e.begin:
+                    i += 1
+                owner.append(tops[i] if i < len(tops) and within(e, tops[i]) else None)
+            outside = max((size(e) for e, o in zip(at, owner) if o is None), default=0)
+            most = max((size(e) for e, o in zip(at, owner) if o is not None), default=0)
+            holds = {id(o) for e, o in zip(at, owner) if o is not None and size(e) == most > outside}
+            right = [
+                e
+                for e in tops
+                if id(e) in holds and most > kept and (e.doubt == "mixed" or not outside)
+                or e.doubt == "mixed" and not outside and size(e) > MOST * kept
+                or e.doubt == "single" and size(e) and not kept
+            ]
+            if not right:
+                break
+            best = max(right, key=lambda e: (id(e) in holds, e.doubt == "mixed", size(e), -e.begin))
+            doubtful = [e for e in doubtful if e is not best]
+        inner = sorted(self.containers, key=lambda e: (e.begin, e.depth))
+        i = 0
+        for top in tops:
+            for k in range(top.begin, top.end):
+                part = self.parts[k]
+                if part:
+                    self.parts[k] = (part[0], True, part[2])
+            while i < len(inner) and inner[i].begin < top.end:
+                if within(inner[i], top):
+                    inner[i].dropped = True
+                i += 1
 
     def _text(self, raw: str) -> None:
         if raw:
@@ -159,13 +235,17 @@ class Page:
             above.dropped
             or tag in DROPPED
             or (tag == "header" and not inside)
-            or (tag not in ("html", "body", "article", "main") and not BOILERPLATE.isdisjoint(named))
             or "hidden" in attributes
             or attributes.get("aria-hidden") == "true"
             or "display:none" in attributes.get("style", "").replace(" ", "")
         )
-        element = Element(tag, path, dropped, above.link or tag == "a", len(self.parts), above.depth + 1)
+        doubt = "" if dropped or tag in ("html", "body", "article", "main") else doubt_of(named)
+        if tag == "form" and not dropped:
+            doubt = doubt or "mixed"
+        element = Element(tag, path, dropped, above.link or tag == "a", len(self.parts), above.depth + 1, doubt)
         self.stack.append(element)
+        if doubt:
+            self.doubtful.append(element)
         if tag in RAW:
             over = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(source, at)
             self._close()

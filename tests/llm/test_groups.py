@@ -224,6 +224,36 @@ def test_page_text():
     assert html_text.extract("</div></p><b>odd</i>", None) == "odd"
 
 
+STORY = "<h1>Title</h1>" + "<p>a long story of many words</p>" * 20
+LINES = "\n".join(["Title"] + ["a long story of many words"] * 20)
+ASIDE = '<div class="sidebar"><p>more of the site</p></div><div id="comments"><p>nice post</p></div>'
+
+
+def test_page_text_in_elements_named_like_boilerplate():
+    for name in (
+        "content-sidebar-wrap",
+        "layout has-sidebar",
+        "main-content no-comments",
+        "social-science",
+        "print-article",
+        "legal-news",
+    ):
+        for story in (STORY, f"<article>{STORY}</article>"):
+            page = f'<body><div class="{name}">{story}{ASIDE}</div><p>imprint</p></body>'
+            assert html_text.extract(page, None) == LINES or html_text.extract(page, None) == f"{LINES}\nimprint", name
+    page = f'<body><form action="/"><input name="q"><label>find</label><div id="c">{STORY}</div>{ASIDE}</form></body>'
+    assert html_text.extract(page, None) == LINES
+    # the article wins over longer comments, also where those are articles; single-purpose names stay dropped
+    for tag in ("div", "article"):
+        page = f'<body><article><p>a short text of its own</p></article><div class="comment-list"><{tag}>{STORY}</{tag}></div></body>'
+        assert html_text.extract(page, None) == "a short text of its own"
+    for name in ("sidebar", "sidebar-wrap", "cookie-notice"):
+        page = f'<body><div><p>a short text of its own</p></div><div class="{name}">{STORY}</div></body>'
+        assert html_text.extract(page, None) == "a short text of its own"
+    # nothing else has text
+    assert html_text.extract(f'<body><div class="print">{STORY}</div></body>', None) == LINES
+
+
 def test_main_text(spark, monkeypatch):
     rows = [(i, f"http://h{i % 2}.example/{i}", PAGE) for i in range(6)]
     rows += [(6, None, None), (7, "no url", ""), (None, "http://h0.example/x", "<p>only</p>"), rows[0]]
