@@ -6,8 +6,8 @@
    article or most of its text is kept, and what stands in it is judged in turn.
 2. Spark adds the scores, as shares of a page's best, over (host, path): the pages of a host vote. The winning path of
    a host is the one with the largest sum, ties to the longer, then the smaller path.
-3. Every page is read again and its text taken from the container on its host's winning path, if it has one with text;
-   else from its own best container. Pages of no host vote together.
+3. Every page is read again and its text taken from the containers on its host's winning path, if their score reaches
+   half of the page's best; else from its own best container. Pages of no host vote together.
 
 Votes are pre-aggregated, so a host with most of the pages is no hot key. The winners are broadcast while there are
 few of them, else joined by a shuffle on the host with the hosts salted. Nothing of a page is capped.
@@ -70,6 +70,8 @@ HOST = re.compile(r"^[a-z][-a-z0-9+.]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", r
 FEW_HOSTS = 50_000
 #: copies of a winner in the shuffled join
 SALT = 16
+#: share of the page's best score that the containers on the winning path must reach
+ENOUGH = 0.5
 
 
 class Element:
@@ -295,7 +297,7 @@ def votes(source: str) -> dict[str, float]:
 
 
 def extract(source: str, path: str | None) -> str:
-    """Text of the containers on the path, or of the page's best container where they have none."""
+    """Text of the containers on the path, or of the page's best container where they fall far below it."""
     if not source:
         return ""
     page = Page(source)
@@ -305,9 +307,11 @@ def extract(source: str, path: str | None) -> str:
         if not outer or e.begin >= outer[-1].end:
             outer.append(e)
     text = "\n".join(t for t in map(page.text, outer) if t)
-    if text:
-        return text
     best = page.best()
+    if text:
+        score = {id(e): s for s, e in page.scores()}
+        if not best or sum(score[id(e)] for e in outer) >= ENOUGH * best[0]:
+            return text
     return page.text(best[1]) if best else ""
 
 

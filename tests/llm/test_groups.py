@@ -254,6 +254,21 @@ def test_page_text_in_elements_named_like_boilerplate():
     assert html_text.extract(f'<body><div class="print">{STORY}</div></body>', None) == LINES
 
 
+def test_small_container_on_the_winning_path(spark):
+    """A host of two templates: a teaser on the path of the other template isn't the page's text."""
+    links = "<p><a href='/x'>" + "a link to another page " * 20 + "</a></p>"
+    usual = f"<body>{links}<article>{STORY}</article></body>"
+    other = f'<body><div class="text">{STORY}</div><article><p>read this too</p></article></body>'
+    path = "/html/body/article"
+    for page in (usual, other):
+        page = f"<html>{page}</html>"
+        assert LINES in html_text.extract(page, path)
+    for url in ("http://h.example/", None):
+        rows = [(i, url, f"<html>{usual}</html>") for i in range(5)] + [(5, url, f"<html>{other}</html>")]
+        got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r.path for r in got} == {path} and all(LINES in r.text for r in got)
+
+
 def test_main_text(spark, monkeypatch):
     rows = [(i, f"http://h{i % 2}.example/{i}", PAGE) for i in range(6)]
     rows += [(6, None, None), (7, "no url", ""), (None, "http://h0.example/x", "<p>only</p>"), rows[0]]
