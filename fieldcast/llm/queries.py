@@ -13,6 +13,7 @@ from fieldcast.llm.ngram_join import ngram_join
 from fieldcast.llm.packing import pack
 from fieldcast.llm.quality import COLUMNS, quality
 from fieldcast.llm.sharding import balanced_shards
+from fieldcast.llm.source_audit import source_audit
 from fieldcast.llm.token_counts import token_counts
 from fieldcast.llm.toxicity import toxicity
 from fieldcast.llm.vantage import nearest
@@ -63,6 +64,46 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), tokens=2048)
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(table(spark, sf_dir, "documents"))
+
+
+SOURCE_AUDIT = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+  FROM documents),
+words AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY 1, 2 HAVING count(DISTINCT d) >= 30),
+grp AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+dense AS (
+  SELECT grp.lang, grp.source, kept.term, coalesce(n, 0) AS n
+  FROM grp JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+shares AS (
+  SELECT *, 1 + (1000000000 * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS p,
+         sum(n) OVER (PARTITION BY lang, term) AS total
+  FROM dense WINDOW g AS (PARTITION BY lang, source)),
+whole AS (
+  SELECT lang, term, 1 + (1000000000 * (total + 5)) // (sum(total) OVER g + 5 * count(*) OVER g) AS q
+  FROM (SELECT DISTINCT lang, term, total FROM shares) WINDOW g AS (PARTITION BY lang)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, abs(x.p - y.p) AS f
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term),
+parts AS (
+  SELECT lang, source, part, item, coalesce(sum(f), 0) AS value FROM pairs GROUP BY 1, 2, 3, 4
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -74,5 +115,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_source_audit": op13_source_audit,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_source_audit": SOURCE_AUDIT}

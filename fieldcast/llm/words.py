@@ -15,6 +15,8 @@ import pyarrow as pa
 BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: [\x00-\x2F\x3A-\x60\x7B-\x7F], after lower-casing
 NO_LETTER_OR_DIGIT = np.isin(np.arange(256), [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+#: [\x00-\x40\x5B-\x60\x7B-\x7F], after lower-casing
+NO_LETTER = np.isin(np.arange(256), [*range(0x61), *range(0x7B, 0x80)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -113,6 +115,14 @@ def runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(after[-1] if len(n) else 0) + np.repeat(first - (after - n), n)
 
 
+def binaries(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.BinaryArray:
+    """The byte ranges as one Arrow column."""
+    offsets = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(length, out=offsets[1:])
+    content = np.ascontiguousarray(data[runs(start, length)])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(content)])
+
+
 def shingle_hash(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(len(at), np.uint64)
     for i in range(k):
@@ -120,8 +130,10 @@ def shingle_hash(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def texts_of(column: pa.Array, delimiter: np.ndarray = BLANK, lower: bool = False) -> Iterator[tuple[int, int, Texts]]:
-    """Slices of a string column (nulls are empty) of about CHUNK bytes: first row, one past the last, the texts."""
+def texts_of(
+    column: pa.Array, delimiter: np.ndarray = BLANK, lower: bool = False, chunk: int = CHUNK
+) -> Iterator[tuple[int, int, Texts]]:
+    """Slices of a string column (nulls are empty) of about `chunk` bytes: first row, one past the last, the texts."""
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
         return
@@ -129,7 +141,7 @@ def texts_of(column: pa.Array, delimiter: np.ndarray = BLANK, lower: bool = Fals
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + chunk, side="right")) - 1)
         part = data[offsets[a] : offsets[b]]
         yield a, b, Texts(part, offsets[a:b] - offsets[a], offsets[a + 1 : b + 1] - offsets[a], delimiter, lower)
         a = b
