@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldcast.llm.chat_format import conversation_digests
 from fieldcast.llm.common import table
 from fieldcast.llm.html_text import main_text
 from fieldcast.llm.lexicon import encode_digests
 from fieldcast.llm.license_scan import scan
 from fieldcast.llm.ngram_join import ngram_join
 from fieldcast.llm.packing import pack
+from fieldcast.llm.periodic_runs import run_digests
 from fieldcast.llm.quality import COLUMNS, quality
 from fieldcast.llm.sharding import balanced_shards
 from fieldcast.llm.source_audit import source_audit
@@ -64,6 +66,34 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), tokens=2048)
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1 whose texts are control strings."""
+    own = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(rows.unionByName(spark.createDataFrame(own, rows.schema)))
+
+
+CHAT_FORMATTING = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+written AS (
+  SELECT *, length(replace(replace(replace(replace(replace(role || chr(10) || text, '\', '\\'),
+    '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) AS n
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n - 1 + length('<s>[INST] ') + length(' [/INST] ') + length(' </s>') + 1) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit(table(spark, sf_dir, "documents"))
 
@@ -115,6 +145,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_chat_formatting": op11_chat_formatting,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_source_audit": op13_source_audit,
 }
-SQL: dict[str, str] = {"op13_source_audit": SOURCE_AUDIT}
+SQL: dict[str, str] = {"op11_chat_formatting": CHAT_FORMATTING, "op13_source_audit": SOURCE_AUDIT}
