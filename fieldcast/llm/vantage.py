@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by largest inner product: a vantage-point tree per shard.
 
-A vector x is lifted to (x, sqrt(M^2 - |x|^2)) with the largest norm M of the table, and a query q to (q, 0). Then the
+A vector x is lifted to (x, sqrt(M^2 - |x|^2)) with the largest norm M of its table, and a query q to (q, 0). Then the
 squared distance is |q|^2 + M^2 - 2 q.x, so near means large inner product, and the triangle inequality holds. A subtree
 keeps the interval of its points' distances from its vantage point; it is left out when `factor` times the lower bound
 of its distance from the query exceeds the query's k-th distance so far. Factor 1 is exact; larger factors prune more.
@@ -9,8 +9,9 @@ Shards hold a bounded number of vectors by a hash of the id, queries come in blo
 shard with one block; each task returns k rows a query and Spark merges them. Scores are inner products of the original
 vectors in double precision; ties go to the smaller id.
 
-Rows with a null id, and vectors that are null, zero, of another length than the longest, or with null or non-finite
-components take no part. A candidate row counts as often as it is repeated; a query id that is repeated is searched once,
+Rows with a null id, and vectors that are null, zero, or with null or non-finite components take no part. Only vectors
+of one length have an inner product, so each length is a table of its own, with its own shards, blocks and largest norm:
+a query meets all candidates of its length, and rows of other lengths change nothing. A candidate row counts as often as it is repeated; a query id that is repeated is searched once,
 with its smallest vector, against all rows of other ids. Empty tables give empty results; other columns stay out of them.
 """
 
@@ -140,26 +141,31 @@ def nearest(
     vector_column: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by `every`."""
-    rows = usable(vectors, id_column, vector_column)
-    top = rows.agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.max(F.size("v")).alias("length")).first()
-    rows = rows.where(F.size("v") == (top.length or 0)).select("id", "v")
-    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    n_queries = queries.count()
-    shards, blocks = max(1, -(-top.n // shard)), max(1, -(-n_queries // block))
-    largest = top.norm or 0.0
+    rows = usable(vectors, id_column, vector_column).withColumn("length", F.size("v"))
+    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("length", F.size("v"))
+    asked = queries.groupBy("length").agg(F.count("*").alias("asked"))
+    sizes = rows.groupBy("length").agg(F.count("*").alias("n"), F.max("norm").alias("largest")).join(asked, "length")
+    sizes = sizes.select(
+        "length",
+        "largest",
+        F.ceil(F.col("n") / shard).cast("int").alias("shards"),
+        F.ceil(F.col("asked") / block).cast("int").alias("blocks"),
+    )
 
-    def everywhere(name: str, n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    def everywhere(name: str):
+        return F.explode(F.sequence(F.lit(0), F.col(f"{name}s") - 1)).alias(name)
 
-    # every shard meets every block of the stated query set
-    left = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), everywhere("block", blocks))
-    right = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), everywhere("shard", shards))
+    # every shard of a length meets every block of the stated query set with that length
+    own_shard = F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int").alias("shard")
+    own_block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    left = rows.join(sizes, "length").select("id", "v", "length", "largest", own_shard, everywhere("block"))
+    right = queries.join(sizes, "length").select("id", "v", "length", own_block, everywhere("shard"))
 
     def search(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         points = points.sort_values("id", kind="stable")
-        tree = Search(points["id"].to_numpy(), np.stack(points["v"].to_numpy()), largest, k, factor)
+        tree = Search(points["id"].to_numpy(), np.stack(points["v"].to_numpy()), points["largest"].iloc[0], k, factor)
         ids = asked["id"].to_numpy()
         score, found, _ = tree.run(ids, np.stack(asked["v"].to_numpy()))
         there = np.isfinite(score)
@@ -167,8 +173,8 @@ def nearest(
         return pd.DataFrame({"query_id": of[there], "vec_id": found[there], "score": score[there]})
 
     found = (
-        left.groupBy("shard", "block")
-        .cogroup(right.groupBy("shard", "block"))
+        left.groupBy("length", "shard", "block")
+        .cogroup(right.groupBy("length", "shard", "block"))
         .applyInPandas(search, "query_id long, vec_id long, score double")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
