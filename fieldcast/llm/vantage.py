@@ -160,21 +160,22 @@ def nearest(
     own_block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     left = rows.join(sizes, "length").select("id", "v", "length", "largest", own_shard, everywhere("block"))
     right = queries.join(sizes, "length").select("id", "v", "length", own_block, everywhere("shard"))
+    right = right.toDF("query_id", "asked", "length_asked", "block_asked", "shard_asked")
 
     def search(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         points = points.sort_values("id", kind="stable")
         tree = Search(points["id"].to_numpy(), np.stack(points["v"].to_numpy()), points["largest"].iloc[0], k, factor)
-        ids = asked["id"].to_numpy()
-        score, found, _ = tree.run(ids, np.stack(asked["v"].to_numpy()))
+        ids = asked["query_id"].to_numpy()
+        score, found, _ = tree.run(ids, np.stack(asked["asked"].to_numpy()))
         there = np.isfinite(score)
         of = np.broadcast_to(ids[:, None], score.shape)
         return pd.DataFrame({"query_id": of[there], "vec_id": found[there], "score": score[there]})
 
     found = (
         left.groupBy("length", "shard", "block")
-        .cogroup(right.groupBy("length", "shard", "block"))
+        .cogroup(right.groupBy("length_asked", "shard_asked", "block_asked"))
         .applyInPandas(search, "query_id long, vec_id long, score double")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
