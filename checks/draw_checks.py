@@ -8,7 +8,7 @@ from checks import sql as Q, views as V
 from checks.panel_checks import r6
 from fieldcast.functions import noise as N, text as X
 from fieldcast.functions.dates import parse_day
-from fieldcast.operators import density, draws as D, reports as R, simulate, states as S
+from fieldcast.operators import convergence as C, density, draws as D, reports as R, simulate, states as S
 from fieldcast.operators.ranking import average_ranks
 
 
@@ -40,8 +40,15 @@ def draw_means(spark, sf):
 
 
 def draw_summary(spark, sf):
-    rows = D.summary(V.draws(spark, sf), ["i1"])
-    return rows.select("i1", *[r6(c) for c in ("mean", "median", "sd", "mad", "q5", "q95")])
+    rows = C.summary(V.draws(spark, sf), ["i1"])
+    exact = [r6(c) for c in ("mean", "median", "sd", "mad", "q5", "q95", "rhat")]
+    return rows.select("i1", *exact, r4("ess_bulk"), r4("ess_tail"), r6("mcse_mean"))
+
+
+def draw_ess(spark, sf):
+    """Effective sample sizes of autocorrelated draws with ties, in chains of unequal and odd length."""
+    rows = C.effective_size(V.chain_draws(spark, sf), ["i1"])
+    return rows.select("i1", *[r4(c) for c in ("ess_bulk", "ess_tail", "ess_mean")], r6("rhat"), r6("mcse_mean"))
 
 
 def draw_ranks(spark, sf):
@@ -51,17 +58,17 @@ def draw_ranks(spark, sf):
 
 
 def rhat_split(spark, sf):
-    split = D.split_chains(V.draws(spark, sf), ["i1"])
-    return D.rhat_split(split, ["i1"]).select("i1", r6("rhat"))
+    split = C.split_chains(V.draws(spark, sf), ["i1"])
+    return C.rhat_split(split, ["i1"]).select("i1", r6("rhat"))
 
 
 def rhat_rank(spark, sf):
-    return D.rhat_rank(V.draws(spark, sf), ["i1"]).select("i1", r6("rhat"))
+    return C.rhat_rank(V.draws(spark, sf), ["i1"]).select("i1", r6("rhat"))
 
 
 def rhat_hist(spark, sf):
-    split = D.split_chains(V.draws(spark, sf))
-    return D.histogram(D.rhat_split(split, ["i1"]), "rhat", 0.01)
+    split = C.split_chains(V.draws(spark, sf))
+    return D.histogram(C.rhat_split(split, ["i1"]), "rhat", 0.01)
 
 
 def sample_draws(spark, sf):
@@ -278,7 +285,7 @@ def entity_q_lambda(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        draws_long, draw_quantiles, draw_means, draw_summary, draw_ranks, rhat_split, rhat_rank,
+        draws_long, draw_quantiles, draw_means, draw_summary, draw_ess, draw_ranks, rhat_split, rhat_rank,
         rhat_hist, sample_draws, normal_noise, state_rw, state_seasonal, rolling6, state_level1,
         state_level2, drift, state_lambda, state_lambda_ar1, components, base_projection,
         forecast_lambda, transfer_forecast, posterior_predict, poisson_rates, interval_table, monthly_interval,
@@ -295,7 +302,8 @@ INTERVAL6 = ", ".join(
 INTERVAL4 = INTERVAL6.replace(", 6)", ", 4)")
 
 SPLIT = """sp AS (
-  SELECT dr.*, CASE WHEN iteration - first < size THEN 1
+  SELECT dr.*, CASE WHEN iteration - first < size THEN iteration - first
+                    ELSE iteration - first - (len - size) END AS pos, CASE WHEN iteration - first < size THEN 1
                     WHEN iteration - first >= len - size THEN 2 END AS half
   FROM dr JOIN (SELECT chain, min(iteration) AS first, max(iteration) - min(iteration) + 1 AS len,
                   (max(iteration) - min(iteration) + 1) // 2 AS size FROM dr GROUP BY 1) c
@@ -447,6 +455,68 @@ SUMMARY = f"""su AS (
     quantile_cont(value, 0.975) AS upr
   FROM co WHERE term IN ({', '.join(f"'{t}'" for t in SELECTED)}) GROUP BY 1, 2, part)"""
 
+#: ranks of the half chains' values and of their distances from the median, R-hat of both
+RANKED = (
+    SPLIT,
+    "med AS (SELECT i1, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.05) AS low,"
+    " quantile_cont(value, 0.95) AS high FROM sp WHERE half IS NOT NULL GROUP BY 1)",
+    """fo AS (
+  SELECT sp.i1, chain, half, pos, value, 'bulk' AS form, value AS x FROM sp WHERE half IS NOT NULL
+  UNION ALL SELECT sp.i1, chain, half, pos, value, 'folded', abs(value - med) FROM sp
+  JOIN med ON med.i1 = sp.i1 WHERE half IS NOT NULL)""",
+    """rk AS (
+  SELECT *, rank() OVER (PARTITION BY i1, form ORDER BY x)
+    + (count(*) OVER (PARTITION BY i1, form, x) - 1) / 2.0 AS r,
+    count(*) OVER (PARTITION BY i1, form) AS s FROM fo)""",
+    "pr AS (SELECT *, (r - 0.375) / (s + 0.25) AS pp FROM rk)",
+    f"zz AS (SELECT *, {normal_quantile('pp')} AS z FROM pr)",
+    rhat_cte("rh", "zz", "i1, form", "z"),
+)
+
+
+def ess_ctes(source: str) -> tuple[str, ...]:
+    """Effective sample sizes by all pairs of draws of a half chain, for the chains in ``source``."""
+    return (
+        Q.DRAWS,
+        *(part.replace("FROM dr", f"FROM {source}").replace("dr.", f"{source}.") for part in RANKED),
+        """xs AS (
+  SELECT zz.i1, chain, half, pos, series.s, CASE series.s WHEN 'bulk' THEN z WHEN 'low' THEN CAST(value <= low AS INTEGER)
+    WHEN 'high' THEN CAST(value <= high AS INTEGER) ELSE value END AS x
+  FROM zz JOIN med ON med.i1 = zz.i1, (VALUES ('bulk'), ('low'), ('high'), ('mean')) AS series(s)
+  WHERE form = 'bulk')""",
+        """hc AS (
+  SELECT i1, s, chain, half, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM xs GROUP BY 1, 2, 3, 4)""",
+        """st AS (
+  SELECT i1, s, avg(n) AS n, min(n) AS least, sum(n) AS total, count(*) AS halves, avg(v) AS w, var_samp(m) AS b
+  FROM hc GROUP BY 1, 2)""",
+        """cx AS (
+  SELECT xs.i1, xs.s, xs.chain, xs.half, pos, x - m AS x, n FROM xs
+  JOIN hc ON hc.i1 = xs.i1 AND hc.s = xs.s AND hc.chain = xs.chain AND hc.half = xs.half)""",
+        """ac AS (
+  SELECT a.i1, a.s, b.pos - a.pos AS lag, sum(a.x * b.x / a.n) AS acov FROM cx a
+  JOIN cx b ON a.i1 = b.i1 AND a.s = b.s AND a.chain = b.chain AND a.half = b.half AND b.pos >= a.pos
+  GROUP BY 1, 2, 3)""",
+        """rho AS (
+  SELECT st.*, lag, CASE WHEN lag = 0 THEN 1.0
+    ELSE 1 - (w - acov / halves) / (w * (n - 1) / n + coalesce(b, 0)) END AS rho
+  FROM st JOIN ac ON ac.i1 = st.i1 AND ac.s = st.s)""",
+        """pairs AS (
+  SELECT i1, s, least, total, lag // 2 AS k, sum(rho) AS duo, max(CASE WHEN lag % 2 = 0 THEN rho END) AS even
+  FROM rho GROUP BY 1, 2, 3, 4, 5)""",
+        """ends AS (SELECT *, NOT (duo > 0 AND 2 * k < least - 5) AS ends FROM pairs)""",
+        """mono AS (
+  SELECT *, min(duo) OVER w AS low, sum(CAST(ends AS INTEGER)) OVER w AS stops
+  FROM ends WINDOW w AS (PARTITION BY i1, s ORDER BY k ROWS UNBOUNDED PRECEDING))""",
+        """tau AS (
+  SELECT i1, s, total, greatest(1 / log10(total), -1 + 2 * coalesce(sum(low) FILTER (stops = 0), 0)
+    + max(CASE WHEN ends AND stops = 1 THEN CASE WHEN even > 0 OR duo >= 0 THEN even ELSE 0 END END)) AS tau
+  FROM mono GROUP BY 1, 2, 3)""",
+        """ess AS (
+  SELECT i1, max(total / tau) FILTER (s = 'bulk') AS ess_bulk, min(total / tau) FILTER (s IN ('low', 'high')) AS ess_tail,
+    max(total / tau) FILTER (s = 'mean') AS ess_mean FROM tau GROUP BY 1)""",
+    )
+
+
 SQL = {
     "draws_long": DR + """
 SELECT chain, iteration, draw, 'e[' || i1 || ']' AS name, 'e' AS variable, i1,
@@ -455,13 +525,31 @@ SELECT chain, iteration, draw, 'e[' || i1 || ']' AS name, 'e' AS variable, i1,
     "draw_means": DR + """
 SELECT i1, round(avg(value), 6) + 0.0 AS mean, round(exp(avg(value)), 6) + 0.0 AS mean_exp
 FROM dr GROUP BY 1""",
-    "draw_summary": DR + """
+    "draw_summary": Q.with_(*ess_ctes("dr")) + """
 SELECT dr.i1, round(avg(value), 6) + 0.0 AS mean, round(max(med), 6) + 0.0 AS median,
   round(stddev_samp(value), 6) + 0.0 AS sd,
   round(1.4826 * quantile_cont(abs(value - med), 0.5), 6) + 0.0 AS mad,
-  round(quantile_cont(value, 0.05), 6) + 0.0 AS q5, round(quantile_cont(value, 0.95), 6) + 0.0 AS q95
+  round(quantile_cont(value, 0.05), 6) + 0.0 AS q5, round(quantile_cont(value, 0.95), 6) + 0.0 AS q95,
+  round(max(rhat), 6) + 0.0 AS rhat, round(max(ess_bulk), 4) + 0.0 AS ess_bulk,
+  round(max(ess_tail), 4) + 0.0 AS ess_tail,
+  round(stddev_samp(value) / sqrt(max(ess_mean)), 6) + 0.0 AS mcse_mean
 FROM dr JOIN (SELECT i1, quantile_cont(value, 0.5) AS med FROM dr GROUP BY 1) m ON m.i1 = dr.i1
+JOIN ess ON ess.i1 = dr.i1 JOIN (SELECT i1, max(rhat) AS rhat FROM rh GROUP BY 1) h ON h.i1 = dr.i1
 GROUP BY dr.i1""",
+    "draw_ess": Q.with_(
+        Q.DRAWS,
+        """cd AS (
+  SELECT i1, chain, iteration, draw, round(value + 0.8 * coalesce(lag(value, 1) OVER w, 0.0)
+    + 0.5 * coalesce(lag(value, 2) OVER w, 0.0), 2) AS value
+  FROM dr WHERE i1 <= 8 AND value IS NOT NULL AND (chain < 4 OR iteration <= 80)
+  WINDOW w AS (PARTITION BY i1, chain ORDER BY iteration))""",
+        *ess_ctes("cd")[1:],
+    ) + """
+SELECT ess.i1, round(ess_bulk, 4) + 0.0 AS ess_bulk, round(ess_tail, 4) + 0.0 AS ess_tail,
+  round(ess_mean, 4) + 0.0 AS ess_mean, round(rhat, 6) + 0.0 AS rhat,
+  round(sd / sqrt(ess_mean), 6) + 0.0 AS mcse_mean
+FROM ess JOIN (SELECT i1, max(rhat) AS rhat FROM rh GROUP BY 1) h ON h.i1 = ess.i1
+JOIN (SELECT i1, stddev_samp(value) AS sd FROM cd GROUP BY 1) d ON d.i1 = ess.i1""",
     "draw_ranks": """
 SELECT l_returnflag, l_quantity, before + (n + 1) / 2.0 AS rank, CAST(size AS BIGINT) AS group_size
 FROM (SELECT l_returnflag, l_quantity, count(*) AS n,
@@ -471,22 +559,7 @@ FROM (SELECT l_returnflag, l_quantity, count(*) AS n,
       FROM lineitem GROUP BY 1, 2)""",
     "rhat_split": Q.with_(Q.DRAWS, SPLIT, rhat_cte("rh", "sp", "i1", "value"))
     + "SELECT i1, round(rhat, 6) + 0.0 AS rhat FROM rh",
-    "rhat_rank": Q.with_(
-        Q.DRAWS,
-        SPLIT,
-        "med AS (SELECT i1, quantile_cont(value, 0.5) AS med FROM sp WHERE half IS NOT NULL GROUP BY 1)",
-        """fo AS (
-  SELECT sp.i1, chain, half, 'bulk' AS form, value AS x FROM sp WHERE half IS NOT NULL
-  UNION ALL SELECT sp.i1, chain, half, 'folded', abs(value - med) FROM sp
-  JOIN med ON med.i1 = sp.i1 WHERE half IS NOT NULL)""",
-        """rk AS (
-  SELECT *, rank() OVER (PARTITION BY i1, form ORDER BY x)
-    + (count(*) OVER (PARTITION BY i1, form, x) - 1) / 2.0 AS r,
-    count(*) OVER (PARTITION BY i1, form) AS s FROM fo)""",
-        "pr AS (SELECT *, (r - 0.375) / (s + 0.25) AS pp FROM rk)",
-        f"zz AS (SELECT *, {normal_quantile('pp')} AS z FROM pr)",
-        rhat_cte("rh", "zz", "i1, form", "z"),
-    )
+    "rhat_rank": Q.with_(*ess_ctes("dr")[: 1 + len(RANKED)])
     + "SELECT i1, round(max(rhat), 6) + 0.0 AS rhat FROM rh GROUP BY 1",
     "rhat_hist": Q.with_(Q.DRAWS, SPLIT, rhat_cte("rh", "sp", "i1", "value"))
     + "SELECT CAST(floor(rhat / 0.01) AS BIGINT) AS bin, count(*) AS n FROM rh GROUP BY 1",

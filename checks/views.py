@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fieldcast.operators import panel as P, states as S
 from fieldcast.operators.simulate import spread
@@ -130,6 +130,16 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("i1", F.col("i1") + 1)
 
 
+def chain_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Autocorrelated draws of eight variables with ties; the last chain is shorter."""
+    rows = draws(spark, sf_dir).where("i1 <= 8 AND value IS NOT NULL")
+    rows = rows.where("chain < 4 OR iteration <= 80")
+    chain = Window.partitionBy("i1", "chain").orderBy("iteration")
+    before = [F.coalesce(F.lag("value", k).over(chain), F.lit(0.0)) for k in (1, 2)]
+    value = F.round(F.col("value") + 0.8 * before[0] + 0.5 * before[1], 2)
+    return rows.select("i1", "chain", "iteration", "draw", value.alias("value"))
+
+
 def forecast_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen values of a vector per (draw, series)."""
     slots = vectors(spark, sf_dir).select(

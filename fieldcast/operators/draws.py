@@ -1,4 +1,4 @@
-"""Posterior draws in long form: summaries, convergence, samples, coefficients.
+"""Posterior draws in long form: quantiles, means, samples, coefficients.
 
 A draw table has the columns ``chain, iteration, draw, variable, i1, i2,
 value``.  Filter by ``variable`` before summarising: stored draws are
@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldcast.functions.noise import digest, normal_quantile
+from fieldcast.functions.noise import digest
 from fieldcast.functions.text import rounded_label
 from fieldcast.operators.keys import join_null_safe
-from fieldcast.operators.ranking import average_ranks, exact_quantiles
+from fieldcast.operators.ranking import exact_quantiles
 
 INTERVAL = {"lwr": 0.025, "fit": 0.5, "upr": 0.975}
-MAD_SCALE = 1.4826
 
 
 def interval_quantiles(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -30,90 +29,6 @@ def means(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     )
 
 
-def summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """mean, median, sd, mad, q5, q95 per key."""
-    moments = df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
-    )
-    cuts = exact_quantiles(df, keys, value, {"q5": 0.05, "median": 0.5, "q95": 0.95})
-    base = join_null_safe(moments, cuts, keys)
-    distance = join_null_safe(df, cuts.select(*keys, "median"), keys).withColumn(
-        "__distance", F.abs(F.col(value) - F.col("median"))
-    )
-    spread = exact_quantiles(distance.select(*keys, "__distance"), keys, "__distance", {"mad": 0.5})
-    spread = spread.withColumn("mad", F.col("mad") * MAD_SCALE)
-    return join_null_safe(base, spread, keys).select(
-        *keys, "mean", "median", "sd", "mad", "q5", "q95"
-    )
-
-
-def split_chains(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Adds ``half``: each chain cut in two at its middle iteration.
-
-    With an odd number of iterations the middle one is left out, so both
-    halves have the same length.  ``keys`` name what has chains of its own
-    length, such as runs; without them all rows share the chains.
-    """
-    chain = [*(keys or []), "chain"]
-    bounds = df.groupBy(*chain).agg(
-        F.min("iteration").alias("__first"), F.max("iteration").alias("__last")
-    )
-    position = F.col("iteration") - F.col("__first")
-    length = F.col("__last") - F.col("__first") + 1
-    size = F.floor(length / 2)
-    return (
-        join_null_safe(df, bounds, chain)
-        .withColumn(
-            "half",
-            F.when(position < size, F.lit(1)).when(position >= length - size, F.lit(2)),
-        )
-        .where(F.col("half").isNotNull())
-        .drop("__first", "__last")
-    )
-
-
-def rhat_split(split: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Potential scale reduction over the half chains."""
-    halves = split.groupBy(*keys, "chain", "half").agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("m"),
-        F.var_samp(value).alias("v"),
-    )
-    parts = halves.groupBy(*keys).agg(
-        F.avg("n").alias("n"), F.var_samp("m").alias("b"), F.avg("v").alias("w")
-    )
-    n = F.col("n")
-    pooled = (n - 1) / n * F.col("w") + F.col("b")
-    return parts.select(*keys, F.sqrt(pooled / F.col("w")).alias("rhat"))
-
-
-def rhat_rank(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Rank-normalised split R-hat: the larger of the bulk and folded values."""
-
-    split = split_chains(df, keys)
-    middle = exact_quantiles(split, keys, value, {"__median": 0.5})
-    both = join_null_safe(split, middle, keys).select(
-        *keys,
-        "chain",
-        "half",
-        F.inline(
-            F.array(
-                F.struct(F.lit("bulk").alias("form"), F.col(value).alias("__x")),
-                F.struct(
-                    F.lit("folded").alias("form"),
-                    F.abs(F.col(value) - F.col("__median")).alias("__x"),
-                ),
-            )
-        ),
-    ).withColumn("__x", F.col("__x") + F.lit(0.0))
-    forms = [*keys, "form"]
-    ranks = average_ranks(both, forms, "__x")
-    scored = join_null_safe(both, ranks, [*forms, "__x"]).withColumn(
-        "__z", normal_quantile((F.col("rank") - 0.375) / (F.col("group_size") + 0.25))
-    )
-    return rhat_split(scored, forms, "__z").groupBy(*keys).agg(F.max("rhat").alias("rhat"))
-
-
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
     """Counts in bins of equal width, labelled by the bin number."""
     return df.groupBy(F.floor(F.col(value) / width).cast("bigint").alias("bin")).agg(

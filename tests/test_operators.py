@@ -1,10 +1,11 @@
 import datetime as dt
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from fieldcast.operators import attach, clean, draws as D, monitor, panel as P, ranking, reports
+from fieldcast.operators import attach, clean, convergence as C, draws as D, monitor, ordering, panel as P, ranking, reports
 
 
 def day(n):
@@ -182,13 +183,13 @@ def test_breaches(spark):
 def test_split_rhat_leaves_the_middle_out(spark):
     rows = [(c, i, float((c * 7 + i * 3) % 5)) for c in (1, 2) for i in range(9)]
     df = spark.createDataFrame(rows, "chain int, iteration int, value double")
-    split = D.split_chains(df)
+    split = C.split_chains(df)
     assert split.where("iteration = 4").count() == 0
     halves = np.array([[r[2] for r in rows if r[0] == c and lo <= r[1] < hi]
                        for c in (1, 2) for lo, hi in ((0, 4), (5, 9))])
     w, b = halves.var(axis=1, ddof=1).mean(), halves.mean(axis=1).var(ddof=1)
     want = np.sqrt((3 / 4 * w + b) / w)
-    got = D.rhat_split(split.withColumn("k", F.lit(1)), ["k"]).first()["rhat"]
+    got = C.rhat_split(split.withColumn("k", F.lit(1)), ["k"]).first()["rhat"]
     assert abs(got - want) < 1e-12
 
 
@@ -205,3 +206,91 @@ def test_coefficients_mean_row_uses_all_draws(spark):
     long = D.coef_long(coefs, 3, 1)
     mean = [r for r in long.collect() if r["mean"] == "mean"]
     assert long.count() == 4 and mean[0].probability == 4.5 and mean[0]["count"] == 9.0
+
+
+def halves_of(chains):
+    return [c[a:b] for c in chains for n in [len(c)] for a, b in ((0, n // 2), (n - n // 2, n))]
+
+
+def numpy_ess(halves):
+    """Initial monotone sequence over half chains of any length, straight from its definition."""
+    n = np.array([len(h) for h in halves])
+    w = np.mean([h.var(ddof=1) for h in halves])
+    means = np.array([h.mean() for h in halves])
+    plus = w * (n.mean() - 1) / n.mean() + (means.var(ddof=1) if len(halves) > 1 else 0.0)
+    if not plus > 0:
+        return None
+    acov = lambda h, t: ((h - h.mean())[: len(h) - t] @ (h - h.mean())[t:]) / len(h) if t < len(h) else 0.0
+    rho = lambda t: 1.0 if t == 0 else 1 - (w - np.mean([acov(h, t) for h in halves])) / plus
+    total, low, k = 0.0, np.inf, 0
+    while rho(2 * k) + rho(2 * k + 1) > 0 and 2 * k < n.min() - 5:
+        low = min(low, rho(2 * k) + rho(2 * k + 1))
+        total, k = total + low, k + 1
+    last = rho(2 * k) if rho(2 * k) > 0 or rho(2 * k) + rho(2 * k + 1) >= 0 else 0.0
+    return n.sum() / max(-1 + 2 * total + last, 1 / np.log10(n.sum()))
+
+
+def test_effective_size_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+
+    def walk(n, keep):
+        x = np.zeros(n)
+        for i in range(1, n):
+            x[i] = keep * x[i - 1] + rng.standard_normal()
+        return x.round(2)
+
+    groups = {
+        "slow": [walk(301, 0.97), walk(180, 0.97), walk(299, 0.9)],
+        "fast": [walk(64, 0.1), walk(33, -0.4)],
+        None: [walk(90, 0.5)],
+        "same": [np.full(20, 3.0), np.full(20, 3.0)],
+    }
+    rows = [(k, c, 5 + i, float(v)) for k, chains in groups.items() for c, x in enumerate(chains) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, chain int, iteration int, value double")
+    normal = NormalDist()
+    for lags, block in ((127, 4096), (3, 16)):  # the small ones need several passes over blocks
+        found = C.Diagnostics(df, ["k"])
+        got = {r["k"]: r for r in found.named(C.ess_columns(found.sizes(lags, block)), "ess_bulk", "ess_tail", "ess_mean").collect()}
+        assert set(got) == set(groups)
+        for k, chains in groups.items():
+            parts = halves_of(chains)
+            every = np.concatenate(parts)
+            low, high = np.quantile(every, [0.05, 0.95])
+            if k == "same":
+                assert got[k].ess_bulk is None and got[k].ess_tail is None
+                continue
+            rank = lambda v: (every < v).sum() + ((every == v).sum() + 1) / 2
+            score = {v: normal.inv_cdf((rank(v) - 0.375) / (len(every) + 0.25)) for v in set(every)}
+            bulk = numpy_ess([np.array([score[v] for v in h]) for h in parts])
+            tail = min(numpy_ess([(h <= cut).astype(float) for h in parts]) for cut in (low, high))
+            want = (bulk, tail, numpy_ess(parts))
+            assert np.allclose(want, (got[k].ess_bulk, got[k].ess_tail, got[k].ess_mean), rtol=1e-6), k
+    summed = {r["k"]: r for r in C.summary(df, ["k"]).collect()}
+    every = np.concatenate(groups["slow"])
+    assert abs(summed["slow"].mad - 1.4826 * np.median(np.abs(every - np.median(every)))) < 1e-9
+    assert abs(summed["slow"].mcse_mean - every.std(ddof=1) / np.sqrt(numpy_ess(halves_of(groups["slow"])))) < 1e-6
+    assert summed["same"].rhat is None and summed["same"].sd == 0.0
+    assert C.summary(df.where("false"), ["k"]).count() == 0
+
+
+def test_one_range_sort_ranks_two_counts(spark):
+    rng = np.random.default_rng(2)
+    values = np.append(rng.integers(-50, 50, 400) / 4.0, [np.inf, -np.inf, np.nan, 0.0])
+    rows = [(k, float(v), 1 + i % 3, i % 2) for k, size in (("hot", 404), (None, 7)) for i, v in enumerate(values[-size:])]
+    df = spark.createDataFrame(rows, "k string, v double, n long, m long").repartition(3)
+    counts = df.groupBy(ordering.key_struct(["k"]), "v").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    got = ordering.ordered(counts, "v", ["n", "m"]).collect()
+    place = lambda v: (1, 0.0) if v != v else (0, v)
+    for r in got:
+        mine = [x for x in rows if x[0] == r["__k"].k]
+        for c, at in (("n", 2), ("m", 3)):
+            assert r[f"{c}_size"] == sum(x[at] for x in mine)
+            assert r[f"{c}_before"] == sum(x[at] for x in mine if place(x[1]) < place(r.v))
+    assert len(got) == len({(k, place(v)) for k, v, _, _ in rows})
+
+
+def test_diagnostics_read_few_tables(spark):
+    df = spark.range(400).selectExpr("id % 3 AS k", "CAST(id % 4 AS INT) AS chain", "id AS iteration", "rand(1) AS value")
+    for plan in (C.rhat_rank(df, ["k"]), C.summary(df, ["k"])):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan") + text.count("Range (") <= 4
