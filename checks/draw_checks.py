@@ -174,14 +174,9 @@ def transfer_forecast(spark, sf):
     return paths.select("draw", "series", "step", r4("lambda"))
 
 
-# e to this is 5,000: some simulated rates reach 100,000,000, and the SQL adds up one term for each unit of a rate
-LARGEST_LOG_RATE = 8.517
-
-
 def posterior_predict(spark, sf):
-    rows = _paths(spark, sf).withColumn("log_rate", F.least("lambda", F.lit(LARGEST_LOG_RATE)))
     counts = simulate.predictive_counts(
-        rows, F.col("log_rate"), V.SEED, F.col("draw"), F.col("series"), F.col("step")
+        _paths(spark, sf), F.col("lambda"), V.SEED, F.col("draw"), F.col("series"), F.col("step")
     )
     return counts.select("draw", "series", "step", "y_pred")
 
@@ -317,18 +312,34 @@ def rhat_cte(name: str, source: str, keys: str, value: str) -> str:
         FROM {source} WHERE half IS NOT NULL GROUP BY {keys}, chain, half) GROUP BY {keys})"""
 
 
-def poisson_ctes(ids: str, keys: str) -> tuple[str, str]:
-    """Distribution functions of equal parts of the rates in ``r``, none above 400, each with its uniform."""
+def poisson_ctes(ids: str, keys: str, proposals: int = 20) -> tuple[str, ...]:
+    """``py``: counts of the rates in ``r``, small ones by inversion, others by the first proposal taken."""
+    text = f"'{V.SEED}|' || {ids} || '|y'"
+    mass = f"""CASE WHEN k <= {N.EXACT_FACTORIAL} THEN k * ln(rate) - rate - lgamma(k + 1)
+      ELSE k - rate - k * ln(k / rate) - 1.0 / (12 * k) + 1.0 / (360 * k * k * k) - 0.5 * ln(2 * pi() * k) END"""
+    hat = f"ln(v) + ln({N.INVERSE_ALPHA[0]} + {N.INVERSE_ALPHA[1]} / (b - {N.INVERSE_ALPHA[2]})) - ln(a / (us * us) + b)"
     return (
-        f"""lam AS (
-  SELECT {keys}, j, rate / m AS rate, ln(rate / m) AS ll,
-    {Q.lane(f"'{V.SEED}|' || {ids} || '|y' || CASE WHEN j > 0 THEN '|' || j ELSE '' END")} AS u
-  FROM (SELECT *, unnest(range(0, m)) AS j
-        FROM (SELECT *, greatest(1, CAST(ceil(rate / 400.0) AS BIGINT)) AS m FROM r)))""",
         f"""cdf AS (
-  SELECT {keys}, j, u, sum(exp(k * ll - rate - lgamma(k + 1)))
-    OVER (PARTITION BY {keys}, j ORDER BY k ROWS UNBOUNDED PRECEDING) AS cum
-  FROM (SELECT *, unnest(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 20) AS BIGINT))) AS k FROM lam))""",
+  SELECT {keys}, u, sum(exp(k * ln(rate) - rate - lgamma(k + 1)))
+    OVER (PARTITION BY {keys} ORDER BY k ROWS UNBOUNDED PRECEDING) AS cum
+  FROM (SELECT *, {Q.lane(text)} AS u, unnest(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 20) AS BIGINT))) AS k
+        FROM r WHERE rate < {N.REJECTION_FROM}))""",
+        f"""wide AS (
+  SELECT *, {N.WIDTH[0]} + {N.WIDTH[1]} * sqrt(rate) AS b FROM r WHERE rate >= {N.REJECTION_FROM})""",
+        f"""tried AS (
+  SELECT *, {N.HEIGHT[0]} + {N.HEIGHT[1]} * b AS a, {Q.lane(f"{text} || '|' || j")} - 0.5 AS un,
+    {Q.lane(f"{text} || '|' || j", 1)} AS v
+  FROM (SELECT *, unnest(range(0, {proposals})) AS j FROM wide))""",
+        """shaped AS (SELECT *, 0.5 - abs(un) AS us FROM tried)""",
+        f"""placed AS (SELECT *, floor((2.0 * a / us + b) * un + rate + {N.CENTRE}) AS k FROM shaped)""",
+        f"""taken AS (
+  SELECT {keys}, CAST(arg_min(k, j) AS BIGINT) AS y FROM placed
+  WHERE (us >= {N.INSIDE} AND v <= {N.SQUEEZE[0]} - {N.SQUEEZE[1]} / (b - {N.SQUEEZE[2]}))
+    OR (k >= 0 AND NOT (us < {N.CORNER} AND v > us) AND {hat} <= {mass})
+  GROUP BY {keys})""",
+        f"""py AS (
+  SELECT {keys}, count(*) FILTER (WHERE cum < u) AS y FROM cdf GROUP BY {keys}
+  UNION ALL SELECT * FROM taken)""",
     )
 
 
@@ -604,17 +615,15 @@ SELECT draw, series, step, round(mu, 4) + 0.0 AS mu, round(b, 4) + 0.0 AS b_ope,
     ) + "SELECT draw, series, step, round(lam, 4) + 0.0 AS \"lambda\" FROM path WHERE step > 0",
     "posterior_predict": Q.with_(
         Q.PARAMS, Q.noise("dp", V.HORIZON), Q.horizon("dp", V.HORIZON, "0.1"),
-        f"r AS (SELECT draw, series, step, exp(least(lam, {LARGEST_LOG_RATE})) AS rate FROM path WHERE step > 0)",
+        "r AS (SELECT draw, series, step, exp(lam) AS rate FROM path WHERE step > 0)",
         *poisson_ctes("draw || '|' || series || '|' || step", "draw, series, step"),
         recursive=True,
-    ) + """
-SELECT draw, series, step, count(*) FILTER (WHERE cum < u) AS y_pred FROM cdf GROUP BY 1, 2, 3""",
+    ) + """SELECT draw, series, step, y AS y_pred FROM py""",
     "poisson_rates": Q.with_(
         """r AS (SELECT CAST(vec_id AS INTEGER) AS draw,
   round(0.1 + 4999.9 * (vec_id * 37 % 101) / 100.0, 3) AS rate FROM embeddings)""",
         *poisson_ctes("draw", "draw"),
-    ) + """
-SELECT draw, count(*) FILTER (WHERE cum < u) AS y FROM cdf GROUP BY 1""",
+    ) + """SELECT draw, y FROM py""",
     "interval_table": PATHS + f"""
 SELECT series, CAST({LAST} + step AS DATE) AS date, {INTERVAL4}
 FROM (SELECT series, step, exp(lam) AS value FROM path WHERE step > 0) GROUP BY series, step""",
