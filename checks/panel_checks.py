@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import sql as Q, views as V
 from fieldcast.operators import monitor as M, panel as P, reports as R
 from fieldcast.operators.draws import INTERVAL
 from fieldcast.operators.ranking import bounded_quantiles
+from fieldcast.operators.stored import shared_folder
+from fieldcast.sources import manifest, products
 
 
 def r6(name, alias=None):
@@ -189,6 +193,26 @@ def interval_breach(spark, sf):
     return out.select("series", "date", "em", r6("lwr"), r6("fit"), r6("upr"))
 
 
+#: days on which a forecast is made, and how many days it reaches
+RUN_DAYS, REACH = ("2001-04-01", "2001-05-16", "2001-06-01"), 60
+
+
+def forecast_overlay(spark, sf):
+    """Daily counts against the newest of several stored forecasts made before each day."""
+    path = f"{shared_folder(spark)}/forecasts-{uuid.uuid4().hex}"
+    rows = V.panel(spark, sf).select("series", "date", "em")
+    for i, text in enumerate((*RUN_DAYS, RUN_DAYS[0])):  # the first run is written twice
+        made = F.lit(text).cast("date")
+        history = rows.where(F.col("date").between(F.date_sub(made, BACK), made))
+        limits = bounded_quantiles(history, ["series"], "em", INTERVAL)
+        days = F.sequence(F.date_add(made, 1), F.date_add(made, REACH))
+        future = limits.withColumn("date", F.explode(days)).withColumn("is_future", F.lit(True))
+        products.write_forecast(future, path, f"run-{text}", made)
+    manifest.write_attempt(rows.select("series", "date"), path)  # an attempt that was never committed
+    out = M.overlay(rows, M.as_of(products.read_forecasts(spark, path)))
+    return out.select("series", "date", "run_id", "em", r6("lwr"), r6("fit"), r6("upr"), "breach")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -196,7 +220,7 @@ QUERIES = {
         top_phenomena, top_days, daily_panel, daily_panel_carry_in, full_panel, panel_window,
         report_window, pivot_daily, pivot_pair, daily_long, family_split, series_totals,
         scale_by_max, series_arrays, observed_cells, measured_future, code_share,
-        interval_breach,
+        interval_breach, forecast_overlay,
     )
 }
 
@@ -304,6 +328,17 @@ LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS em
 SELECT period, code, CAST(sum(n) AS BIGINT) AS n_code, CAST(max(n_period) AS BIGINT) AS n_period,
   round(CAST(sum(n) AS DOUBLE) / CAST(max(n_period) AS DOUBLE), 6) + 0.0 AS share
 FROM l GROUP BY 1, 2""",
+    "forecast_overlay": Q.with_(
+        *Q.PANEL_CTES,
+        "runs(made) AS (VALUES " + ", ".join(f"(DATE '{d}')" for d in RUN_DAYS) + ")",
+        f"""lim AS (
+  SELECT made, series, quantile_cont(em, 0.025) AS lwr, quantile_cont(em, 0.5) AS fit,
+    quantile_cont(em, 0.975) AS upr FROM runs JOIN panel ON date BETWEEN made - {BACK} AND made GROUP BY 1, 2)""",
+    ) + f"""
+SELECT p.series, date, 'run-' || made AS run_id, em, round(lwr, 6) + 0.0 AS lwr, round(fit, 6) + 0.0 AS fit,
+  round(upr, 6) + 0.0 AS upr, em < lwr OR em > upr AS breach
+FROM panel p JOIN lim ON lim.series = p.series AND date > made AND date <= made + {REACH}
+QUALIFY row_number() OVER (PARTITION BY p.series, date ORDER BY made DESC) = 1""",
     "interval_breach": Q.with_(*Q.PANEL_CTES, f"""lim AS (
   SELECT series, quantile_cont(em, 0.025) AS lwr, quantile_cont(em, 0.5) AS fit,
     quantile_cont(em, 0.975) AS upr FROM panel

@@ -11,6 +11,18 @@ def outside() -> Column:
     return (F.col("em") < F.col("lwr")) | (F.col("em") > F.col("upr"))
 
 
+def as_of(forecasts: DataFrame) -> DataFrame:
+    """For each series and day the interval of the newest run made before that day.
+
+    ``forecasts`` holds all runs (``sources.products.read_forecasts``); of runs
+    made on one day the largest id counts.  Days that no earlier run reaches
+    have no row.  One aggregation; runs never meet each other.
+    """
+    newest = F.max_by(F.struct("run_id", "made", "lwr", "fit", "upr"), F.struct("made", "run_id"))
+    before = forecasts.where(F.col("made") < F.col("date"))
+    return before.groupBy("series", "date").agg(newest.alias("run")).select("series", "date", "run.*")
+
+
 def overlay(actuals: DataFrame, forecast: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Each judged day with its interval and a breach flag.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fieldcast.functions.text import parse_indexed
+from fieldcast.sources.manifest import read_run, write_run
 
 CHAIN_IN_NAME = r"-(\d+)[^-]*\.csv$"
 
@@ -80,13 +81,12 @@ def offsets_length(blocks: DataFrame) -> DataFrame:
 
 
 def write_draws(draws: DataFrame, path: str, run_id: str) -> None:
-    """Append a run, partitioned so that reading one variable prunes files."""
-    tagged = draws.withColumn("run_id", F.lit(run_id))
-    tagged.write.mode("append").partitionBy("run_id", "variable").parquet(path)
+    """Store the draws of a run, partitioned so that reading one variable prunes files; see ``manifest``."""
+    write_run(draws, path, run_id, ["variable"])
 
 
 def read_draws(spark: SparkSession, path: str, run_id: str, variables: list[str] | None = None) -> DataFrame:
-    rows = spark.read.parquet(path).where(F.col("run_id") == run_id)
+    rows = read_run(spark, path, run_id)
     if variables is not None:
         rows = rows.where(F.col("variable").isin(variables))
     return rows

@@ -1,7 +1,9 @@
 import datetime as dt
 import json
+import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fieldcast import schemas as S
@@ -292,36 +294,53 @@ def test_bootstrap_weights_are_poisson():
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
 
 
-def test_streaming_equals_batch(spark, tmp_path):
-    first = dt.datetime(2023, 3, 1)
-    rows = [
-        (i, "x" if i % 3 else "y", (first + dt.timedelta(hours=5 * i)).isoformat(sep=" "))
-        for i in range(60)
-    ]
+def feed(tmp_path, parts):
+    """JSON files of (id, series, ts), read one a trigger in the order of their times."""
     folder = tmp_path / "in"
     folder.mkdir()
-    for part in range(3):
-        chunk = rows[part * 20 : part * 20 + 20] + rows[part * 20 : part * 20 + 2]
-        (folder / f"{part}.json").write_text(
-            "\n".join(json.dumps({"id": i, "series": s, "ts": t}) for i, s, t in chunk)
-        )
-    schema = "id int, series string, ts timestamp"
-    limits = constant_table(
-        spark, [(s, (first + dt.timedelta(days=d)).date(), 2.0, 3.0, 3.0)
-                for s in "xy" for d in range(13)],
-        "series string, date date, lwr double, fit double, upr double",
-    )
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
-    counts = stream.daily_counts(events, ["id"], "ts", "series")
-    query = stream.start(stream.breaches(counts, limits), str(tmp_path / "out"), str(tmp_path / "ck"))
-    query.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out"))
-    batch = spark.read.schema(schema).json(str(folder)).dropDuplicates(["id"]).groupBy(
-        "series", F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("em"))
-    want = monitor.breaches(batch, limits)
-    # the last days are still open behind the watermark
-    closed = first.date() + dt.timedelta(days=8)
-    pick = ["series", "date", "em"]
-    a = {tuple(r) for r in got.where(F.col("date") <= closed).select(*pick).collect()}
-    b = {tuple(r) for r in want.where(F.col("date") <= closed).select(*pick).collect()}
-    assert a == b and a
+    for n, rows in enumerate(parts):
+        file = folder / f"{n}.json"
+        file.write_text("\n".join(json.dumps({"id": i, "series": s, "ts": str(t)}) for i, s, t in rows))
+        os.utime(file, (1_700_000_000 + n, 1_700_000_000 + n))
+    return folder, "id int, series string, ts timestamp"
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_streaming_equals_the_zero_filled_batch(spark, tmp_path, zone):
+    """A feed with empty days, a series without events, duplicates, events out of order and events too late."""
+    first = dt.datetime(2023, 3, 1)
+    at = lambda day, hour: first + dt.timedelta(days=day, hours=hour)
+    parts = [
+        [(i, "xy"[i % 2], at(i // 4, 3 + i % 4 * 5)) for i in range(8)],  # days 0 and 1
+        [(6, "x", at(1, 13)), (6, "x", at(1, 13)), (20, "x", at(4, 1)), (21, "y", at(2, 23))],  # 2 and 3 nearly empty
+        [(22, "x", at(9, 12)), (23, "y", at(4, 0)), (24, "y", at(4, 0)), (20, "x", at(4, 1))],  # out of order, not late
+        [(25, "x", at(15, 1)), (6, "y", at(9, 7))],  # key 6 on another day
+        [(27, "y", at(20, 0)), (26, "y", at(2, 5))],  # day 2 was emitted before
+    ]
+    zone_before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        folder, schema = feed(tmp_path, parts)
+        rows = [(s, (first + dt.timedelta(days=d)).date(), 1.0, 1.0, 1.0) for s in "xyz" for d in range(16)]
+        limits = spark.createDataFrame(rows, stream.FORECAST)
+        limits.write.parquet(str(tmp_path / "limits"))
+        events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+        expected = stream.expected_days(spark, str(tmp_path / "limits"))
+        counts = stream.daily_counts(events, ["id"], "ts", "series", expected)
+        pick = ["series", "date", "em"]
+        for name, rows in (("all", counts), ("out", stream.breaches(counts, limits).select(*pick))):
+            query = stream.start(rows, str(tmp_path / name), str(tmp_path / f"ck-{name}"))
+            query.awaitTermination(300)
+            assert query.exception() is None
+        late = F.col("id") != 26
+        batch = spark.read.schema(schema).json(str(folder)).where(late).withColumn("date", F.to_date("ts"))
+        batch = batch.dropDuplicates(["id", "date"]).groupBy("series", "date").agg(F.count(F.lit(1)).alias("em"))
+        filled = limits.select("series", "date").join(batch, ["series", "date"], "left").na.fill(0, ["em"])
+        closed = first.date() + dt.timedelta(days=15)  # the newest event is on day 20
+        take = lambda df: sorted(tuple(r) for r in df.where(F.col("date") <= closed).select(*pick).collect())
+        got, want = take(spark.read.parquet(str(tmp_path / "all"))), take(filled)
+        assert got == want and len(got) == 48 and sum(em == 0 for _, _, em in got) > 30
+        breaches = take(spark.read.parquet(str(tmp_path / "out")))
+        assert breaches == take(monitor.breaches(filled, limits)) and ("z", first.date(), 0) in breaches
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone_before)

@@ -3,7 +3,10 @@ import zipfile
 
 import pytest
 
-from fieldcast.sources import draw_files, files, products, workbook
+from pyspark.sql import functions as F
+
+from fieldcast.operators import monitor
+from fieldcast.sources import draw_files, files, manifest, products, workbook
 
 WORKBOOK = """<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"
  xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">
@@ -73,7 +76,7 @@ def test_draw_files(spark, tmp_path, split):
     draw_files.write_draws(draws, out, "r1")
     back = draw_files.read_draws(spark, out, "r1", ["s_z"])
     assert back.count() == 80
-    assert "PartitionFilters: [isnotnull(run_id" in back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(variable" in back._jdf.queryExecution().executedPlan().toString()
     draws.unpersist()
 
 
@@ -94,8 +97,52 @@ def test_products(spark, tmp_path):
         [("x", "2023-03-01", 1.0, 2.0, 3.0, True)],
         "series string, date string, lwr double, fit double, upr double, is_future boolean",
     ).selectExpr("series", "cast(date as date) date", "lwr", "fit", "upr", "is_future")
-    products.write_forecast(df, str(tmp_path / "f"), "r1")
-    assert products.read_forecast(spark, str(tmp_path / "f"), "r1").count() == 1
+    path = str(tmp_path / "f")
+    for _ in range(2):  # a repeated run is one run
+        products.write_forecast(df, path, "r1", F.lit("2023-02-01").cast("date"))
+    assert products.read_forecast(spark, path, "r1").count() == 1
     with products.recorded_run(spark, str(tmp_path / "runs"), "r1", "title"):
         pass
-    assert spark.read.parquet(str(tmp_path / "runs")).first().title == "title"
+    with products.recorded_run(spark, str(tmp_path / "runs"), "r1", "again"):
+        pass
+    assert [r.title for r in products.read_records(spark, str(tmp_path / "runs")).collect()] == ["again"]
+
+
+def test_runs_are_seen_once_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    rows = spark.range(100).withColumn("part", F.col("id") % 3)
+    manifest.write_run(rows, path, "a", ["part"])
+    # stopped after its files, stopped inside its files, stopped inside the commit
+    manifest.write_attempt(rows, path)
+    broken = F.when(F.col("id") == 77, F.raise_error(F.lit("stop"))).otherwise(F.col("id"))
+    with pytest.raises(Exception, match="stop"):
+        manifest.write_run(rows.withColumn("id", broken.cast("long")), path, "b")
+    (tmp_path / "runs" / "commits" / "x" / "_temporary" / "0").mkdir(parents=True)
+    assert sorted(r.id for r in manifest.read_run(spark, path, "a").collect()) == list(range(100))
+    with pytest.raises(ValueError):
+        manifest.read_run(spark, path, "b")
+    # two writers of one run at once, and a reader between the commits
+    first, second = (manifest.write_attempt(rows.limit(n), path) for n in (5, 7))
+    manifest.commit(spark, path, "b", first)
+    assert manifest.read_run(spark, path, "b").count() == 5
+    manifest.commit(spark, path, "b", second)
+    manifest.commit(spark, path, "b2", first)
+    assert manifest.read_run(spark, path, "b").count() == 7
+    counts = {r.run_id: r["count"] for r in manifest.read_runs(spark, path).groupBy("run_id").count().collect()}
+    assert counts == {"a": 100, "b": 7, "b2": 5}
+
+
+def test_overlay_takes_the_newest_run_made_before_a_day(spark, tmp_path):
+    path = str(tmp_path / "f")
+    day = lambda n: f"2023-03-{n:02d}"
+    for run, made, days in (("r1", 1, range(2, 8)), ("r2", 4, range(4, 8)), ("r3", 4, range(5, 7)), ("r1", 1, range(2, 9))):
+        rows = [("x", day(d), float(made), 9.0, 9.0, True) for d in days]
+        df = spark.createDataFrame(rows, "series string, d string, lwr double, fit double, upr double, is_future boolean")
+        df = df.withColumn("date", F.col("d").cast("date")).drop("d")
+        products.write_forecast(df, path, run, F.lit(day(made)).cast("date"))
+    chosen = monitor.as_of(products.read_forecasts(spark, path))
+    assert {r.date.day: r.run_id for r in chosen.collect()} == {
+        2: "r1", 3: "r1", 4: "r1", 5: "r3", 6: "r3", 7: "r2", 8: "r1"}
+    actuals = spark.createDataFrame([("x", day(d), 0) for d in (1, 5, 8)], "series string, d string, em long")
+    judged = monitor.overlay(actuals.withColumn("date", F.col("d").cast("date")), chosen)
+    assert {(r.date.day, r.run_id, r.breach) for r in judged.collect()} == {(5, "r3", True), (8, "r1", True)}
