@@ -2,23 +2,25 @@
 
 Each iteration is a single pass over the cached design.  Likelihood, score and
 observed information are sums over rows: every Arrow batch is reduced by a few
-matrix products in its task, and Spark adds the partial sums.  What reaches
-the driver is a fixed number of sums per replicate, independent of the number
-of rows; a damped Newton step follows.  All bootstrap replicates share the
-pass; a row's weight in a replicate is a Poisson(1) count drawn from a hash of
+matrix products in its task, and Spark adds the partial sums as vectors, by a
+tree.  The driver gets one row per replicate, independent of the number of
+rows and tasks; a damped Newton step follows.  All bootstrap replicates that
+haven't converged share the pass; a row's weight in a replicate is a Poisson(1) count drawn from a hash of
 its id, so it is the same after any recomputation.
 """
 
 from __future__ import annotations
 
+import json
 import sys
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldcast.functions.noise import digest
 from fieldcast.operators.density import log_factorial
 
 # workers need no installed copy of this module
@@ -38,6 +40,8 @@ class ZipModel:
     log_likelihood: list[float] = field(default_factory=list)
     iterations: dict[int, int] = field(default_factory=dict)
     converged: dict[int, bool] = field(default_factory=dict)
+    #: standard errors of the full sample, from the observed information at its maximum
+    errors: np.ndarray | None = None
 
 
 def column_scales(df: DataFrame, predictors: list[str]) -> dict[str, float]:
@@ -105,12 +109,37 @@ def batch_sums(y, log_factorials, x, w, coefs) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _pass(rows: DataFrame, coefs: dict[int, np.ndarray], k: int) -> dict[int, np.ndarray]:
-    """Sums of every replicate: Arrow batches are reduced where they lie, the
-    partial sums are added by Spark."""
+SUMS = "rep int, bucket int, sums array<double>"
+#: partial sums of so many groups of tasks are added before those of a replicate
+BUCKETS = 32
+
+
+def _added(partial: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each value of ``by``: streamed rows are added up, none are gathered."""
+
+    def add(batches):
+        totals: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for rep, bucket, sums in zip(pdf["rep"], pdf["bucket"], pdf["sums"]):
+                key = (rep, bucket if "bucket" in by else 0)
+                totals[key] = totals[key] + sums if key in totals else np.array(sums)
+        rows = [(rep, bucket, t.tolist()) for (rep, bucket), t in totals.items()]
+        yield pd.DataFrame(rows, columns=["rep", "bucket", "sums"])
+
+    return partial.repartition(*by).mapInPandas(add, SUMS)
+
+
+def row_sums(rows: DataFrame, coefs: dict[int, np.ndarray], k: int) -> DataFrame:
+    """(rep, sums): likelihood, score and information of every replicate, one row each.
+
+    Arrow batches are reduced where they lie; the partial sums of the tasks
+    are added as vectors, in groups of tasks first.
+    """
     names = [f"x{j}" for j in range(k)]
 
     def reduce(batches):
+        from pyspark import TaskContext
+
         totals = {r: 0.0 for r in coefs}
         for pdf in batches:
             x = pdf[names].to_numpy(float)
@@ -119,30 +148,62 @@ def _pass(rows: DataFrame, coefs: dict[int, np.ndarray], k: int) -> dict[int, np
             for r in coefs:
                 w = bootstrap_weights(seeds, r)
                 totals[r] = totals[r] + batch_sums(y, lf, x, w, coefs[r])
-        found = [(r, t.tolist()) for r, t in totals.items() if not np.isscalar(t)]
-        yield pd.DataFrame(found, columns=["rep", "sums"])
+        bucket = TaskContext.get().partitionId() % BUCKETS
+        found = [(r, bucket, t.tolist()) for r, t in totals.items() if not np.isscalar(t)]
+        yield pd.DataFrame(found, columns=["rep", "bucket", "sums"])
 
-    partial = rows.select("y", "log_factorial", "seed", *names).mapInPandas(
-        reduce, "rep int, sums array<double>"
-    )
-    total = (
-        partial.select("rep", F.posexplode("sums").alias("i", "v"))
-        .groupBy("rep", "i")
-        .agg(F.sum("v").alias("v"))
-        .collect()
-    )
+    partial = rows.select("y", "log_factorial", "seed", *names).mapInPandas(reduce, SUMS)
+    return _added(_added(partial, ["rep", "bucket"]), ["rep"]).select("rep", "sums")
+
+
+def _pass(rows: DataFrame, coefs: dict[int, np.ndarray], k: int) -> dict[int, np.ndarray]:
+    """Sums of the replicates on the driver: one row of 1 + 2k + 3k^2 numbers for each."""
     out = {r: np.zeros(1 + 2 * k + 3 * k * k) for r in coefs}
-    for row in total:
-        out[row["rep"]][row["i"]] = row["v"]
+    for row in row_sums(rows, coefs, k).collect():
+        out[row.rep] = np.array(row.sums)
     return out
 
 
+def information(sums: np.ndarray, k: int) -> np.ndarray:
+    h11, h12, h22 = sums[1 + 2 * k :].reshape(3, k, k)
+    return -np.block([[h11, h12], [h12.T, h22]])
+
+
+def standard_errors(sums: np.ndarray, k: int) -> np.ndarray:
+    """Roots of the diagonal of the inverse information, NaN where it is not positive."""
+    info = information(sums, k)
+    variance = np.full(2 * k, np.nan)
+    # columns are scaled, so that terms of very different size don't spoil the inverse
+    size = np.sqrt(np.abs(np.diag(info)))
+    if (size > 0).all():
+        inverse = np.linalg.pinv(info / np.outer(size, size), hermitian=True)
+        variance = np.diag(inverse) / size**2
+    return np.sqrt(np.where(variance > 0, variance, np.nan)).reshape(2, k)
+
+
+def score(
+    df: DataFrame, response: str, predictors: list[str], row_id: str, coefficients: np.ndarray
+) -> DataFrame:
+    """(item, term, value) at given coefficients of the scaled predictors: the log likelihood and both scores.
+
+    ``item`` is loglik (term null), probability or count.
+    """
+    scales = column_scales(df, predictors)
+    rows = design(df, response, predictors, scales, row_id).withColumn("seed", F.lit(0).cast("long"))
+    terms = [INTERCEPT, *predictors]
+    k = len(terms)
+    items = [("loglik", None), *(("probability", t) for t in terms), *(("count", t) for t in terms)]
+    named = F.array(*[F.struct(F.lit(i).alias("item"), F.lit(t).cast("string").alias("term")) for i, t in items])
+    sums = row_sums(rows, {0: np.asarray(coefficients, float)}, k).select(
+        F.inline(F.arrays_zip(named.alias("name"), F.slice("sums", 1, 1 + 2 * k).alias("value")))
+    )
+    return sums.select("name.item", "name.term", "value")
+
+
 def newton_step(sums: np.ndarray, k: int) -> np.ndarray:
     """Ascent step: curvature in absolute value, flat directions left alone."""
     score = sums[1 : 1 + 2 * k]
-    h11, h12, h22 = sums[1 + 2 * k :].reshape(3, k, k)
-    info = -np.block([[h11, h12], [h12.T, h22]])
-    values, vectors = np.linalg.eigh(info)
+    values, vectors = np.linalg.eigh(information(sums, k))
     size = np.abs(values)
     usable = size > 1e-10 * size.max()
     inverse = np.where(usable, 1.0 / np.where(usable, size, 1.0), 0.0)
@@ -182,13 +243,12 @@ def fit(
         done: set[int] = set()
         history: list[float] = []
         iterations = dict.fromkeys(coefs, 0)
+        errors = None
         for _ in range(max_iter):
-            sums = _pass(rows, coefs, k)
-            for r in coefs:
-                iterations[r] += r not in done
-            for r in coefs:
-                if r in done:
-                    continue
+            active = [r for r in coefs if r not in done]
+            sums = _pass(rows, {r: coefs[r] for r in active}, k)
+            for r in active:
+                iterations[r] += 1
                 value = sums[r][0]
                 if not value >= best[r][0]:
                     step[r] = step[r] / 2
@@ -201,6 +261,7 @@ def fit(
                 best[r] = (value, coefs[r])
                 if r == 0:
                     history.append(value)
+                    errors = standard_errors(sums[r], k)
                 if gain < tol * (abs(value) + 1.0):
                     done.add(r)
                     continue
@@ -219,9 +280,16 @@ def fit(
         history,
         iterations,
         {r: r in done for r in coefs},
+        errors,
     )
 
 
+def converged_only(model: ZipModel) -> ZipModel:
+    """The model without the replicates that were stopped."""
+    kept = {r: c for r, c in model.coefficients.items() if model.converged[r]}
+    return replace(model, coefficients=kept)
+
+
 def coefficient_draws(df: DataFrame, model: ZipModel) -> DataFrame:
     """(draw, part, term, value): one draw per replicate.
 
@@ -245,28 +313,56 @@ def scale_table(df: DataFrame, model: ZipModel) -> DataFrame:
     )
 
 
+def fit_table(df: DataFrame, model: ZipModel) -> DataFrame:
+    """(replicate, converged, iterations); replicate 0 is the full sample."""
+    rows = [(r, model.converged[r], model.iterations[r]) for r in sorted(model.coefficients)]
+    return df.sparkSession.createDataFrame(rows, "replicate int, converged boolean, iterations int")
+
+
+def estimate_table(df: DataFrame, model: ZipModel) -> DataFrame:
+    """(type, term, estimate, std_error) of the full sample, for the predictors in their own units."""
+    rows = [
+        (kind, term, float(model.coefficients[0][part][j] / model.scales[term]),
+         float(model.errors[part][j] / model.scales[term]))
+        for part, kind in ((0, "probability"), (1, "count"))
+        for j, term in enumerate(model.terms)
+    ]
+    return df.sparkSession.createDataFrame(rows, "type string, term string, estimate double, std_error double")
+
+
 def entity_draws(
-    df: DataFrame, model: ZipModel, response: str, predictors: list[str], row_id: str
+    df: DataFrame,
+    model: ZipModel,
+    response: str,
+    predictors: list[str],
+    row_id: str,
+    n_entities: int | None = None,
+    seed: int = 123,
 ) -> DataFrame:
     """(draw, part, entity, value): q and the log rate per row and replicate.
 
-    The coefficients are constants of the expression, so scoring is a narrow
-    map over the rows.
+    With ``n_entities`` only so many rows are scored, the first ones by a hash
+    of their id.  The coefficients are one array, and a row meets each of its
+    vectors in a dot product, so neither the plan nor the number of scans
+    depends on the number of replicates.
     """
     reps = [r for r in sorted(model.coefficients) if r > 0] or [0]
     rows = design(df, response, predictors, model.scales, row_id)
-    out = []
-    for r in reps:
-        eta, log_rate = (
-            sum(
-                (float(model.coefficients[r][part][j]) * F.col(f"x{j}")
-                 for j in range(len(model.terms))),
-                F.lit(0.0),
-            )
-            for part in (0, 1)
-        )
-        out.append(F.struct(F.lit(r).alias("draw"), F.lit(1).alias("part"),
-                            (1.0 / (1.0 + F.exp(-eta))).alias("value")))
-        out.append(F.struct(F.lit(r).alias("draw"), F.lit(2).alias("part"),
-                            log_rate.alias("value")))
-    return rows.select(F.col("id").alias("entity"), F.inline(F.array(*out)))
+    if n_entities is not None:
+        rows = rows.orderBy(digest(seed, F.col("id")), "id").limit(n_entities)
+    vectors = [
+        {"draw": r, "part": part + 1, "beta": [float(v) for v in model.coefficients[r][part]]}
+        for r in reps
+        for part in (0, 1)
+    ]
+    kind = "array<struct<draw: int, part: int, beta: array<double>>>"
+    known = F.from_json(F.lit(json.dumps(vectors)), kind)  # one constant
+
+    def scored(c: Column) -> Column:
+        products = F.zip_with(c["beta"], F.col("x"), lambda a, b: a * b)
+        eta = F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+        value = F.when(c["part"] == 1, 1.0 / (1.0 + F.exp(-eta))).otherwise(eta)
+        return F.struct(c["draw"].alias("draw"), c["part"].alias("part"), value.alias("value"))
+
+    shaped = rows.select(F.col("id").alias("entity"), F.array(*[f"x{j}" for j in range(len(model.terms))]).alias("x"))
+    return shaped.select("entity", F.inline(F.transform(known, scored)))

@@ -113,20 +113,20 @@ def test_runs_are_seen_once_or_not_at_all(spark, tmp_path):
     rows = spark.range(100).withColumn("part", F.col("id") % 3)
     manifest.write_run(rows, path, "a", ["part"])
     # stopped after its files, stopped inside its files, stopped inside the commit
-    manifest.write_attempt(rows, path)
+    manifest.write_attempt(rows, path, ["part"])
     broken = F.when(F.col("id") == 77, F.raise_error(F.lit("stop"))).otherwise(F.col("id"))
     with pytest.raises(Exception, match="stop"):
-        manifest.write_run(rows.withColumn("id", broken.cast("long")), path, "b")
+        manifest.write_run(rows.withColumn("id", broken.cast("long")), path, "b", ["part"])
     (tmp_path / "runs" / "commits" / "x" / "_temporary" / "0").mkdir(parents=True)
     assert sorted(r.id for r in manifest.read_run(spark, path, "a").collect()) == list(range(100))
     with pytest.raises(ValueError):
         manifest.read_run(spark, path, "b")
     # two writers of one run at once, and a reader between the commits
-    first, second = (manifest.write_attempt(rows.limit(n), path) for n in (5, 7))
+    first, second = (manifest.write_attempt(rows.limit(n), path, ["part"]) for n in (5, 7))
     manifest.commit(spark, path, "b", first)
     assert manifest.read_run(spark, path, "b").count() == 5
     manifest.commit(spark, path, "b", second)
-    manifest.commit(spark, path, "b2", first)
+    manifest.write_run(rows.limit(5), path, "b2", ["part"])
     assert manifest.read_run(spark, path, "b").count() == 7
     counts = {r.run_id: r["count"] for r in manifest.read_runs(spark, path).groupBy("run_id").count().collect()}
     assert counts == {"a": 100, "b": 7, "b2": 5}
