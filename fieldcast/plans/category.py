@@ -1,13 +1,11 @@
-"""One failure category on the main body: fit, horizon and component report."""
+"""One failure category on the main body: panel, horizon and component report."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldcast.operators import panel as P, reports as R, simulate, states
-from fieldcast.operators.fit import fit_series, horizon_parameters
+from fieldcast.operators.compact import horizon_parameters
 
 ALL = "all"
 
@@ -50,36 +48,21 @@ def category_panel(
 
 def category_report(
     panel: DataFrame,
-    draws_path: str | None,
+    given: DataFrame,
     start: str,
     end: str,
     gain: float,
     steps: int = 30,
-    chains: int = 6,
-    warmup: int = 6000,
-    samples: int = 2000,
-    thin: int = 4,
     seed: int = 1234,
-    given: DataFrame | None = None,
-    run_id: str | None = None,
 ) -> DataFrame:
     """(series, component, date, lwr, fit, upr, em, is_future).
 
-    ``gain`` is in machines per day.  ``given`` are draws from any sampler, one
-    row per draw and series.  Without them the model is fitted; the draws are
-    written once below ``draws_path`` (shared storage), in a folder of their
-    run that must be new, and read back, so the report never refits.
+    ``gain`` is in machines per day.  ``given`` are first-order draws from any
+    sampler, one row per draw and series (``operators.compact``).
     """
-    spark = panel.sparkSession
     first, last = (F.lit(d).cast("date") for d in (start, end))
     window = panel.where(F.col("date").between(first, last))
     scaled = P.scale_by_max(window, "mif_cum")
-    if given is None:
-        inputs = P.series_arrays(scaled)
-        fitted = fit_series(inputs, ["series"], chains, warmup, samples, thin, seed, "ar1")
-        folder = f"{draws_path}/run_id={run_id or uuid.uuid4().hex}"
-        fitted.write.parquet(folder)
-        given = spark.read.parquet(folder)
     arrays = ["mu", "b_ope", "gamma", "r", "lambda", "num"]
     draws = horizon_parameters(given, keep=arrays)
     # one row per series

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from fieldcast import schemas as S
 from fieldcast.operators import panel as P
 from fieldcast.operators.draws import interval_quantiles
-from fieldcast.operators.fit import fit_series, horizon_parameters
+from fieldcast.operators.compact import horizon_parameters
 from fieldcast.operators.reports import dated
 from fieldcast.operators.simulate import (
     explode_path, horizon, predictive_counts, spread, transfer,
@@ -108,39 +106,18 @@ def transferred_forecast(
 
 
 def forecast(
-    panel_a: DataFrame,
     panel_b: DataFrame,
     series_map: DataFrame,
     gains: DataFrame,
-    start_a: str,
     start_b: str,
-    draws_path: str | None = None,
+    draws: tuple[DataFrame, DataFrame],
     steps: int = 30,
-    chains: int = 6,
-    warmup: int = 1000,
-    samples: int = 1000,
-    thin: int = 4,
     seed: int = 1234,
-    draws: tuple[DataFrame, DataFrame] | None = None,
-    run_id: str | None = None,
 ) -> DataFrame:
     """Forecast the successor from the draws of both generations.
 
     ``draws`` are those of the predecessor and the successor, one row per draw
-    and series as ``transferred_forecast`` takes them, from any sampler.
-    Without them both are fitted; the draws are then written once below
-    ``draws_path`` (shared storage), in a folder of their run that must be new,
-    and read back: the forecast uses them several times and must not refit, and
-    a lost executor cannot cost a finished fit.
+    and series (``operators.compact``), from any sampler; ``model_input`` gives
+    the arrays that a sampler takes.
     """
-    spark = panel_a.sparkSession
-    inputs_b = model_input(panel_b, start_b)
-    if draws is None:
-        if draws_path is None:
-            raise ValueError("give the draws, or a path to write them to")
-        folder = f"{draws_path}/run_id={run_id or uuid.uuid4().hex}"
-        for name, inputs in (("a", model_input(panel_a, start_a)), ("b", inputs_b)):
-            fitted = fit_series(inputs, ["series"], chains, warmup, samples, thin, seed)
-            fitted.write.parquet(f"{folder}/generation={name}")
-        draws = tuple(spark.read.parquet(f"{folder}/generation={g}") for g in ("a", "b"))
-    return transferred_forecast(*draws, inputs_b, series_map, gains, steps, seed)
+    return transferred_forecast(*draws, model_input(panel_b, start_b), series_map, gains, steps, seed)

@@ -1,14 +1,12 @@
-"""Many short count series with gaps: fit, short horizon, monthly intervals."""
+"""Many short count series with gaps: monthly intervals of given draws."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldcast.operators.fit import fit_series, horizon_parameters
-from fieldcast.operators.ranking import bounded_quantiles
+from fieldcast.operators.ranking import exact_quantiles
 from fieldcast.operators.reports import dated
 from fieldcast.operators.draws import INTERVAL
-from fieldcast.operators.simulate import horizon
 
 
 def series_slice(series: DataFrame, order: str, start: int, end: int) -> DataFrame:
@@ -16,37 +14,6 @@ def series_slice(series: DataFrame, order: str, start: int, end: int) -> DataFra
     return series.where(F.col(order).between(start, end))
 
 
-def fit_many(
-    inputs: DataFrame,
-    key: str,
-    start: Column,
-    horizon_steps: int = 3,
-    chains: int = 4,
-    warmup: int = 1000,
-    samples: int = 2000,
-    thin: int = 2,
-    seed: int = 123,
-) -> DataFrame:
-    """(key, item, date, lwr, fit, upr) for the expected count and the random
-    effect over the observed months and the horizon.
-
-    ``inputs`` is (key, y) with null for unobserved cells.  There is no base,
-    so the base term is switched off.  A group of the final quantiles holds
-    chains x kept draws, which the arguments bound.
-    """
-    shaped = inputs.select(key, "y", F.transform("y", lambda v: F.lit(0.0)).alias("num"))
-    fitted = fit_series(shaped, [key], chains, warmup, samples, thin, seed)
-    rows = horizon_parameters(fitted, key, keep=["lambda", "r"])
-    # observed states and the simulated horizon leave the same row together
-    simulated = horizon(rows, horizon_steps, F.lit(0.0), seed)
-    paths = simulated.select(
-        F.col("series").alias(key),
-        F.concat("lambda", F.col("path.lambda")).alias("lambda"),
-        F.concat("r", F.col("path.r")).alias("r"),
-    )
-    return many_report(paths, key, start)
-
-
 def many_report(draws: DataFrame, key: str, start: Column) -> DataFrame:
     """(key, item, date, lwr, fit, upr) from given draws: one row per draw with
     the arrays ``lambda`` (log rates) and ``r`` (effects), one value per month.
@@ -62,5 +29,5 @@ def many_report(draws: DataFrame, key: str, start: Column) -> DataFrame:
         ),
     )
     long = paths.select(key, F.inline_outer(F.flatten(items)))
-    cuts = bounded_quantiles(long, [key, "item", "t"], "value", INTERVAL)
+    cuts = exact_quantiles(long, [key, "item", "t"], "value", INTERVAL)
     return dated(cuts, start, "t", "month").select(key, "item", "date", "lwr", "fit", "upr")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldcast import schemas as S
-from fieldcast.operators import fit as fitting, monitor, simulate, states, zip_regression as Z
+from fieldcast.operators import compact, monitor, simulate, states, zip_regression as Z
 from fieldcast.plans import category, forecast as plan, ingest, many, regression
 from fieldcast.sources.constants import constant_table
 from fieldcast.streaming import monitor as stream
@@ -123,7 +123,25 @@ def synthetic_events(spark, attachments, locations, first, days, per_day):
     )
 
 
-def test_forecast_end_to_end(spark, tmp_path):
+def compact_draws(spark, lengths, draws=6):
+    """Draws of given states: one row per draw and series with arrays of the series' length."""
+    rng = np.random.default_rng(7)
+    rows = [
+        (1, d, d, k, *np.abs(0.2 * rng.standard_normal(6)).tolist(),
+         *[(0.3 * rng.standard_normal(n)).tolist() for _ in range(4)], rng.uniform(0, 1.5, n).tolist(), [0.5] * n)
+        for k, n in lengths.items() for d in range(draws)
+    ]
+    arrays = ", ".join(f"{c} array<double>" for c in ("mu", "b_ope", "gamma", "r", "lambda", "num"))
+    scalars = ", ".join(f"{c} double" for c in compact.SCALAR_NAMES)
+    return spark.createDataFrame(rows, f"chain int, iteration int, draw int, series string, {scalars}, {arrays}")
+
+
+def test_compact_draws_in_long_form(spark):
+    draws = compact_draws(spark, {"a": 9, "b": 12}, 3)
+    assert compact.long_draws(draws, ["series"]).count() == 3 * (2 * 6 + 5 * (9 + 12))
+
+
+def test_forecast_end_to_end(spark):
     first_a, first_b = dt.date(2023, 1, 1), dt.date(2023, 2, 1)
     fin = S.FINISHER_LOCATIONS[0]
     events_a = synthetic_events(
@@ -145,8 +163,10 @@ def test_forecast_end_to_end(spark, tmp_path):
     last = panel_b.where("date = '2023-03-12'").collect()
     assert {r.series: r.mif_cum for r in last} == {s: 100 for s in S.SUCCESSOR_SERIES}
     gains = constant_table(spark, [(s, 3.0) for s in S.SUCCESSOR_SERIES], "series string, gain double")
-    out = plan.forecast(panel_a, panel_b, S.series_map(spark), gains, "2023-01-01", "2023-02-01",
-                        str(tmp_path), steps=5, chains=2, warmup=10, samples=10, thin=1)
+    inputs_a = plan.model_input(panel_a, "2023-01-01")
+    draws_a = compact_draws(spark, {r.series: r.t for r in inputs_a.collect()})
+    draws_b = compact_draws(spark, {s: 40 for s in S.SUCCESSOR_SERIES})
+    out = plan.forecast(panel_b, S.series_map(spark), gains, "2023-02-01", (draws_a, draws_b), steps=5)
     rows = out.collect()
     future = [r for r in rows if r.is_future]
     assert len(future) == 20 and len(rows) == 4 * (40 + 5)
@@ -154,62 +174,8 @@ def test_forecast_end_to_end(spark, tmp_path):
     assert all(0 <= r.lwr <= r.fit <= r.upr for r in rows)
 
 
-def test_fit_recovers_the_rate_and_ignores_gaps(spark):
-    rng = np.random.default_rng(0)
-    y = rng.poisson(6.0, 80).tolist()
-    gaps = [None if i % 4 == 0 else v for i, v in enumerate(y)]
-    df = spark.createDataFrame(
-        [("full", y, [0.0] * 80), ("gaps", gaps, [0.0] * 80)],
-        "key string, y array<int>, num array<double>",
-    )
-    fitted = fitting.fit_series(df, ["key"], chains=2, warmup=150, samples=150, thin=1)
-    rates = fitted.select("key", F.explode("lambda").alias("v")).groupBy("key").agg(
-        F.avg(F.exp("v")).alias("m")).collect()
-    assert {r.key for r in rates} == {"full", "gaps"}
-    assert all(abs(r.m - np.mean(y)) < 1.0 for r in rates)
-    again = fitting.fit_series(df.repartition(3), ["key"], chains=2, warmup=5, samples=5, thin=1)
-    once = fitting.fit_series(df, ["key"], chains=2, warmup=5, samples=5, thin=1)
-    key = ["key", "draw"]
-    assert again.select(*key, "intercept").orderBy(*key).collect() == once.select(
-        *key, "intercept").orderBy(*key).collect()
-    assert fitting.long_draws(once, ["key"]).count() == 20 * (6 + 5 * 80)
-
-
-def test_sampler_paths_equal_the_column_recursions(spark):
-    """Kernel states = reconstructed states = sum of the scaled paths."""
-    rng = np.random.default_rng(5)
-    n = 40
-    z, num = rng.standard_normal(4 * n - 6), np.linspace(0.1, 1, n)
-    theta = np.array([0.2, 0.4, 0.5, 0.3, 0.2, 0.1])
-    names = ["mu_err", "b_ope_err", "r_raw", "gamma_err"]
-    parts = [p.tolist() for p in np.split(z, [n, 2 * n, 3 * n])]
-    row = (*theta[:3].tolist(), *theta[3:].tolist(), *parts, num.tolist())
-    params = spark.createDataFrame(
-        [row],
-        ", ".join(f"{c} double" for c in ("intercept", "b_ar", "s_z", "s_s", "s_r", "s_t"))
-        + ", " + ", ".join(f"{c} array<double>" for c in (*names, "num")),
-    )
-    for variant, order in (("smooth", 2), ("ar1", 1)):
-        got = states.reconstruct(params, variant).first()["states"]
-        mu, b, gamma, r, rate = fitting.states_of(theta, z, num, variant)
-        assert np.allclose([s["mu"] for s in got], mu)
-        assert np.allclose([s["b_ope"] for s in got], b)
-        assert np.allclose([s["gamma"] for s in got], gamma)
-        assert np.allclose([s["lambda"] for s in got], rate)
-        constant = fitting.level_response(np.ones(n), theta[1], order)
-        paths = fitting.responses(z, theta[1], num, variant)
-        total = theta[0] * constant + np.concatenate([[1.0], theta[2:]]) @ paths
-        assert np.allclose(total, rate)
-
-
-def test_first_order_fit_and_horizon(spark):
-    rng = np.random.default_rng(1)
-    y = rng.poisson(3.0, 40).tolist()
-    df = spark.createDataFrame([("s", y, [0.5] * 40)], "key string, y array<int>, num array<double>")
-    fitted = fitting.fit_series(df, ["key"], 2, 40, 40, 1, variant="ar1")
-    rate = fitted.select(F.explode("lambda").alias("v")).agg(F.avg(F.exp("v"))).first()[0]
-    assert abs(rate - np.mean(y)) < 1.0
-    params = fitting.horizon_parameters(fitted, "key")
+def test_first_order_horizon(spark):
+    params = compact.horizon_parameters(compact_draws(spark, {"s": 40}))
     quiet = params.withColumns({c: F.lit(0.0) for c in ("s_z", "s_s", "s_r", "s_t")})
     path = simulate.explode_path(simulate.horizon(quiet, 2, F.lit(0.0), variant="ar1"))
     joined = path.where("step = 1").join(params, ["draw", "series"])
@@ -217,7 +183,7 @@ def test_first_order_fit_and_horizon(spark):
     assert worst < 1e-12
 
 
-def test_category_report(spark, tmp_path):
+def test_category_report(spark):
     first = dt.date(2023, 1, 1)
     rows = [
         (None if i % 5 else "COOK-C", "jam" if i % 3 else "noise", first + dt.timedelta(days=i % 40))
@@ -233,9 +199,8 @@ def test_category_report(spark, tmp_path):
     got = panel.agg(F.max("mif_cum"), F.sum("em"), F.count(F.lit(1)), F.max("series")).first()
     want = sum(1 for a, p, _ in rows if a is None and p == "jam")
     assert tuple(got) == (60, want, 40, "jam")
-    report = category.category_report(
-        panel, str(tmp_path), "2023-01-01", "2023-02-09", 2.0, 3, chains=2, warmup=10, samples=10, thin=1
-    ).collect()
+    given = compact_draws(spark, {"jam": 40})
+    report = category.category_report(panel, given, "2023-01-01", "2023-02-09", 2.0, 3).collect()
     assert len(report) == 13 * 43 + (43 - 31)
     assert {r.component for r in report if r.date == dt.date(2023, 1, 5)} == set(states.COMPONENTS) - {
         "delta_exp"} | {"y_pred"}
@@ -256,10 +221,9 @@ def test_failure_code_share(spark):
 
 
 def test_many_series(spark):
-    df = spark.createDataFrame([("a", [3, None, 4] * 8), ("b", [1] * 24)], "k string, y array<int>")
-    out = many.fit_many(df, "k", F.lit("2021-01-01").cast("date"), chains=2, warmup=10, samples=10, thin=1)
-    rows = out.collect()
-    assert len(rows) == 2 * 2 * (24 + 3)
+    draws = compact_draws(spark, {"a": 27, "b": 27}).withColumnRenamed("series", "k")
+    rows = many.many_report(draws, "k", F.lit("2021-01-01").cast("date")).collect()
+    assert len(rows) == 2 * 2 * 27
     assert max(r.date for r in rows) == dt.date(2023, 3, 1)
 
 
