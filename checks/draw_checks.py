@@ -174,6 +174,22 @@ def transfer_forecast(spark, sf):
     return paths.select("draw", "series", "step", r4("lambda"))
 
 
+def transfer_map(spark, sf):
+    """Successor series borrow from the predecessor series that a table names, two of them from one."""
+    params = V.forecast_parameters(spark, sf)
+    half = F.floor(F.col("draw") / 2).cast("int")
+    scales = params.where(F.col("draw") % 2 == 0).withColumn("draw", half)
+    states = params.where(F.col("draw") % 2 == 1).withColumn("draw", half)
+    donors = spark.createDataFrame(list(DONORS.items()), "series int, donor int")
+    paths = simulate.explode_path(
+        simulate.horizon(simulate.spread(simulate.transfer(states, scales, donors)), V.HORIZON, F.lit(0.1), V.SEED)
+    )
+    return paths.select("draw", "series", "step", r4("lambda"))
+
+
+DONORS = {1: 4, 2: 4, 3: 1}
+
+
 def posterior_predict(spark, sf):
     counts = simulate.predictive_counts(
         _paths(spark, sf), F.col("lambda"), V.SEED, F.col("draw"), F.col("series"), F.col("step")
@@ -209,6 +225,22 @@ def component_report(spark, sf):
     return table.select("chain", "component", "date", r4("lwr"), r4("fit"), r4("upr"))
 
 
+OBSERVED_UNTIL = "2001-02-10"
+
+
+def component_future(spark, sf):
+    """Component intervals with predicted counts, the actual counts and the future marked."""
+    start, end = (F.lit(d).cast("date") for d in ("2001-01-01", OBSERVED_UNTIL))
+    rows = V.state_rows(spark, sf)
+    counts = simulate.predictive_counts(rows, F.col("lambda"), V.SEED, F.col("draw"), F.col("t"))
+    parts = S.components(counts, ["draw", "chain", "y_pred"], F.lit(V.N_MAX))
+    observed = V.table(spark, sf, "orders").groupBy(
+        (F.col("o_orderkey") % 4 + 1).cast("int").alias("chain"), V.day("o_orderdate").alias("date")
+    ).agg(F.count(F.lit(1)).alias("em")).where(F.col("date") <= end)
+    table = R.component_report(parts, ["chain"], start, True, observed, end)
+    return table.select("chain", "component", "date", r4("lwr"), r4("fit"), r4("upr"), "em", "is_future")
+
+
 def series_label(spark, sf):
     means = V.forecast_parameters(spark, sf).groupBy("series").agg(F.avg("b_ar").alias("b_ar"))
     named = means.select(
@@ -283,8 +315,8 @@ QUERIES = {
         draws_long, draw_quantiles, draw_means, draw_summary, draw_ess, draw_ranks, rhat_split, rhat_rank,
         rhat_hist, sample_draws, normal_noise, state_rw, state_seasonal, rolling6, state_level1,
         state_level2, drift, state_lambda, state_lambda_ar1, components, base_projection,
-        forecast_lambda, transfer_forecast, posterior_predict, poisson_rates, interval_table, monthly_interval,
-        component_report, series_label, loglik, log_prior, coef_rescale, coef_long, coef_summary,
+        forecast_lambda, transfer_forecast, transfer_map, posterior_predict, poisson_rates, interval_table, monthly_interval,
+        component_report, component_future, series_label, loglik, log_prior, coef_rescale, coef_long, coef_summary,
         coef_order, entity_q_lambda,
     )
 }
@@ -613,6 +645,14 @@ SELECT draw, series, step, round(mu, 4) + 0.0 AS mu, round(b, 4) + 0.0 AS b_ope,
     "transfer_forecast": Q.with_(
         Q.PARAMS, PAIRED, Q.noise("tp", V.HORIZON), Q.horizon("tp", V.HORIZON, "0.1"), recursive=True
     ) + "SELECT draw, series, step, round(lam, 4) + 0.0 AS \"lambda\" FROM path WHERE step > 0",
+    "transfer_map": Q.with_(
+        Q.PARAMS,
+        "donors(series, donor) AS (VALUES " + ", ".join(f"({a}, {b})" for a, b in DONORS.items()) + ")",
+        PAIRED.replace("JOIN dp a", "JOIN donors d ON d.series = b.series JOIN dp a").replace(
+            "a.series = b.series", "a.series = d.donor"
+        ),
+        Q.noise("tp", V.HORIZON), Q.horizon("tp", V.HORIZON, "0.1"), recursive=True,
+    ) + "SELECT draw, series, step, round(lam, 4) + 0.0 AS \"lambda\" FROM path WHERE step > 0",
     "posterior_predict": Q.with_(
         Q.PARAMS, Q.noise("dp", V.HORIZON), Q.horizon("dp", V.HORIZON, "0.1"),
         "r AS (SELECT draw, series, step, exp(lam) AS rate FROM path WHERE step > 0)",
@@ -633,6 +673,21 @@ FROM dr GROUP BY chain, i1""",
     "component_report": Q.with_(INNOVATIONS, states_sql(False), COMPONENT_CTE, recursive=True) + f"""
 SELECT chain, component, CAST(DATE '2001-01-01' + (t - 1) AS DATE) AS date, {INTERVAL4}
 FROM comp WHERE value IS NOT NULL GROUP BY chain, component, t""",
+    "component_future": Q.with_(
+        INNOVATIONS, states_sql(False), COMPONENT_CTE,
+        "r AS (SELECT draw, t, exp(lam) AS rate FROM st)", *poisson_ctes("draw || '|' || t", "draw, t"),
+        "every AS (SELECT * FROM comp UNION ALL SELECT st.chain, st.t, 'y_pred', y FROM py"
+        " JOIN st ON st.draw = py.draw AND st.t = py.t)",
+        f"""cuts AS (
+  SELECT chain, component, CAST(DATE '2001-01-01' + (t - 1) AS DATE) AS date, {INTERVAL4}
+  FROM every WHERE value IS NOT NULL GROUP BY chain, component, t)""",
+        f"""seen AS (
+  SELECT CAST(o_orderkey % 4 + 1 AS INTEGER) AS chain, CAST(o_orderdate AS DATE) AS date, count(*) AS em
+  FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '{OBSERVED_UNTIL}' GROUP BY 1, 2)""",
+        recursive=True,
+    ) + f"""
+SELECT cuts.*, em, cuts.date > DATE '{OBSERVED_UNTIL}' AS is_future
+FROM cuts LEFT JOIN seen ON seen.chain = cuts.chain AND seen.date = cuts.date""",
     "series_label": Q.with_(Q.PARAMS) + """
 SELECT 'S' || series AS series,
   series || '.S' || series || ' (b_ar = ' || printf('%.3f', round_even(avg(b_ar), 3)) || ')' AS label

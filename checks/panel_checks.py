@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import sql as Q, views as V
 from fieldcast.operators import monitor as M, panel as P, reports as R
+from fieldcast.operators.clean import column_maxima as maxima, keep_first
 from fieldcast.operators.draws import INTERVAL
 from fieldcast.operators.ranking import bounded_quantiles
 from fieldcast.operators.stored import shared_folder
@@ -180,6 +181,18 @@ def code_share(spark, sf):
     return shares.select("period", "code", "n_code", "n_period", r6("share"))
 
 
+def first_lines(spark, sf):
+    """The first line of each order by its day, then by its number."""
+    rows = V.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", V.day("l_shipdate").alias("day"), "l_partkey", "l_quantity"
+    )
+    return keep_first(rows, ["l_orderkey"], ["day", "l_linenumber", "l_partkey", "l_quantity"])
+
+
+def column_maxima(spark, sf):
+    return maxima(V.table(spark, sf, "lineitem"), ["l_returnflag"])
+
+
 CUT, BACK = "2001-06-01", 90
 
 
@@ -220,7 +233,7 @@ QUERIES = {
         top_phenomena, top_days, daily_panel, daily_panel_carry_in, full_panel, panel_window,
         report_window, pivot_daily, pivot_pair, daily_long, family_split, series_totals,
         scale_by_max, series_arrays, observed_cells, measured_future, code_share,
-        interval_breach, forecast_overlay,
+        interval_breach, forecast_overlay, first_lines, column_maxima,
     )
 }
 
@@ -328,6 +341,14 @@ LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS em
 SELECT period, code, CAST(sum(n) AS BIGINT) AS n_code, CAST(max(n_period) AS BIGINT) AS n_period,
   round(CAST(sum(n) AS DOUBLE) / CAST(max(n_period) AS DOUBLE), 6) + 0.0 AS share
 FROM l GROUP BY 1, 2""",
+    "first_lines": """
+SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day, l_partkey, l_quantity FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY day, l_linenumber, l_partkey, l_quantity) = 1""",
+    "column_maxima": " UNION ALL ".join(
+        f"SELECT l_returnflag, '{c}' AS name, CAST(max({c}) AS DOUBLE) AS maximum FROM lineitem GROUP BY 1"
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax")
+    ),
     "forecast_overlay": Q.with_(
         *Q.PANEL_CTES,
         "runs(made) AS (VALUES " + ", ".join(f"(DATE '{d}')" for d in RUN_DAYS) + ")",

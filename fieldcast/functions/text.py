@@ -36,11 +36,6 @@ def to_boolean(text: Column) -> Column:
     )
 
 
-def number_flag(value: Column) -> Column:
-    """Logical from a number: zero is false, any other number is true."""
-    return value.try_cast("double") != 0
-
-
 def first_digit(serial: Column) -> Column:
     """Leading character of a serial as a number, null when it is no digit."""
     return F.substring(serial.cast("string"), 1, 1).try_cast("double")
@@ -53,7 +48,7 @@ def contains_token(name: Column, token: str) -> Column:
 
 def strip_prefix(name: Column, width: int) -> Column:
     """Drop the first ``width`` characters."""
-    return F.substring(name, width + 1, 1_000_000)
+    return F.substr(name, F.lit(width + 1))
 
 
 def indexed_name(variable: Column, i1: Column, i2: Column | None = None) -> Column:

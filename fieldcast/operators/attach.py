@@ -3,8 +3,8 @@
 None of the sides carries a broadcast hint: the master and the standard
 configuration are small today, but their size is checked by Spark's own
 statistics (static and adaptive) and a shuffle join takes over beyond the
-threshold.  Joins on machine keys rely on the adaptive skew join to split a
-machine that owns a large share of the events.
+threshold.  A machine that owns a large share of the events is joined in
+salted pieces.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldcast.functions.text import composite_key, first_digit, strip_blanks
-from fieldcast.operators.keys import left_join
+from fieldcast.operators.keys import left_join, salted_left_join
 
 
 def name_attachments(
@@ -49,7 +49,7 @@ def attach_to_events(
     the join, where they would all meet in one partition.  Both sides are reduced to
     distinct rows first, so a machine contributes (its distinct events) x (its
     distinct attachments), which is the result itself; no larger intermediate
-    arises.
+    arises.  A machine with a large share of the events is joined in pieces.
     """
     keys = [key] if isinstance(key, str) else key
     right = attachments.select(*keys, *columns).distinct()
@@ -57,7 +57,7 @@ def attach_to_events(
     if null_safe:
         return left_join(rows, right, keys, null_safe)
     incomplete = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
-    joined = left_join(rows.where(~incomplete), right, keys)
+    joined = salted_left_join(rows.where(~incomplete), right, keys)
     return joined.unionByName(rows.where(incomplete), allowMissingColumns=True)
 
 

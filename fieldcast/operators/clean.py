@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
@@ -30,8 +30,27 @@ def keep_emergencies(df: DataFrame, flag: str, mode: str = "EM") -> DataFrame:
     return df
 
 
-def replace_nulls_with_zero(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.fillna(0, subset=columns)
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the first in the declared order; nulls of the order come last.
+
+    An aggregation that is combined before the shuffle, so a key with very
+    many rows costs one row per task.
+    """
+    place = F.struct(
+        *[x for c in order for x in (F.col(c).isNull().alias(f"null_{c}"), F.col(c).alias(c))]
+    )
+    others = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*others), place).alias("__first")
+    return df.groupBy(*keys).agg(first).select(*[c if c in keys else F.col("__first")[c].alias(c) for c in df.columns])
+
+
+def column_maxima(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, name, maximum) of all numeric columns at once, in one aggregation."""
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in by]
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("name"), F.max(c).cast("double").alias("maximum")) for c in numeric]
+    )
+    return df.groupBy(*by).agg(pairs.alias("__pairs")).select(*by, F.inline("__pairs"))
 
 
 def missing_levels(present: DataFrame, expected: DataFrame, on: list[str]) -> DataFrame:

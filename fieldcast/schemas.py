@@ -83,17 +83,10 @@ CLEAN_MACHINES_A = _schema(
 CLEAN_MACHINES_B = _schema(
     strings=("機種略機番", "周辺機分類", "周辺機名"), dates=("納品年月日",)
 )
-ATTACHMENTS = _schema(strings=("機種略号", "機番", "デバイスコード", "納入日"))
 DRAWS = _schema(
     ints=("chain", "iteration", "draw"),
     strings=("variable",),
 ).add("i1", T.IntegerType()).add("i2", T.IntegerType()).add("value", T.DoubleType())
-FORECAST = _schema(
-    strings=("run_id", "series"),
-    dates=("date",),
-    doubles=("lwr", "fit", "upr"),
-    booleans=("is_future",),
-)
 RUNS = _schema(
     strings=("run_id", "title"), doubles=("user", "system", "elapsed")
 )

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from fieldcast.operators import attach, clean, convergence as C, draws as D, monitor, ordering, panel as P, ranking, reports
+from fieldcast.operators import attach, clean, convergence as C, draws as D, keys, monitor, ordering, panel as P, ranking, reports
 
 
 def day(n):
@@ -29,16 +29,14 @@ def test_quantiles_equal_numpy_even_with_a_hot_group(spark):
     ]
     rows = [(k, float(v)) for k, values in parts for v in values] + [("hot", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    # every group in bins, some in bins, none in bins
-    for limit in (0, 100, 100_000):
-        rows = ranking.exact_quantiles(df, ["k"], "v", D.INTERVAL, limit).collect()
-        got = {r.k: r for r in rows}
-        assert len(rows) == len(parts)
-        for key, values in parts:
-            want = np.quantile(values, [0.025, 0.5, 0.975])
-            assert np.allclose([got[key].lwr, got[key].fit, got[key].upr], want, rtol=1e-12), key
-        whole = ranking.exact_quantiles(df, [], "v", {"m": 0.5}, limit).first()["m"]
-        assert whole == np.median(np.concatenate([v for _, v in parts]))
+    rows = ranking.exact_quantiles(df, ["k"], "v", D.INTERVAL).collect()
+    got = {r.k: r for r in rows}
+    assert len(rows) == len(parts)
+    for key, values in parts:
+        want = np.quantile(values, [0.025, 0.5, 0.975])
+        assert np.allclose([got[key].lwr, got[key].fit, got[key].upr], want, rtol=1e-12), key
+    whole = ranking.exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"]
+    assert whole == np.median(np.concatenate([v for _, v in parts]))
 
 
 def test_quantiles_of_special_and_crowded_values(spark):
@@ -63,9 +61,8 @@ def test_quantiles_of_special_and_crowded_values(spark):
 def test_average_ranks_with_ties(spark):
     values = [3.0, 1.0, 3.0, -2.0, 3.0, 0.0]
     df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
-    for limit in (0, 10):
-        got = {r.v: r["rank"] for r in ranking.average_ranks(df, ["k"], "v", limit).collect()}
-        assert got == pd.Series(values).rank().set_axis(values).to_dict()
+    got = {r.v: r["rank"] for r in ranking.average_ranks(df, ["k"], "v").collect()}
+    assert got == pd.Series(values).rank().set_axis(values).to_dict()
 
 
 def test_quantile_plan_reads_its_input_once(spark, sf):
@@ -294,3 +291,38 @@ def test_diagnostics_read_few_tables(spark):
     for plan in (C.rhat_rank(df, ["k"]), C.summary(df, ["k"])):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert text.count("FileScan") + text.count("Range (") <= 4
+
+
+def test_a_heavy_machine_is_joined_in_pieces(spark):
+    """One machine owns half of the events: without adaptive execution no task gets more than its share."""
+    hot = F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("m"), F.col("id") % 997))
+    key = F.when(F.col("id") % 101 != 0, hot)
+    events = spark.range(20_000).select(key.alias("k"), F.col("id").alias("event"))
+    attachments = spark.createDataFrame(
+        [("hot", "a"), ("hot", "b"), (None, "z"), *[(f"m{i}", "c") for i in range(0, 997, 2)]], "k string, name string")
+    plain = events.distinct().join(attachments, "k", "left")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "64"}
+    before = {c: spark.conf.get(c) for c in settings}
+    for c, v in settings.items():
+        spark.conf.set(c, v)
+    try:
+        joined = attach.attach_to_events(events, attachments, "k", ["name"])
+        rows = [tuple(r) for r in joined.select("k", "event", "name", F.spark_partition_id()).collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    order = lambda found: sorted(found, key=str)
+    assert order(r[:3] for r in rows) == order(tuple(r) for r in plain.select("k", "event", "name").collect())
+    of_hot = [r[3] for r in rows if r[0] == "hot"]
+    assert len(of_hot) > 19_000 and max(of_hot.count(p) for p in set(of_hot)) < len(of_hot) / 8
+    assert keys.heavy_keys(events.where("k <> 'hot'"), ["k"]) is None
+
+
+def test_first_by_declared_order_and_maxima(spark):
+    rows = [("a", None, 5, 1.0), ("a", 2, 9, None), ("a", 2, 3, 7.0), (None, 1, 1, 0.5), ("b", None, 4, None)]
+    df = spark.createDataFrame(rows, "k string, ord int, then int, v double")
+    got = {tuple(r) for r in clean.keep_first(df, ["k"], ["ord", "then"]).collect()}
+    assert got == {("a", 2, 3, 7.0), (None, 1, 1, 0.5), ("b", None, 4, None)}
+    top = {(r.k, r["name"]): r.maximum for r in clean.column_maxima(df, ["k"]).collect()}
+    assert top["a", "ord"] == 2 and top["a", "then"] == 9 and top["a", "v"] == 7.0 and top["b", "v"] is None
