@@ -40,7 +40,7 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         *[x for c in order for x in (F.col(c).isNull().alias(f"null_{c}"), F.col(c).alias(c))]
     )
     others = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*others), place).alias("__first")
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), place).alias("__first")
     return df.groupBy(*keys).agg(first).select(*[c if c in keys else F.col("__first")[c].alias(c) for c in df.columns])
 
 

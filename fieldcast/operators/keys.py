@@ -68,7 +68,7 @@ def salted_left_join(
     heavy = F.broadcast(heavy)  # fewer than 1 / share rows
     salt = "__salt"
     dealt = left.join(heavy, keys, "left").withColumn(
-        salt, F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__pieces")).cast("int"), F.lit(0))
+        salt, F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("__pieces")).cast("int"), F.lit(0))
     )
     repeated = right.join(heavy, keys, "left").withColumn(
         salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__pieces") - 1, F.lit(0))))
