@@ -1,7 +1,8 @@
 """Words of many texts at once, as numpy arrays over one byte buffer.
 
 White space and the ASCII delimiters used here are single bytes in UTF-8, so words are cut on bytes and no text is
-decoded. A word's hash is a polynomial over its bytes, read off prefix sums, and mixed; equal words have equal hashes.
+decoded. Words are told apart by their bytes first; each different one of a slice is hashed once, by a hash that isn't
+linear in the bytes (XXH3 with a seed), so that equal words have equal hashes everywhere.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 #: [\x20\x09-\x0D]
 BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -22,8 +24,8 @@ LOWER[65:91] += 32
 
 #: bytes handled together
 CHUNK = 500_000
-
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so invertible modulo 2**64
+#: seeds of the hashes of words
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,26 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of a base and of its inverse modulo 2**64, as many as were needed so far."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, CHUNK)
-            steps = [np.full(size, b, np.uint64) for b in (self.base, self.inverse)]
-            for s in steps:
-                s[0] = 1
-            self.up, self.down = (np.cumprod(s, dtype=np.uint64) for s in steps)
-        return self.up, self.down
-
-
-_POWERS = [_Powers(b) for b in _BASES]
-
-
 class Texts:
     """Some texts in one buffer: `data`, `begin` and `end` of each text, and their words."""
 
@@ -74,7 +56,7 @@ class Texts:
         #: first word of each text, and one past its last
         self.first = np.searchsorted(self.start, begin)
         self.last = np.searchsorted(self.start, end)
-        self._sums: dict[int, np.ndarray] = {}
+        self._words: pa.DictionaryArray | None = None
 
     @property
     def n_words(self) -> np.ndarray:
@@ -84,18 +66,22 @@ class Texts:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.begin)), self.n_words)
 
-    def spans(self, start: np.ndarray, stop: np.ndarray, kind: int = 0) -> np.ndarray:
-        """Hashes of byte ranges; `kind` 1 is a second, independent hash."""
-        up, down = _POWERS[kind].get(len(self.data) + 1)
-        if kind not in self._sums:
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-            self._sums[kind] = sums
-        sums = self._sums[kind]
-        return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    def encoded(self, start: np.ndarray, stop: np.ndarray) -> pa.DictionaryArray:
+        """Byte ranges by number, equal ones alike."""
+        return binaries(self.data, start, stop - start).dictionary_encode()
+
+    def words(self) -> pa.DictionaryArray:
+        if self._words is None:
+            self._words = self.encoded(self.start, self.stop)
+        return self._words
+
+    def spans(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges."""
+        return hashed(self.encoded(start, stop), 0)
 
     def word_hashes(self, kind: int = 0) -> np.ndarray:
-        return self.spans(self.start, self.stop, kind)
+        """Hashes of the words; each `kind` is an independent one."""
+        return hashed(self.words(), kind)
 
     def shingles(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, hash) of every run of k words inside a text, in order."""
@@ -115,6 +101,12 @@ def runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(after[-1] if len(n) else 0) + np.repeat(first - (after - n), n)
 
 
+def hashed(encoded: pa.DictionaryArray, kind: int) -> np.ndarray:
+    values = encoded.dictionary.to_pylist()
+    hashes = np.fromiter((xxh3_64_intdigest(x, SEEDS[kind]) for x in values), np.uint64, len(values))
+    return hashes[encoded.indices.to_numpy()]
+
+
 def binaries(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.BinaryArray:
     """The byte ranges as one Arrow column."""
     offsets = np.zeros(len(start) + 1, np.int32)
