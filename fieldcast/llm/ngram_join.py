@@ -6,7 +6,9 @@ when 100 * |intersection| >= percent * |union|. All documents of one set are one
 1. Routing. Linked sets differ in so few elements that, cut by hash ranges into more parts than that, they agree on a
    whole part. Nodes that share a part (of the same cut) get an edge to the smallest of them; sets of neighbouring size
    bands use both bands' cuts. Parts that are empty route only sets with so many empty parts that no other part is sure
-   to agree. This loses no link, and a passage that many documents share fills no part of them.
+   to agree. A cut has more parts than the sure one, so linked sets agree on several, and each set leaves out as many of
+   its most frequent parts (prefix filtering in a common order). This loses no link, and lines or passages that many
+   documents share don't bring them together unless they fill more parts than that.
 2. The connected components of these edges are the shards: small ones are put together, large ones are cut into blocks.
 3. Search. A task indexes the sets of its block in inverted lists. For each set, the lists are divided: the short ones
    are merged with counts, the long ones are probed by binary search for the sets that the short lists left possible,
@@ -34,6 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fieldcast.llm.common import arrow_map, written
 from fieldcast.llm.components import components
@@ -47,6 +50,12 @@ LEADERS = 32
 SPARE = 3
 #: cells of a sketch, a power of two
 CELLS = 256
+#: part keys that are combined together before the shuffle
+KEYS = 250_000
+#: most frequent part keys that the sets know, at most (16 bytes each)
+FREQUENT = 100_000
+#: what a set weighs besides its shingles when sets are dealt to tasks: its sketch, in 8 bytes
+SKETCH = CELLS // 4
 #: rows up to which a table of shards is broadcast (32 bytes each)
 FEW = 500_000
 
@@ -91,8 +100,21 @@ def bands(percent: int, largest: int) -> np.ndarray:
     return np.array(first, np.int64)
 
 
-def part_keys(of: np.ndarray, element: np.ndarray, node: np.ndarray, size: np.ndarray, percent: int):
-    """(key, node) of the parts of every set, by the cuts of its band and of the band below."""
+def part_keys(
+    of: np.ndarray,
+    element: np.ndarray,
+    node: np.ndarray,
+    size: np.ndarray,
+    percent: int,
+    frequent: tuple[np.ndarray, np.ndarray] | None = None,
+):
+    """(key, node) of the parts of every set, by the cuts of its band and of the band below.
+
+    `frequent` (keys ascending, their counts) leads a common order of all keys, the most frequent first. Two linked sets
+    agree on as many parts as a cut has beyond the elements in which they may differ. So each set may leave out its
+    first ones in that order, one less than these (and less its empty parts, which have no key): the last key that two
+    linked sets share is never among them.
+    """
     keys, owners = [], []
     first = bands(percent, int(size.max(initial=1)))
     band = np.searchsorted(first, size, side="right") - 1
@@ -114,8 +136,10 @@ def part_keys(of: np.ndarray, element: np.ndarray, node: np.ndarray, size: np.nd
         filled = np.bincount(o, minlength=len(size))
         content = sums(mix(element[mine] ^ np.uint64(0x5851F42D4C957F2D)), begin)
         cut = mix(parts.astype(np.uint64))
-        keys.append(mix(content ^ mix(cut[o] + part)))
-        owners.append(node[o])
+        key = mix(content ^ mix(cut[o] + part))
+        stay = without_frequent(o, key, filled - differ - 1, frequent)
+        keys.append(key[stay])
+        owners.append(node[o[stay]])
         bare = np.flatnonzero(use & (parts - filled >= parts - differ))
         for i in bare:  # sets with so many empty parts that they may be all that agrees
             empty = np.setdiff1d(np.arange(parts[i], dtype=np.uint64), part[o == i])
@@ -126,6 +150,24 @@ def part_keys(of: np.ndarray, element: np.ndarray, node: np.ndarray, size: np.nd
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def without_frequent(
+    of: np.ndarray, key: np.ndarray, spare: np.ndarray, frequent: tuple[np.ndarray, np.ndarray] | None
+) -> np.ndarray:
+    """Places of the keys that stay when each set leaves out its `spare` most frequent ones, if it has that many."""
+    if frequent is None or not len(frequent[0]):
+        return np.arange(len(key))
+    known, count = frequent
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    hit = np.flatnonzero(known[at] == key)
+    order = hit[np.lexsort((key[hit], -count[at[hit]], of[hit]))]
+    begins = np.append(True, of[order][1:] != of[order][:-1])[: len(order)]
+    place = np.arange(len(order))
+    rank = place - np.maximum.accumulate(np.where(begins, place, 0))
+    stay = np.ones(len(key), bool)
+    stay[order[rank < spare[of[order]]]] = False
+    return np.flatnonzero(stay)
+
+
 def local_roots(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct nodes, and the smallest node of each one's component by shared keys; rows are in the order of the key."""
     names, position = np.unique(node, return_inverse=True)
@@ -273,20 +315,71 @@ def describe(rows: DataFrame, words: int) -> DataFrame:
     return written(arrow_map(rows, sizes, f"id {kind}, n_shingles long, node long"), "sets")
 
 
+def frequent_keys(rows: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent part keys (ascending) and their counts, FREQUENT at most.
+
+    Counts cover all texts, by keys that come up repeatedly in a slice. They only order the keys: any order is exact.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, held = [], 0
+            for a, b, of, element in sets_of(batch.column(0), words):
+                node, size = nodes_of(of, element, b - a)
+                new = np.append(True, node[1:] != node[:-1])  # neighbouring copies count once
+                key, owner = part_keys(of, element, node, np.where(new, size, 0), percent)
+                keys.append(key)
+                held += len(key)
+                if held >= 4 * KEYS:
+                    yield repeated(keys)
+                    keys, held = [], 0
+            if keys:
+                yield repeated(keys)
+
+    def repeated(keys: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        some = np.flatnonzero(n > 1)
+        some = some[np.argsort(-n[some], kind="stable")[: KEYS // 8]]
+        return pa.RecordBatch.from_arrays([signed(key[some]), pa.array(n[some].astype(np.int64))], names=["key", "n"])
+
+    counts = arrow_map(rows.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = written(counts, "key-counts")
+    step = F.floor(8 * F.log2("n"))
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("keys")).collect()  # a few hundred at most
+    least, held = 0, 0
+    for row in sorted(steps, reverse=True):
+        held += row["keys"]
+        if held > FREQUENT:
+            least = row.step + 1
+            break
+    found = counts.where(step >= least).collect()  # FREQUENT rows at most
+    key = np.array([r["key"] for r in found], np.int64).view(np.uint64)
+    n = np.array([r.n for r in found], np.int64)
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
 def shards_of(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, component) by the routing parts; nothing else of the routing outlives this call."""
+    frequent = rows.sparkSession.sparkContext.broadcast(frequent_keys(rows, words, percent))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, owners = [], []
             for a, b, of, element in sets_of(batch.column(0), words):
                 node, size = nodes_of(of, element, b - a)
-                key, owner = part_keys(of, element, node, size, percent)
+                key, owner = part_keys(of, element, node, size, percent, frequent.value)
                 keys.append(key)
                 owners.append(owner)
+                if sum(map(len, keys)) >= KEYS:
+                    yield met(keys, owners)
+                    keys, owners = [], []
             if keys:
-                key, node = combined(np.concatenate(keys), np.concatenate(owners))
-                yield pa.RecordBatch.from_arrays([signed(key), signed(node)], names=["key", "node"])
+                yield met(keys, owners)
+
+    def met(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+        key, node = combined(np.concatenate(keys), np.concatenate(owners))
+        return pa.RecordBatch.from_arrays([signed(key), signed(node)], names=["key", "node"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_node = None
@@ -348,7 +441,7 @@ def classes(documents: DataFrame, words: int, percent: int, id_column: str = "do
     one = described.where("node != 0").groupBy("node").agg(F.min("id").alias("one"), F.max("n_shingles").alias("n"))
     shard = shard_of.join(one, "node").select("node", "one", "n", F.col("component").alias("shard"))
     shard = written(shard, "shards")
-    per_shard = shard.groupBy("shard").agg(F.sum("n").alias("weight"))
+    per_shard = shard.groupBy("shard").agg(F.sum(F.col("n") + SKETCH).alias("weight"))
     all_weight = per_shard.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     tasks = max(1, -(-int(all_weight) // TASK_SHINGLES))
     blocks = F.ceil(F.col("weight") / TASK_SHINGLES)
@@ -371,18 +464,18 @@ def classes(documents: DataFrame, words: int, percent: int, id_column: str = "do
     so_far = components(found.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
     state = large.join(so_far, "node", "left").withColumn("known", F.coalesce("component", "node"))
     state = written(state.drop("component"), "shard-state")
-    near = components(sketched(rows, *outside_and_hosts(state, "shard", "task", to_block), words, percent))
+    near = components(sketched(rows, *outside_and_hosts(state, to_block, F.lit(SKETCH)), words, percent))
     state = written(state.drop("shard", "task", "block").join(near, "node").withColumnRenamed("component", "shard"), "near")
 
     # what is left are smaller shards, dealt and searched like the first ones; each outsider meets all blocks of its own
-    per_near = state.groupBy("shard").agg(F.sum("n").alias("weight"))
+    per_near = state.groupBy("shard").agg(F.sum(F.col("n") + SKETCH).alias("weight"))
     tasks = max(1, -(-int(per_near.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]) // TASK_SHINGLES))
     block = F.when(blocks > 1, F.pmod(F.xxhash64("node"), blocks)).otherwise(F.lit(-1))
     state = state.join(per_near, "shard").withColumn("block", block).withColumn("task", near_task(tasks))
     state = written(state.drop("weight"), "near-dealt")
     split = state.where("block >= 0")
     to_near = split.select("shard", "task").distinct()
-    visiting, hosts = outside_and_hosts(split, "shard", "task", to_near)
+    visiting, hosts = outside_and_hosts(split, to_near, F.col("n"))
     again = wanted(state.where("block < 0"), True, "known").unionByName(wanted(visiting, True, "known"))
     again = again.unionByName(wanted(hosts, False, "known"))
     return described, components(found.unionByName(searched(rows, again, words, percent)))
@@ -393,16 +486,23 @@ def near_task(tasks: int) -> Column:
     return F.when(F.col("block") >= 0, F.xxhash64("shard", "block")).otherwise(whole)
 
 
-def outside_and_hosts(state: DataFrame, shard: str, task: str, to_task: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets outside their shard's largest known component, once for each task of the shard; and its sets, where they are.
+def outside_and_hosts(state: DataFrame, to_task: DataFrame, weight: Column) -> tuple[DataFrame, DataFrame]:
+    """Sets outside their shard's largest known component, for each task of the shard; and its sets, where they are.
 
-    Every pair of sets that isn't connected yet has one of the first.
+    Every pair of sets that isn't connected yet has one of the first. Where these are many, each task of the shard is
+    split into parts by the sum of their `weight`: a set outside visits one part of every task, and a set at home is in all parts of its own. So a
+    task holds a block of visitors and a block of hosts, of bounded size both.
     """
-    count = state.groupBy(shard, "known").agg(F.count("*").alias("n"))
-    main = count.groupBy(shard).agg(F.max(F.struct("n", "known")).alias("m"))
-    outside = state.join(main, shard).where("known != m.known").drop("m")
-    hosts = state.join(outside.select(shard).distinct(), shard, "left_semi")
-    return outside.drop(task).join(to_task, shard), hosts
+    count = state.groupBy("shard", "known").agg(F.count("*").alias("n"))
+    main = count.groupBy("shard").agg(F.max(F.struct("n", "known")).alias("m"))
+    outside = state.join(main, "shard").where("known != m.known").drop("m")
+    parts = F.ceil(F.sum(weight) / TASK_SHINGLES).cast("int").alias("parts")
+    per_shard = outside.groupBy("shard").agg(parts)
+    one = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
+    visiting = outside.drop("task").join(per_shard, "shard").withColumn("part", one).join(to_task, "shard")
+    hosts = state.join(per_shard, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    task = F.when(F.col("parts") > 1, F.xxhash64("task", "part")).otherwise(F.col("task"))
+    return tuple(x.withColumn("task", task).drop("parts", "part") for x in (visiting, hosts))
 
 
 def sketched(rows: DataFrame, visiting: DataFrame, hosts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -476,14 +576,37 @@ def ngram_join(documents: DataFrame, *, words: int = 3, percent: int = 90, id_co
     )
 
 
+def tagged(documents: DataFrame, words: int) -> DataFrame:
+    """(row, id, node): whole rows with the node of their text."""
+    rows = documents.select(F.struct(*documents.columns).alias("row"), "text")
+    schema = StructType([rows.schema["row"], StructField("node", LongType())])
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, of, element in sets_of(batch.column(1), words):
+                node, _ = nodes_of(of, element, b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), signed(node)], names=["row", "node"])
+
+    return arrow_map(rows, tag, schema).select("row", F.col("row.doc_id").alias("id"), "node")
+
+
 def keep_one(documents: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """Documents without those that link, directly or not, with one of a smaller doc_id; all columns.
+    """One row of each component of linked documents, and all rows without a set; all columns.
 
-    Ids name documents: rows of one id and text count once. A row with a null id can't be named as another's copy: such
-    rows stay, equal texts among them once. Texts without a set stay.
+    The row with the smallest doc_id stays, null ids last, then the smallest set; rows with one doc_id and different
+    texts are judged by their own texts. Of rows that are equal in id and set the one with the smallest text stays.
     """
-    joined = written(ngram_join(documents, words=words, percent=percent), "joined")
-    gone = joined.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
-    kept = documents.join(small(gone), "doc_id", "left_anti").select(documents.columns)
-    repeated = joined.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    described, linked = classes(documents, words, percent)
+    named = described.where("node != 0").groupBy("id", "node").agg(F.count("*").alias("rows"))
+    named = named.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named, "named")
+    first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "node")
+    groups = named.groupBy("component").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = named.join(small(groups), "component").where("NOT (node = first.node AND id <=> first.id)")
+    gone = small(written(gone.select(F.col("id").alias("gone_id"), F.col("node").alias("gone_node")), "gone"))
+    rows = tagged(documents, words)
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("node") == F.col("gone_node")), "left_anti")
+    if not named.where("rows > 1").isEmpty():
+        one = rows.where("node != 0").groupBy("id", "node").agg(F.min_by("row", "row.text").alias("row"))
+        rows = rows.where("node = 0").select("row").unionByName(one.select("row"))
+    return rows.select([F.col("row")[c].alias(c) for c in documents.columns])

@@ -3,7 +3,7 @@
 import random
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ("score", "kept", "row", "group", "node", "id", "n_words", "label", "deal", "predicted")
+CLASH = ("present", "score", "kept", "row", "group", "node", "id", "n_words", "label", "deal", "predicted")
 
 
 def prose(seed: int, n: int) -> str:

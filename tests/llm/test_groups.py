@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldcast.llm import html_text, ngram_join, sharding, vantage
 from tests.llm import fixtures as X
@@ -79,6 +80,7 @@ def test_join_equals_brute_force(spark, monkeypatch, words, percent, task):
 def test_routing_loses_no_link():
     """Every linking pair shares a routing key, by any threshold; checked on random sets."""
     r = np.random.default_rng(3)
+    left_out = 0
     for percent in (50, 80, 90, 95):
         for _ in range(150):
             n = int(r.integers(2, 60))
@@ -89,8 +91,28 @@ def test_routing_loses_no_link():
                 continue
             of = np.repeat([0, 1], [len(a), len(b)])
             node, size = ngram_join.nodes_of(of, np.concatenate([a, b]), 2)
-            key, owner = ngram_join.part_keys(of, np.concatenate([a, b]), node, size, percent)
+            both = np.concatenate([a, b])
+            key, owner = ngram_join.part_keys(of, both, node, size, percent)
             assert set(key[owner == node[0]]) & set(key[owner == node[1]]), (percent, len(a), len(b))
+            # whatever keys are called frequent, and however frequent
+            some = np.unique(r.choice(key, r.integers(1, len(key) + 1)))
+            few, owner = ngram_join.part_keys(of, both, node, size, percent, (some, r.integers(1, 5, len(some))))
+            assert set(few[owner == node[0]]) & set(few[owner == node[1]]), (percent, len(a), len(b))
+            left_out += len(key) - len(few)
+    assert left_out > 1_000
+
+
+def test_a_frequent_line_brings_nothing_together(spark):
+    """Documents with a common passage are no shard; copies among them still link."""
+    passage = X.prose(5, 40)
+    texts = [f"{X.prose(100 + i, 220)} {passage} {X.prose(5_000 + i, 180)}" for i in range(300)] + [X.prose(1, 400)]
+    texts += [texts[7].replace(".", ",", 2), texts[8] + " more"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    assert len(ngram_join.frequent_keys(rows, 5, 80)[0])
+    shards = ngram_join.shards_of(rows, 5, 80).groupBy("component").count()
+    assert max(r["count"] for r in shards.collect()) < 10  # all 300 but for a few, if no part is left out
+    got = {r.id: r.component_id for r in ngram_join.ngram_join(rows, words=5, percent=80, id_column="id").collect()}
+    assert {i: c for i, c in got.items() if i != c} == {301: 7, 302: 8}
 
 
 def test_join_of_nothing(spark):
@@ -104,11 +126,56 @@ def test_keep_one(spark):
     kept = ngram_join.keep_one(df)
     assert kept.columns == df.columns
     ids = Counter(r.doc_id for r in kept.collect())
-    # 5, 6 and 7 are copies and near copies; the repeated last row counts once; rows without ids stay
-    assert ids[5] == 1 and not ids[6] and not ids[7] and ids[12] == 1 and ids[None] == 2
+    # 5, 6 and 7 are copies and near copies; the repeated last row counts once, and its copy without an id goes
+    assert ids[5] == 1 and not ids[6] and not ids[7] and ids[12] == 1 and ids[None] == 1
     assert all(ids[i] == 1 for i in (0, 1, 2, 3, 4, 8, 9, 10, 11))
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    a, b, c = X.prose(1, 80), X.prose(2, 80), X.prose(3, 80)
+    texts = [(1, a), (2, a), (2, b), (None, c), (None, c + " more"), (7, ""), (7, ""), (8, a.replace("e", "E")), (1, a.replace("e", "E"))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], X.DOCS)
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect())
+    # the copy of id 2 goes, its other text stays; of near copies without an id one stays
+    few = {(1, min(a, a.replace("e", "E"))): 1, (2, b): 1, (7, ""): 2}
+    assert {k: n for k, n in kept.items() if k[0] is not None} == few
+    assert sum(n for k, n in kept.items() if k[0] is None) == 1
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two strings that any polynomial hash modulo 2**64 takes for one another."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    x, y = thue_morse(n)
+    df = X.documents(spark, [x, y, f"{x} {y} {x}", f"{y} {x} {y}"])
+    rows = {r.doc_id: r for r in ngram_join.ngram_join(df, words=3, percent=90).collect() if r.doc_id is not None}
+    assert all(rows[i].component_id == i for i in range(4))
+    assert ngram_join.keep_one(df).where("doc_id IS NOT NULL").count() == 4
+
+
+def test_many_visitors_are_dealt_in_blocks(spark):
+    """Sets that share a part but don't link: every task holds a bounded block of visitors and of hosts."""
+    schema = "shard long, node long, one long, n long, known long, block long, task long"
+    state = spark.createDataFrame([(1, i, i, 1_000, max(i, 100), i % 3, i % 3) for i in range(9_000)], schema)
+    visiting, hosts = ngram_join.outside_and_hosts(state, state.select("shard", "task").distinct(), F.col("n"))
+    v, h = ({(r.task, r.node) for r in x.collect()} for x in (visiting, hosts))
+    assert max(Counter(t for t, _ in v).values()) < 2_000 and max(Counter(t for t, _ in h).values()) <= 3_000
+    tasks_of = defaultdict(set)
+    for t, node in h:
+        tasks_of[node].add(t)
+    seen = defaultdict(set)
+    for t, node in v:
+        seen[node].add(t)
+    hot = {i for i in range(101)}  # one component: not outside
+    assert set(seen) == set(range(9_000)) - hot
+    r = random.Random(1)
+    assert all(seen[a] & tasks_of[b] for a, b in zip(r.choices(sorted(seen), k=3_000), r.choices(range(9_000), k=3_000)))
+
+
 def test_shards(spark, monkeypatch):
     monkeypatch.setattr(sharding, "CHUNK", 20)
     texts = X.edge_texts() + ["hot"] * 90 + [f"t{i // 3}" for i in range(60)] + [f"u{i}" for i in range(50)]
@@ -191,6 +258,16 @@ def test_nearest(spark):
     assert vantage.nearest(vectors(spark, rows[:1])).count() == 0
 
 
+def test_lengths_are_tables_of_their_own(spark):
+    r = np.random.default_rng(2)
+    four = [(i, [float(x) for x in r.standard_normal(4)], "own", 1) for i in range(60)]
+    five = [(1000 + i, [float(i), 1.0, 0.0, 0.0, 0.0], "own", 1) for i in (0, 1, 3)]
+    alone = vantage.nearest(vectors(spark, four), factor=1.0).collect()
+    both = vantage.nearest(vectors(spark, four + five + [(40_000, [2.0], "own", 1)]), factor=1.0).collect()
+    assert len(alone) == 60 and {tuple(x) for x in alone} == {tuple(x) for x in both if x.query_id < 1000}
+    assert [tuple(x) for x in both if x.query_id >= 1000] == [(1000, 1, 1001, 1.0), (1000, 2, 1003, 1.0)]
+
+
 def test_recall_of_the_production_factor(spark, sf):
     rows = spark.read.parquet(f"{sf}/../sf0.1/embeddings.parquet").collect()
     ids = np.array([r.vec_id for r in rows])
@@ -204,6 +281,30 @@ def test_recall_of_the_production_factor(spark, sf):
     assert np.mean([len({*a} & {*b}) / 20 for a, b in zip(found.tolist(), truth.tolist())]) >= 0.95
 
 
+def test_deep_and_unclosed_pages_stay_cheap():
+    import time
+    import tracemalloc
+
+    text = "<p>" + X.prose(3, 60) + "</p>"
+    pages = ["<div>" * 50_000 + text, "<b>" * 20_000 + "</i>" * 20_000 + text, "<b><div>" * 15_000 + text]
+    pages += [f'<div class="{"x" * 100_000}">{text}</div>', "<p><b>" * 15_000 + text]
+    tracemalloc.start()
+    for page in pages:
+        begin = time.time()
+        paths = html_text.votes(page)
+        assert time.time() - begin < 10 and all(len(p) <= html_text.LONGEST for p in paths)
+        assert html_text.extract(page, next(iter(paths), None)) == " ".join(X.prose(3, 60).split())
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def test_urls_with_white_space_have_one_host(spark):
+    rows = [(i, f"{lead}https://Host.example/{i}", PAGE) for i, lead in enumerate(("", " ", "\t", "\n \r"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {html_text.host_of(u) for _, u, _ in rows} == {"host.example"}
+    assert len({r.path for r in html_text.main_text(df).collect()} - {None}) == 1
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="p-7"><header>Site</header>'
     '<nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="cookie-notice">We use</div>'
