@@ -18,9 +18,10 @@ ids or urls are pages like others; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import hashlib
 import html as character_references
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,9 +66,11 @@ WRAPPING = frozenset("wrap wrapper layout container box inner outer area block s
 MOST = 2
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
-HOST = re.compile(r"^[a-z][-a-z0-9+.]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", re.IGNORECASE)
-#: hosts up to which the winners are broadcast; a path has some tens of characters
+HOST = re.compile(r"^[\x09-\x0D ]*[a-z][-a-z0-9+.]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", re.IGNORECASE)
+#: hosts up to which the winners are broadcast, each with a path of LONGEST characters at most
 FEW_HOSTS = 50_000
+#: a longer path goes on from its digest, so that deep or wide pages cost no more than others
+LONGEST = 300
 #: copies of a winner in the shuffled join
 SALT = 16
 #: share of the page's best score that the containers on the winning path must reach
@@ -77,16 +80,19 @@ ENOUGH = 0.5
 class Element:
     """An open or closed element: where it begins in the list of text parts, and where it ends."""
 
-    __slots__ = ("tag", "path", "dropped", "link", "begin", "end", "depth", "doubt")
+    __slots__ = ("tag", "path", "dropped", "link", "begin", "end", "depth", "doubt", "inside")
 
-    def __init__(self, tag: str, path: str, dropped: bool, link: bool, begin: int, depth: int, doubt: str = ""):
+    def __init__(
+        self, tag: str, path: str, dropped: bool, link: bool, begin: int, depth: int, doubt: str = "", inside: bool = False
+    ):
         self.doubt = doubt
+        self.inside = inside  # it or an element around it is an article or main
         self.tag, self.path, self.dropped, self.link, self.begin, self.depth = tag, path, dropped, link, begin, depth
         self.end = -1
 
 
 def host_of(url: str | None) -> str:
-    found = HOST.match((url or "").strip())
+    found = HOST.match(url or "")
     return found[1].lower() if found else ""
 
 
@@ -108,6 +114,11 @@ def marks(rest: str) -> tuple[list[str], list[list[str]], dict[str, str]]:
     return [DIGITS.sub("", c) for c in classes], [[p.lower() for p in PARTS.findall(n)] for n in named], attributes
 
 
+def longer(path: str, step: str) -> str:
+    path = f"{path}/{step}"
+    return path if len(path) <= LONGEST else "#" + hashlib.blake2b(path.encode(), digest_size=16).hexdigest()
+
+
 class Page:
     """Text parts of a page with their state, and its containers.
 
@@ -120,6 +131,8 @@ class Page:
         self.doubtful: list[Element] = []
         root = Element("", "", False, False, 0, 0)
         self.stack = [root]
+        self.open: Counter[str] = Counter()  # open elements of each tag
+        self.blocks: list[int] = []  # places of open blocks in the stack
         at = 0
         while at < len(source):
             found = TOKEN.search(source, at)
@@ -199,6 +212,9 @@ class Page:
     def _close(self) -> None:
         element = self.stack.pop()
         element.end = len(self.parts)
+        self.open[element.tag] -= 1
+        if self.blocks and self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
         if element.tag in BLOCK:
             self.parts.append(None)
         if element.tag in CONTAINER or not element.tag:
@@ -206,7 +222,7 @@ class Page:
 
     def _tag(self, source: str, at: int, tag: str, end: bool, rest: str) -> int:
         if end:
-            if any(e.tag == tag for e in self.stack[1:]):
+            if self.open[tag] > 0:
                 while self.stack[-1].tag != tag:
                     self._close()
                 self._close()
@@ -215,13 +231,10 @@ class Page:
             self.parts.append((" ", self.stack[-1].dropped, self.stack[-1].link))
         if tag in BLOCK:
             # a block ends an open paragraph and what stands open in it
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag == "p":
-                    while len(self.stack) > i:
-                        self._close()
-                    break
-                if self.stack[i].tag in BLOCK:
-                    break
+            if self.blocks and self.stack[self.blocks[-1]].tag == "p":
+                paragraph = self.blocks[-1]
+                while len(self.stack) > paragraph:
+                    self._close()
             if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
                 same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
                 while self.stack[-1].tag in same:
@@ -231,8 +244,8 @@ class Page:
             return at
         above = self.stack[-1]
         classes, named, attributes = marks(rest) if rest.strip() else ([], [], {})
-        path = f"{above.path}/{'.'.join([tag, *sorted(classes)])}" if tag in CONTAINER else above.path
-        inside = above.tag in ("article", "main") or any(e.tag in ("article", "main") for e in self.stack)
+        path = longer(above.path, ".".join([tag, *sorted(classes)])) if tag in CONTAINER else above.path
+        inside = above.inside
         dropped = (
             above.dropped
             or tag in DROPPED
@@ -245,6 +258,10 @@ class Page:
         if tag == "form" and not dropped:
             doubt = doubt or "mixed"
         element = Element(tag, path, dropped, above.link or tag == "a", len(self.parts), above.depth + 1, doubt)
+        element.inside = inside or tag in ("article", "main")
+        self.open[tag] += 1
+        if tag == "p" or tag in BLOCK:
+            self.blocks.append(len(self.stack))
         self.stack.append(element)
         if doubt:
             self.doubtful.append(element)
@@ -343,7 +360,7 @@ def main_text(pages: DataFrame, *, id_column: str = "page_id") -> DataFrame:
     winners = written(winners, "winning-paths")
     few = winners.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS
 
-    host = F.lower(F.regexp_extract(F.trim(F.coalesce("url", F.lit(""))), "(?i)" + HOST.pattern, 1))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "(?i)" + HOST.pattern, 1))
     known = rows.withColumn("host", host)
     if few:
         known = known.join(F.broadcast(winners), "host", "left")
