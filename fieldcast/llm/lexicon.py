@@ -27,13 +27,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcast.llm.common import arrow_map, slices
+from fieldcast.llm.common import arrow_map, slices, written
 from fieldcast.llm.pretokens import Memo, Vocabulary
 
 #: frequent words in the lexicon
 WORDS = 32_768
 #: counters of a task's summary
 COUNTERS = 100_000
+#: classes of counts to a doubling, when the least count of the lexicon is looked for
+STEPS = 16
 #: characters encoded together
 CHUNK = 1_000_000
 
@@ -165,7 +167,16 @@ def frequent_words(documents: DataFrame, tokenizer: str, words: int = WORDS) ->
         )
 
     counts = arrow_map(documents, summary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+    counts = written(counts, "word-counts")
+    # the least count first, so that little more than `words` rows come to the driver
+    step = F.floor(STEPS * F.log2("n"))
+    least, held = 0, 0
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n_words")).collect(), reverse=True):
+        least, held = row.step, held + row.n_words
+        if held >= words:
+            break
+    found = counts.where(step >= least).collect()
+    return [r.word for r in sorted(found, key=lambda r: (-r.n, r.word))[:words]]
 
 
 def encode_decode(
