@@ -38,7 +38,7 @@ CHUNK = 2_000_000
 #: bits of one row of a bitmap, as Spark's bitmap functions have it
 PAGE = 32_768
 #: rows of one block of terms, and cells of a matrix in it
-BLOCK = 500_000
+BLOCK = 100_000
 CELLS = 2_000_000
 #: sources of one block
 SOURCES = 64
