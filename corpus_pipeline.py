@@ -24,7 +24,8 @@ from fieldcast.llm.toxicity import toxicity
 def kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], condition: str) -> DataFrame:
     """Rows of docs that meet the condition on the columns that `judge` adds; other columns may have the same names."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    narrow = docs.select("doc_id", "text", F.struct(F.lit(True).alias("present"), *others).alias("others"))
+    extra = "present" + "_" * max(map(len, docs.columns))  # longer than any column's name; the struct is never empty
+    narrow = docs.select("doc_id", "text", F.struct(F.lit(True).alias(extra), *others).alias("others"))
     chosen = judge(narrow).where(condition)
     return chosen.select([F.col("others")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
 
