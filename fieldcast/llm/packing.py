@@ -16,8 +16,10 @@ any length are cut, never dropped. An empty table gives an empty result. Other c
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from fieldcast.llm.common import arrow_map, written
 from fieldcast.llm.pretokens import UNUSUAL, Memo, Vocabulary
+from fieldcast.llm.words import Texts, runs, texts_of
 
 #: pieces that one task packs together
 GROUP = 16_384
@@ -34,35 +37,114 @@ GROUP = 16_384
 WEIGHTS = (1.0, 1e-3, 1e-3)
 
 
+#: closing marks that are cut off a word: they are pre-tokens of their own, and none begins an ending such as 's
+CLOSING = np.isin(np.arange(256), list(b".,;:!?)]}"))
+#: bytes that a cut-off word may end with
+BODY = np.isin(np.arange(256), [*range(48, 58), *range(97, 123)])
+#: pre-tokens that a worker remembers
+REMEMBERED = 600_000
+
+
+class Encoder:
+    """Ids of words, remembered by the worker from task to task."""
+
+    def __init__(self, tokenizer: str):
+        self.vocabulary = Vocabulary(tokenizer)
+        self.by_piece = Memo({}, self.packed, limit=50_000)
+        self.by_word = Memo({}, self.of_word, limit=REMEMBERED)
+
+    def packed(self, piece: str) -> bytes:
+        ids = self.vocabulary.merge(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def of_word(self, word: bytes) -> bytes | None:
+        """Ids of a run without white space; none if the library has to cut the whole text."""
+        text = word.decode()
+        if word.isalpha():  # letters of ASCII only: one pre-token, lower-cased already, its own form in the vocabulary
+            ids = [t.id for t in self.vocabulary.model.tokenize(text)]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        special = self.vocabulary.special
+        if UNUSUAL.search(text) or special is not None and special.search(text):
+            return None
+        return b"".join(map(self.packed, self.vocabulary.find(text.lower())))
+
+    def of_text(self, text: str) -> np.ndarray:
+        """Ids of a whole text, cut by the library where it holds an unusual character."""
+        ids = np.frombuffer(b"".join(map(self.by_piece.__getitem__, self.vocabulary.pieces(text))), "<u4")
+        self.by_piece.trim()
+        return ids
+
+    def encoded(self, texts: Texts, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, an end id after each; where each text's begin and end; which texts hold a word without ids.
+
+        No pre-token of this vocabulary crosses white space, so each different run is encoded once; closing marks are
+        runs of their own, so that a word is the same with and without them.
+        """
+        start, stop, of = parted(texts)
+        words = texts.encoded(start, stop)
+        known = [self.by_word[x] for x in words.dictionary.to_pylist()]
+        self.by_word.trim()
+        pool = np.frombuffer(b"".join(x or b"" for x in known), "<u4")
+        sizes = np.fromiter((len(x or b"") // 4 for x in known), np.int64, len(known))
+        unknown = np.fromiter((x is None for x in known), bool, len(known))
+        word = words.indices.to_numpy()
+        size = sizes[word]
+        ends = np.cumsum(size)
+        ids = np.full((int(ends[-1]) if len(ends) else 0) + len(texts.begin), end_id, "<u4")
+        ids[runs(ends - size + of, size)] = pool[runs((np.cumsum(sizes) - sizes)[word], size)]
+        place = np.arange(len(texts.begin))
+        count = np.bincount(of, minlength=len(place))
+        last = np.concatenate([[0], ends])[np.cumsum(count)]
+        first = np.concatenate([[0], last[:-1]])
+        odd = np.bincount(of[unknown[word]], minlength=len(place)) > 0
+        return ids, first + place, last + place + 1, odd
+
+
+def parted(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop and text of all words, closing marks cut off where a letter or digit is before them."""
+    body = texts.stop.copy()
+    open_ = np.arange(len(body))
+    while len(open_):
+        open_ = open_[(body[open_] > texts.start[open_]) & CLOSING[texts.data[body[open_] - 1]]]
+        body[open_] -= 1
+    cut = (body > texts.start) & (body < texts.stop)
+    cut[cut] = BODY[texts.data[body[cut] - 1]]
+    place = np.cumsum(1 + cut) - 1  # of a word's last part
+    start, stop = np.empty(len(body) + cut.sum(), np.int64), np.empty(len(body) + cut.sum(), np.int64)
+    start[place - cut], stop[place] = texts.start, texts.stop
+    start[place[cut]] = stop[place[cut] - 1] = body[cut]
+    return start, stop, np.repeat(texts.text_of_word, 1 + cut)
+
+
+@lru_cache(maxsize=1)
+def encoder(tokenizer: str) -> Encoder:
+    """The worker's encoder; tasks that follow in it find the words of those before."""
+    return Encoder(tokenizer)
+
+
 def token_pieces(
     documents: DataFrame, tokenizer: str, size: int, *, end_id: int = 0, id_column: str = "doc_id"
 ) -> DataFrame:
     """Pieces of every row: id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(tokenizer)
-        packed = lambda piece: np.array(vocabulary.merge(piece), "<u4").tobytes()
-        by_piece = Memo({}, packed, limit=50_000)
-        # no pre-token of this vocabulary crosses white space, so a run without any is encoded and remembered whole
-        by_run = Memo({}, lambda run: b"".join(map(packed, vocabulary.find(run))))
-        end = np.array([end_id], "<u4").tobytes()
+        coder = encoder(tokenizer)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if UNUSUAL.search(text) is None and vocabulary.special.search(text) is None:
-                    ids = b"".join(map(by_run.__getitem__, text.lower().split()))
-                else:
-                    ids = b"".join(map(by_piece.__getitem__, vocabulary.pieces(text)))
-                by_run.trim()
-                by_piece.trim()
-                ids += end
-                for k, a in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[a : a + 4 * size]
-                    row.append(i)
-                    piece.append(k)
-                    start.append(a // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+            for first, last, texts in texts_of(batch.column(1), lower=True):
+                ids, begin, end, odd = coder.encoded(texts, end_id)
+                for k in range(last - first):
+                    mine = ids[begin[k] : end[k]]
+                    if odd[k]:
+                        text = batch.column(1)[first + k].as_py()
+                        mine = np.append(coder.of_text(text), np.array(end_id, "<u4"))
+                    for n, a in enumerate(range(0, len(mine), size)):
+                        part = mine[a : a + size]
+                        row.append(first + k)
+                        piece.append(n)
+                        start.append(a)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(row, pa.int64())),
