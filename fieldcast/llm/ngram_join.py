@@ -54,6 +54,8 @@ CELLS = 256
 KEYS = 250_000
 #: most frequent part keys that the sets know, at most (16 bytes each)
 FREQUENT = 100_000
+#: thresholds from which on parts hold so many shingles (eight or so) that common lines fill none: nothing is left out
+FULL_PARTS = 90
 #: what a set weighs besides its shingles when sets are dealt to tasks: its sketch, in 8 bytes
 SKETCH = CELLS // 4
 #: rows up to which a table of shards is broadcast (32 bytes each)
@@ -361,7 +363,8 @@ def frequent_keys(rows: DataFrame, words: int, percent: int) -> tuple[np.ndarray
 
 def shards_of(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, component) by the routing parts; nothing else of the routing outlives this call."""
-    frequent = rows.sparkSession.sparkContext.broadcast(frequent_keys(rows, words, percent))
+    leave_out = frequent_keys(rows, words, percent) if percent < FULL_PARTS else None
+    frequent = rows.sparkSession.sparkContext.broadcast(leave_out)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
