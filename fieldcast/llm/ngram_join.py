@@ -7,8 +7,9 @@ when 100 * |intersection| >= percent * |union|. All documents of one set are one
    whole part. Nodes that share a part (of the same cut) get an edge to the smallest of them; sets of neighbouring size
    bands use both bands' cuts. Parts that are empty route only sets with so many empty parts that no other part is sure
    to agree. A cut has more parts than the sure one, so linked sets agree on several, and each set leaves out as many of
-   its most frequent parts (prefix filtering in a common order). This loses no link, and lines or passages that many
-   documents share don't bring them together unless they fill more parts than that.
+   its most frequent parts (prefix filtering in a common order: those known to be frequent, then by exact counts over
+   all texts). This loses no link, and lines or passages that documents share don't bring them together, however few
+   documents these are, unless they fill more parts than that.
 2. The connected components of these edges are the shards: small ones are put together, large ones are cut into blocks.
 3. Search. A task indexes the sets of its block in inverted lists. For each set, the lists are divided: the short ones
    are merged with counts, the long ones are probed by binary search for the sets that the short lists left possible,
@@ -30,11 +31,12 @@ table gives an empty result; other columns stay out of it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -52,6 +54,8 @@ SPARE = 3
 CELLS = 256
 #: part keys that are combined together before the shuffle
 KEYS = 250_000
+#: rows of a key that are counted; the counts only order the keys
+COUNTED = 50_000
 #: most frequent part keys that the sets know, at most (16 bytes each)
 FREQUENT = 100_000
 #: thresholds from which on parts hold so many shingles (eight or so) that common lines fill none: nothing is left out
@@ -110,14 +114,27 @@ def part_keys(
     percent: int,
     frequent: tuple[np.ndarray, np.ndarray] | None = None,
 ):
-    """(key, node) of the parts of every set, by the cuts of its band and of the band below.
+    """(key, node) of the parts of every set, by the cuts of its band and of the band below; see `marked_keys`."""
+    return marked_keys(of, element, node, size, percent, frequent)[:2]
+
+
+def marked_keys(
+    of: np.ndarray,
+    element: np.ndarray,
+    node: np.ndarray,
+    size: np.ndarray,
+    percent: int,
+    frequent: tuple[np.ndarray, np.ndarray] | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, node, mark) of the parts of every set, by the cuts of its band and of the band below.
 
     `frequent` (keys ascending, their counts) leads a common order of all keys, the most frequent first. Two linked sets
     agree on as many parts as a cut has beyond the elements in which they may differ. So each set may leave out its
     first ones in that order, one less than these (and less its empty parts, which have no key): the last key that two
-    linked sets share is never among them.
+    linked sets share is never among them. A mark is the cut (upper half) and how many more of its keys in that cut the
+    set may leave out, which has none left in `frequent` then; 0 for keys that must stay.
     """
-    keys, owners = [], []
+    keys, owners, marks = [], [], []
     first = bands(percent, int(size.max(initial=1)))
     band = np.searchsorted(first, size, side="right") - 1
     for below in (0, 1):
@@ -139,17 +156,21 @@ def part_keys(
         content = sums(mix(element[mine] ^ np.uint64(0x5851F42D4C957F2D)), begin)
         cut = mix(parts.astype(np.uint64))
         key = mix(content ^ mix(cut[o] + part))
-        stay = without_frequent(o, key, filled - differ - 1, frequent)
+        spare = np.maximum(filled - differ - 1, 0)
+        stay = without_frequent(o, key, spare, frequent)
+        left = spare - filled + np.bincount(o[stay], minlength=len(size))
         keys.append(key[stay])
         owners.append(node[o[stay]])
+        marks.append(((parts << 32) + left)[o[stay]])
         bare = np.flatnonzero(use & (parts - filled >= parts - differ))
         for i in bare:  # sets with so many empty parts that they may be all that agrees
             empty = np.setdiff1d(np.arange(parts[i], dtype=np.uint64), part[o == i])
             keys.append(mix(mix(cut[i] + empty) + np.uint64(1)))
             owners.append(np.full(len(empty), node[i]))
+            marks.append(np.zeros(len(empty), np.int64))
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate(keys), np.concatenate(owners)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(marks)
 
 
 def without_frequent(
@@ -207,6 +228,80 @@ def combined(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([key[new], own, own]), np.concatenate([node[new], root[star], names[star]])
 
 
+def combined_marked(key: np.ndarray, node: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for marked keys. Only nodes that share more keys than they may leave out are taken for one family.
+
+    A family's keys are one list. It may leave out as many as its member that may leave out the fewest: what two linked
+    sets share is lost from its begin in the common order only, and never more than each of the two may lose.
+    """
+    key, node, mark = distinct(key, node, mark)
+    same = key[1:] == key[:-1]
+    first = np.append(True, ~same)[: len(key)]
+    n = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1]
+    some = np.flatnonzero(n > 1)
+    order = some[np.lexsort((key[some], -n[some], mark[some] >> 32, node[some]))]
+    by, cut = node[order], mark[order] >> 32
+    begins = np.append(True, (by[1:] != by[:-1]) | (cut[1:] != cut[:-1]))[: len(order)]
+    place = np.arange(len(order))
+    rank = place - np.maximum.accumulate(np.where(begins, place, 0))
+    use = np.sort(order[rank >= mark[order] & 0xFFFFFFFF])
+    names, root = local_roots(key[use], node[use])
+    star = names != root
+    own = mix(mix(root[star]) + names[star])
+    if len(names):
+        at = np.minimum(np.searchsorted(names, node), len(names) - 1)
+        node = np.where(names[at] == node, root[at], node)
+    key, node, mark = distinct(key, node, mark)
+    stays = np.zeros(2 * len(own), np.int64)
+    return np.concatenate([key, own, own]), np.concatenate([node, root[star], names[star]]), np.concatenate([mark, stays])
+
+
+def distinct(key: np.ndarray, node: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In the order of key and node, the smallest mark of each."""
+    order = np.lexsort((mark, node, key))
+    key, node, mark = key[order], node[order], mark[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
+    return key[new], node[new], mark[new]
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, mark, n) of the keys of several nodes, from rows in the order of all three columns.
+
+    `n` counts the nodes of a key up to COUNTED, and no more rows of a key are held.
+    """
+    held = [np.zeros(0, np.int64)] * 3
+    over = None  # a key of COUNTED rows or more, some of which are gone already
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
+        key, node, mark = held
+        if not len(key):
+            continue
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        key, node, mark = key[new], node[new], mark[new]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.minimum(np.diff(np.append(first, len(key))), COUNTED)
+        if over is not None and key[0] == over:
+            n[0] = COUNTED
+        whole = len(key) if batch is None or n[-1] == COUNTED else int(first[-1])
+        over = key[-1] if n[-1] == COUNTED else None
+        n = np.repeat(n, np.diff(np.append(first, len(key))))
+        some = np.flatnonzero(n[:whole] > 1)
+        held = [key[whole:], node[whole:], mark[whole:]]
+        if len(some):
+            columns = [pa.array(x[some]) for x in (key, node, mark, n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "mark", "n"])
+
+
+def without_most_frequent(shared: DataFrame) -> DataFrame:
+    """(key, node) without the keys that the nodes leave out: their most frequent ones, as many as the marks allow."""
+    cut, left = F.shiftright("mark", 32).alias("cut"), F.col("mark").bitwiseAND(F.lit(0xFFFFFFFF)).alias("left")
+    whole = Window.partitionBy("node", "cut")
+    place = F.row_number().over(whole.orderBy(F.desc("n"), "key"))
+    ranked = shared.select("key", "node", "n", cut, left).withColumn("place", place)
+    return ranked.withColumn("left", F.min("left").over(whole)).where("place > left").select("key", "node")
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -368,21 +463,21 @@ def shards_of(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owners = [], []
+            held, n = [], 0
             for a, b, of, element in sets_of(batch.column(0), words):
                 node, size = nodes_of(of, element, b - a)
-                key, owner = part_keys(of, element, node, size, percent, frequent.value)
-                keys.append(key)
-                owners.append(owner)
-                if sum(map(len, keys)) >= KEYS:
-                    yield met(keys, owners)
-                    keys, owners = [], []
-            if keys:
-                yield met(keys, owners)
-
-    def met(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-        key, node = combined(np.concatenate(keys), np.concatenate(owners))
-        return pa.RecordBatch.from_arrays([signed(key), signed(node)], names=["key", "node"])
+                held.append(marked_keys(of, element, node, size, percent, frequent.value))
+                n += len(held[-1][0])
+                if n >= KEYS:
+                    yield met(held)
+                    held, n = [], 0
+            if held:
+                yield met(held)
+
+    def met(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, node, mark = (np.concatenate(x) for x in zip(*held))
+        rows = combined(key, node) if frequent.value is None else combined_marked(key, node, mark)
+        return pa.RecordBatch.from_arrays([signed(x) for x in rows], names=["key", "node", "mark"][: len(rows)])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_node = None
@@ -400,7 +495,12 @@ def shards_of(rows: DataFrame, words: int, percent: int) -> DataFrame:
             pairs = np.unique(np.column_stack([least[other], node[other]]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    parts = arrow_map(rows.select("text"), route, "key long, node long")
+    if leave_out is None:
+        parts = arrow_map(rows.select("text"), route, "key long, node long")
+    else:
+        parts = arrow_map(rows.select("text"), route, "key long, node long, mark long")
+        parts = parts.repartition("key").sortWithinPartitions("key", "node", "mark")
+        parts = without_most_frequent(arrow_map(parts, shared_keys, "key long, node long, mark long, n long"))
     return components(arrow_map(parts.repartition("key").sortWithinPartitions("key", "node"), meet, "a long, b long"))
 
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,28 @@ def test_a_frequent_line_brings_nothing_together(spark):
     assert {i: c for i, c in got.items() if i != c} == {301: 7, 302: 8}
 
 
+def test_passages_of_few_documents_are_no_chain(spark):
+    """Each document shares a passage with the next one, and no two are in one slice; the one copy is a shard."""
+    passages = [X.prose(900 + i, 400) for i in range(21)]
+    texts = [f"{passages[i]} {X.prose(100 + i, 800)} {passages[i + 1]}" for i in range(20)]
+    texts.append(texts[3].replace(".", ",", 2))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(21)
+    shards = ngram_join.shards_of(rows, 5, 80).groupBy("component").count()
+    assert [r["count"] for r in shards.collect()] == [2]  # one shard of nearly all, if only known frequent parts are left out
+
+
+@pytest.mark.parametrize("step", [1, 3, 100])
+def test_shared_keys(monkeypatch, step):
+    """Whatever the batches: counts of different nodes up to a bound, no key of one node, the smallest mark."""
+    monkeypatch.setattr(ngram_join, "COUNTED", 4)
+    rows = [(1, 5, 9), (2, 1, 0), (2, 1, 3), (3, 1, 7), (3, 2, 1), (3, 2, 2)] + [(4, i, i) for i in range(9)] + [(5, 1, 1), (6, 1, 1), (6, 2, 1)]
+    columns = [np.array(c, np.int64) for c in zip(*rows)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in columns], names=["key", "node", "mark"]) for i in range(0, len(rows), step))
+    got = [tuple(r.values()) for b in ngram_join.shared_keys(batches) for r in b.to_pylist()]
+    want = [(3, 1, 7, 2), (3, 2, 1, 2)] + [(4, i, i, 4) for i in range(9)] + [(6, 1, 1, 2), (6, 2, 1, 2)]
+    assert got == want
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.ngram_join(X.documents(spark, [])).count() == 0
     rows = ngram_join.ngram_join(X.documents(spark, ["", None])).collect()
