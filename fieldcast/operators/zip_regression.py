@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import sys
+from copy import copy
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -74,6 +75,13 @@ def design(df: DataFrame, response: str, predictors: list[str], scales: dict[str
     )
 
 
+#: ends of the weights 0, 1, ... on the unit interval
+LEVELS = np.cumsum(np.exp(-1.0) / np.cumprod(np.maximum(np.arange(18), 1)))
+#: weight of each of 2^12 cells of the unit interval; cells with an end inside have none
+CELLS = np.searchsorted(LEVELS, np.arange(2**12) / 2.0**12)
+CELLS = np.where(np.searchsorted(LEVELS, (np.arange(2**12) + 1) / 2.0**12) == CELLS, CELLS, -1).astype(float)
+
+
 def bootstrap_weights(seeds: np.ndarray, rep: int) -> np.ndarray:
     """Poisson(1) weight of each row in a replicate, a hash of the row's seed."""
     if rep == 0:
@@ -81,32 +89,80 @@ def bootstrap_weights(seeds: np.ndarray, rep: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = seeds.astype(np.uint64) + np.uint64(rep) * np.uint64(0x9E3779B97F4A7C15)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+            h ^= h >> np.uint64(shift)
+            h *= np.uint64(factor)
         h ^= h >> np.uint64(31)
-    u = (h >> np.uint64(11)).astype(float) / 2.0**53
-    mass = np.exp(-1.0) / np.cumprod(np.maximum(np.arange(18), 1))
-    return np.searchsorted(np.cumsum(mass), u).astype(float)
-
-
-def batch_sums(y, log_factorials, x, w, coefs) -> np.ndarray:
-    """Likelihood, score and information of one batch under one replicate."""
-    with np.errstate(over="ignore", divide="ignore"):
-        p = 1.0 / (1.0 + np.exp(-(x @ coefs[0])))
-        log_rate = x @ coefs[1]
-        rate = np.exp(log_rate)
-        miss = np.exp(-rate)
-        zero = 1.0 - p + p * miss
-        pq = p * (1.0 - p)
-        z1, z2 = -pq * (1.0 - miss) / zero, -p * rate * miss / zero
+    weights = CELLS.take((h >> np.uint64(52)).view(np.int64), mode="clip")
+    cut = np.flatnonzero(weights < 0)
+    weights[cut] = np.searchsorted(LEVELS, (h[cut] >> np.uint64(11)).astype(float) / 2.0**53)
+    return weights
+
+
+class Block:
+    """Some rows, those with a count above 0 first, and the products of their predictors."""
+
+    def __init__(self, y, log_factorials, x, seeds):
         seen = y > 0
-        value = np.where(seen, np.log(p) + y * log_rate - rate - log_factorials, np.log(zero))
-    s1, s2 = np.where(seen, 1.0 - p, z1), np.where(seen, y - rate, z2)
-    h11 = np.where(seen, -pq, z1 * (1.0 - 2.0 * p) - z1 * z1)
-    h12 = np.where(seen, 0.0, -pq * rate * miss / zero - z1 * z2)
-    h22 = np.where(seen, -rate, z2 * (1.0 - rate) - z2 * z2)
-    info = [(x * (w * h)[:, None]).T @ x for h in (h11, h12, h22)]
-    parts = [[w @ value], (w * s1) @ x, (w * s2) @ x, *[m.ravel() for m in info]]
-    return np.concatenate(parts)
+        order = np.concatenate([np.flatnonzero(seen), np.flatnonzero(~seen)])
+        self.n_seen, self.k = int(seen.sum()), x.shape[1]
+        self.y, self.log_factorials = y[order[: self.n_seen]], log_factorials[order[: self.n_seen]]
+        self.x, self.seeds = np.ascontiguousarray(x[order].T), seeds[order]
+        self.i, self.j = np.triu_indices(self.k)
+        self.products = self.x[self.i] * self.x[self.j]
+
+    def drawn(self, weights: np.ndarray) -> Block:
+        """The rows with a weight above 0."""
+        some = np.flatnonzero(weights)
+        part = copy(self)
+        part.n_seen = int(np.searchsorted(some, self.n_seen))
+        part.y, part.log_factorials = self.y.take(some[: part.n_seen]), self.log_factorials.take(some[: part.n_seen])
+        part.x, part.products = self.x.take(some, axis=1), self.products.take(some, axis=1)
+        part.seeds = None
+        return part
+
+    def parts(self, coefs: np.ndarray) -> np.ndarray:
+        """Of each row: likelihood, its slopes in both linear terms, its three curvatures in them."""
+        m = self.n_seen
+        out = np.empty((6, self.x.shape[1]))
+        value, s1, s2, h11, h12, h22 = out
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            linear, log_rate = coefs @ self.x
+            p = 1.0 / (1.0 + np.exp(-linear))
+            rate = np.exp(log_rate)
+            q = 1.0 - p
+            pq = p * q
+            value[:m] = np.log(p[:m]) + self.y * log_rate[:m] - rate[:m] - self.log_factorials
+            s1[:m], s2[:m] = q[:m], self.y - rate[:m]
+            h11[:m], h12[:m], h22[:m] = -pq[:m], 0.0, -rate[:m]
+            p, q, rate, pq = p[m:], q[m:], rate[m:], pq[m:]
+            miss = np.exp(-rate)
+            zero = q + p * miss
+            z1, z2 = -pq * (1.0 - miss) / zero, -p * rate * miss / zero
+            value[m:], s1[m:], s2[m:] = np.log(zero), z1, z2
+            h11[m:] = z1 * (1.0 - 2.0 * p) - z1 * z1
+            h12[m:] = q * z2 - z1 * z2
+            h22[m:] = z2 * (1.0 - rate) - z2 * z2
+        return out
+
+    def sums(self, coefs: np.ndarray, reps: list[int]) -> dict[int, np.ndarray]:
+        """Likelihood, score and information under the weights of each replicate, all at the same coefficients."""
+        if len(reps) == 1:
+            weights = bootstrap_weights(self.seeds, reps[0])
+            drawn = self.drawn(weights) if reps[0] else self
+            parts = drawn.parts(coefs)
+            parts *= weights[weights > 0]
+            score, info = parts[1:3] @ drawn.x.T, parts[3:] @ drawn.products.T
+            return {reps[0]: self.packed(np.concatenate([[parts[0].sum()], score.ravel(), info.ravel()]))}
+        parts = self.parts(coefs)
+        rows = [parts[:1], *(part * self.x for part in parts[1:3]), *(part * self.products for part in parts[3:])]
+        rows = np.concatenate(rows)
+        return {r: self.packed(rows @ bootstrap_weights(self.seeds, r)) for r in reps}
+
+    def packed(self, sums: np.ndarray) -> np.ndarray:
+        """The triangles of the three matrices made whole."""
+        whole = np.empty((3, self.k, self.k))
+        whole[:, self.i, self.j] = whole[:, self.j, self.i] = sums[1 + 2 * self.k :].reshape(3, -1)
+        return np.concatenate([sums[: 1 + 2 * self.k], whole.ravel()])
 
 
 SUMS = "rep int, bucket int, sums array<double>"
@@ -133,9 +189,13 @@ def row_sums(rows: DataFrame, coefs: dict[int, np.ndarray], k: int) -> DataFrame
     """(rep, sums): likelihood, score and information of every replicate, one row each.
 
     Arrow batches are reduced where they lie; the partial sums of the tasks
-    are added as vectors, in groups of tasks first.
+    are added as vectors, in groups of tasks first.  Replicates with the same
+    coefficients share all but the weights.
     """
     names = [f"x{j}" for j in range(k)]
+    alike: dict[bytes, list[int]] = {}
+    for r, c in coefs.items():
+        alike.setdefault(c.tobytes(), []).append(r)
 
     def reduce(batches):
         from pyspark import TaskContext
@@ -145,9 +205,10 @@ def row_sums(rows: DataFrame, coefs: dict[int, np.ndarray], k: int) -> DataFrame
             x = pdf[names].to_numpy(float)
             y, lf = pdf["y"].to_numpy(float), pdf["log_factorial"].to_numpy(float)
             seeds = pdf["seed"].to_numpy()
-            for r in coefs:
-                w = bootstrap_weights(seeds, r)
-                totals[r] = totals[r] + batch_sums(y, lf, x, w, coefs[r])
+            block = Block(y, lf, x, seeds)
+            for reps in alike.values():
+                for r, sums in block.sums(coefs[reps[0]], reps).items():
+                    totals[r] = totals[r] + sums
         bucket = TaskContext.get().partitionId() % BUCKETS
         found = [(r, bucket, t.tolist()) for r, t in totals.items() if not np.isscalar(t)]
         yield pd.DataFrame(found, columns=["rep", "bucket", "sums"])

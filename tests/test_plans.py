@@ -253,6 +253,46 @@ def test_zip_recovers_coefficients_and_never_descends(spark):
         "intercept", "x", "g"]
 
 
+def test_zip_sums_of_a_block(monkeypatch):
+    """Equal the plain formulas; replicates at the same coefficients share all but the weights."""
+    rng = np.random.default_rng(4)
+    n = 500
+    x = np.column_stack([np.ones(n), rng.uniform(0, 1, n), rng.integers(0, 2, n)])
+    y, seeds = rng.poisson(0.7, n).astype(float), rng.integers(-(2**62), 2**62, n)
+    lf = np.array([np.log(float(np.prod(np.arange(1, v + 1)))) for v in y.astype(int)])
+    coefs = np.array([[0.7, -0.2, 0.4], [0.1, 0.3, -0.5]])
+    p, rate = 1 / (1 + np.exp(-x @ coefs[0])), np.exp(x @ coefs[1])
+    miss, seen = np.exp(-rate), y > 0
+    zero = 1 - p + p * miss
+    value = np.where(seen, np.log(p) + y * np.log(rate) - rate - lf, np.log(zero))
+    z1, z2 = -p * (1 - p) * (1 - miss) / zero, -p * rate * miss / zero
+    s1, s2 = np.where(seen, 1 - p, z1), np.where(seen, y - rate, z2)
+    h11 = np.where(seen, -p * (1 - p), z1 * (1 - 2 * p) - z1 * z1)
+    h12 = np.where(seen, 0, -p * (1 - p) * rate * miss / zero - z1 * z2)
+    h22 = np.where(seen, -rate, z2 * (1 - rate) - z2 * z2)
+    calls, real = [], Z.Block.parts
+    monkeypatch.setattr(Z.Block, "parts", lambda self, c: calls.append(1) or real(self, c))
+    block = Z.Block(y, lf, x, seeds)
+    together = block.sums(coefs, [0, 1, 2, 3])
+    assert len(calls) == 1
+    for r in range(4):
+        w = Z.bootstrap_weights(seeds, r)
+        info = [((x * (w * h)[:, None]).T @ x).ravel() for h in (h11, h12, h22)]
+        want = np.concatenate([[w @ value], (w * s1) @ x, (w * s2) @ x, *info])
+        assert np.allclose(together[r], want, rtol=1e-10) and np.allclose(block.sums(coefs, [r])[r], want, rtol=1e-10)
+
+
+def test_bootstrap_weights_by_cells():
+    """The weights are those that a search for the uniform number among the ends gives."""
+    seeds = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 300_000)
+    h = seeds.astype(np.uint64) + np.array([7], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
+    mass = np.exp(-1.0) / np.cumprod(np.maximum(np.arange(18), 1))
+    assert (Z.bootstrap_weights(seeds, 7) == np.searchsorted(np.cumsum(mass), u)).all()
+
+
 def test_bootstrap_weights_are_poisson():
     w = Z.bootstrap_weights(np.arange(200000, dtype=np.int64) * 7919 - 5, 3)
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
