@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import sys
-from copy import copy
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -110,16 +109,6 @@ class Block:
         self.i, self.j = np.triu_indices(self.k)
         self.products = self.x[self.i] * self.x[self.j]
 
-    def drawn(self, weights: np.ndarray) -> Block:
-        """The rows with a weight above 0."""
-        some = np.flatnonzero(weights)
-        part = copy(self)
-        part.n_seen = int(np.searchsorted(some, self.n_seen))
-        part.y, part.log_factorials = self.y.take(some[: part.n_seen]), self.log_factorials.take(some[: part.n_seen])
-        part.x, part.products = self.x.take(some, axis=1), self.products.take(some, axis=1)
-        part.seeds = None
-        return part
-
     def parts(self, coefs: np.ndarray) -> np.ndarray:
         """Of each row: likelihood, its slopes in both linear terms, its three curvatures in them."""
         m = self.n_seen
@@ -146,14 +135,11 @@ class Block:
 
     def sums(self, coefs: np.ndarray, reps: list[int]) -> dict[int, np.ndarray]:
         """Likelihood, score and information under the weights of each replicate, all at the same coefficients."""
+        parts = self.parts(coefs)
         if len(reps) == 1:
-            weights = bootstrap_weights(self.seeds, reps[0])
-            drawn = self.drawn(weights) if reps[0] else self
-            parts = drawn.parts(coefs)
-            parts *= weights[weights > 0]
-            score, info = parts[1:3] @ drawn.x.T, parts[3:] @ drawn.products.T
+            parts *= bootstrap_weights(self.seeds, reps[0])
+            score, info = parts[1:3] @ self.x.T, parts[3:] @ self.products.T
             return {reps[0]: self.packed(np.concatenate([[parts[0].sum()], score.ravel(), info.ravel()]))}
-        parts = self.parts(coefs)
         rows = [parts[:1], *(part * self.x for part in parts[1:3]), *(part * self.products for part in parts[3:])]
         rows = np.concatenate(rows)
         return {r: self.packed(rows @ bootstrap_weights(self.seeds, r)) for r in reps}
